@@ -13,32 +13,42 @@ from pyspark.sql import functions as F
 KEY = "idempotency_key"
 
 
-def _winner(events: DataFrame, key: str, order: Column, extra: list[Column]) -> DataFrame:
+def _winner(
+    events: DataFrame, keys: tuple[str, ...], order: Column, extra: dict[str, Column] | None = None
+) -> DataFrame:
     # max_by over the whole payload keeps the winner's NULLs, and its partial
     # step leaves one row per key and map task, whatever the number of copies.
-    payload = [name for name in events.columns if name != key]
+    extra = extra or {}
+    payload = [name for name in events.columns if name not in keys]
     return (
-        events.groupBy(key)
-        .agg(F.max_by(F.struct(*payload), order).alias("winner"), *extra)
-        .select(key, "winner.*", *[F.col(c) for c in ("first_offset",) if extra])
+        events.groupBy(*keys)
+        .agg(
+            F.max_by(F.struct(*payload), order).alias("winner"),
+            *[column.alias(name) for name, column in extra.items()],
+        )
+        .select(*keys, "winner.*", *extra)
     )
 
 
 def last_in_batch(
-    events: DataFrame, order: tuple[str, ...] = ("offset",), key: str = KEY, first: bool = False
+    events: DataFrame,
+    order: tuple[str, ...] = ("offset",),
+    keys: tuple[str, ...] = (KEY,),
+    first: bool = False,
 ) -> DataFrame:
     """One row per key, the last arrival's.  With `first`, `first_offset`
-    tells where the key arrived first, the order in which it is emitted."""
+    tells where the key arrived first, the order in which it is emitted.
+    With the batch among `keys`, many batches are reduced at once."""
     ordering = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    extra = [F.min(order[0]).alias("first_offset")] if first else []
-    return _winner(events, key, ordering, extra)
+    extra = {"first_offset": F.min(order[0])} if first else None
+    return _winner(events, keys, ordering, extra)
 
 
 def first_batch_last_arrival(
     arrivals: DataFrame, batch: str = "batch_id", offset: str = "offset", key: str = KEY
 ) -> DataFrame:
     """Both rules over many batches at once: the ledger after all of them."""
-    return _winner(arrivals, key, F.struct(-F.col(batch), F.col(offset)), [])
+    return _winner(arrivals, (key,), F.struct(-F.col(batch), F.col(offset)))
 
 
 def seen_keys(batch: DataFrame, ledger: DataFrame, key: str = KEY) -> DataFrame:

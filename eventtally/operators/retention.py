@@ -30,3 +30,10 @@ def two_month_days(as_of: Column) -> Column:
 def partition_name(date: Column) -> Column:
     """Name of a day's partition, such as events_2026_02_15."""
     return F.concat(F.lit("events_"), F.replace(date.cast("string"), F.lit("-"), F.lit("_")))
+
+
+def reaches_rollup(event_date: Column, refreshed_on: Column, days: Column) -> Column:
+    """Whether a refresh counts an event.  There is no watermark: an event
+    that comes late is counted as long as its date is inside the window of the
+    refresh that follows it, and otherwise stays in the ledger only."""
+    return event_date >= F.date_sub(refreshed_on, days)

@@ -57,6 +57,13 @@ def _coerced_long(text: Column) -> Column:
                   whole.cast("bigint"))
 
 
+def _parsed_once(rows: DataFrame, name: str, document: Column) -> DataFrame:
+    """Add a parsed document as the one element of a generator.  A later filter
+    is not pushed through a generator, as it would be through a projection,
+    where each mention of a field would parse the text once more."""
+    return rows.select("*", F.explode(F.array(document)).alias(name))
+
+
 def parse_events(records: DataFrame, value: str = "value", coerce: bool = False) -> DataFrame:
     """Add the event's fields and `_corrupt` (the raw text when it is not an
     event) to each record.  A NULL or literal `null` value is neither an event
@@ -68,7 +75,7 @@ def parse_events(records: DataFrame, value: str = "value", coerce: bool = False)
     """
     raw = F.col(value)
     schema = EVENT_JSON if not coerce else EVENT_JSON.replace("timestamp BIGINT", "timestamp STRING")
-    parsed = records.withColumn("_event", F.from_json(raw, schema, _PERMISSIVE))
+    parsed = _parsed_once(records, "_event", F.from_json(raw, schema, _PERMISSIVE))
     event = F.col("_event")
     timestamp = event["timestamp"]
     broken = event.isNull() | event[CORRUPT].isNotNull() | _wrong_kind(raw, event)
@@ -92,7 +99,7 @@ def parse_bulk(requests: DataFrame, value: str = "value") -> DataFrame:
     """Add the `events` array and `_corrupt` of each bulk payload.  One
     mistyped element marks the whole payload corrupt."""
     raw = F.col(value)
-    parsed = requests.withColumn("_bulk", F.from_json(raw, BULK_JSON, _PERMISSIVE))
+    parsed = _parsed_once(requests, "_bulk", F.from_json(raw, BULK_JSON, _PERMISSIVE))
     bulk = F.col("_bulk")
     broken = bulk.isNull() | bulk[CORRUPT].isNotNull()
     return parsed.withColumns({
