@@ -28,27 +28,27 @@ def epoch_midnight(seconds: Column) -> Column:
     return seconds - F.pmod(seconds, F.lit(DAY).cast("bigint"))
 
 
-def clamp_seconds(seconds: Column) -> Column:
-    """Limit to the seconds a DATE can express; NULL stays NULL."""
-    low = F.lit(FIRST_DAY * DAY).cast("bigint")
-    high = F.lit(LAST_DAY * DAY + DAY - 1).cast("bigint")
-    return F.when(seconds < low, low).when(seconds > high, high).otherwise(seconds)
+# The seconds a DATE can express.
+FIRST_SECOND = FIRST_DAY * DAY
+LAST_SECOND = LAST_DAY * DAY + DAY - 1
+
+
+def has_date(seconds: Column) -> Column:
+    return seconds.between(F.lit(FIRST_SECOND), F.lit(LAST_SECOND))
 
 
 def epoch_day(seconds: Column) -> Column:
-    """Days since 1970 (BIGINT), clamped to the range of a DATE."""
-    midnight = epoch_midnight(clamp_seconds(seconds))
-    return (midnight / F.lit(DAY)).cast("bigint")
+    """Days since 1970 (BIGINT), limited to the range of a DATE."""
+    day = F.floor(seconds / F.lit(DAY)).cast("bigint")
+    return F.when(seconds.isNotNull(), F.least(F.greatest(day, F.lit(FIRST_DAY).cast("bigint")),
+                                               F.lit(LAST_DAY).cast("bigint")))
 
 
 def epoch_date(seconds: Column) -> Column:
     """UTC date; NULL for a second no DATE can express (so that one absurd
     timestamp cannot fail a job under ANSI mode)."""
-    low = F.lit(FIRST_DAY * DAY).cast("bigint")
-    high = F.lit(LAST_DAY * DAY + DAY - 1).cast("bigint")
-    return F.when(
-        seconds.between(low, high), F.date_from_unix_date(epoch_day(seconds).cast("int"))
-    )
+    day = F.floor(seconds / F.lit(DAY)).cast("int")
+    return F.when(has_date(seconds), F.date_from_unix_date(day))
 
 
 def iso_label(seconds: Column) -> Column:
@@ -69,6 +69,11 @@ def date_of(seconds: int) -> dt.date:
     return dt.date(1970, 1, 1) + dt.timedelta(days=day)
 
 
+def midnight_of(date: str) -> int:
+    """Epoch second at which an ISO date starts."""
+    return (dt.date.fromisoformat(date) - dt.date(1970, 1, 1)).days * DAY
+
+
 def hour_as_timestamp(seconds: Column) -> Column:
     """The instant as TIMESTAMP, for event-time windows."""
     return F.timestamp_seconds(seconds)

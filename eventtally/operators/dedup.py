@@ -13,42 +13,42 @@ from pyspark.sql import functions as F
 KEY = "idempotency_key"
 
 
-def _winner(
-    events: DataFrame, keys: tuple[str, ...], order: Column, extra: dict[str, Column] | None = None
+def _first_row(events: DataFrame, keys: tuple[str, ...], order: list[Column]) -> DataFrame:
+    # For a rank compared with 1 Spark limits each group already before the
+    # shuffle, so a task sends one row per key, whatever the number of copies.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return events.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
+def last_in_batch(
+    events: DataFrame, order: tuple[str, ...] = ("offset",), keys: tuple[str, ...] = (KEY,)
+) -> DataFrame:
+    """One row per key, the last arrival's.  With the batch among `keys`, many
+    batches are reduced at once."""
+    return _first_row(events, keys, [F.desc(name) for name in order])
+
+
+def last_with_first_position(
+    events: DataFrame, offset: str = "offset", keys: tuple[str, ...] = (KEY,)
 ) -> DataFrame:
-    # max_by over the whole payload keeps the winner's NULLs, and its partial
-    # step leaves one row per key and map task, whatever the number of copies.
-    extra = extra or {}
+    """The same, with `first_offset`, where the key arrived first: the order
+    in which a batch emits its keys."""
     payload = [name for name in events.columns if name not in keys]
     return (
         events.groupBy(*keys)
         .agg(
-            F.max_by(F.struct(*payload), order).alias("winner"),
-            *[column.alias(name) for name, column in extra.items()],
+            F.max_by(F.struct(*payload), offset).alias("winner"),
+            F.min(offset).alias("first_offset"),
         )
-        .select(*keys, "winner.*", *extra)
+        .select(*keys, "winner.*", "first_offset")
     )
 
 
-def last_in_batch(
-    events: DataFrame,
-    order: tuple[str, ...] = ("offset",),
-    keys: tuple[str, ...] = (KEY,),
-    first: bool = False,
-) -> DataFrame:
-    """One row per key, the last arrival's.  With `first`, `first_offset`
-    tells where the key arrived first, the order in which it is emitted.
-    With the batch among `keys`, many batches are reduced at once."""
-    ordering = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    extra = {"first_offset": F.min(order[0])} if first else None
-    return _winner(events, keys, ordering, extra)
-
-
 def first_batch_last_arrival(
     arrivals: DataFrame, batch: str = "batch_id", offset: str = "offset", key: str = KEY
 ) -> DataFrame:
     """Both rules over many batches at once: the ledger after all of them."""
-    return _winner(arrivals, (key,), F.struct(-F.col(batch), F.col(offset)))
+    return _first_row(arrivals, (key,), [F.asc(batch), F.desc(offset)])
 
 
 def seen_keys(batch: DataFrame, ledger: DataFrame, key: str = KEY) -> DataFrame:

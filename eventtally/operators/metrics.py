@@ -82,83 +82,103 @@ def check_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def request_buckets(rollup: DataFrame, requests: DataFrame) -> DataFrame:
-    """Answer a table of requests in one job: a row per request and bucket,
-    and one row with a NULL bucket for a request that matches nothing.
-
-    `requests` has request_id, event_name, from, to, channel, group_by.
-
-    Rather than a range join of every request with every hour of its event
-    name, each request is laid out over the dates it can match and joined by
-    equality on (event name, channel or all, date); at most a day's hours per
-    request and date are met.  Both sides may grow, so neither is broadcast by
-    hand: AQE broadcasts a side it has measured to be small, and splits hot
-    event names otherwise.
-    """
-    # One slot per hour for "all channels", and one per channel.
+def _array_sum(items: Column, member: str) -> Column:
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(items, zero, lambda total, item: total + item[member])
+
+
+def _day_slots(rollup: DataFrame) -> DataFrame:
+    """One row per event name, channel (or all of them) and day, with the
+    day's hours, at most 24, as an array."""
     both = F.array(
         F.struct(F.lit(True).alias("all"), F.lit("").alias("channel")),
         F.struct(F.lit(False).alias("all"), F.col("channel").alias("channel")),
     )
-    slots = (
+    day = ("event_name", "all_channels", "slot_channel", "slot_day")
+    return (
         rollup.withColumn("slot", F.explode(both))
         .filter("slot.channel is not null")
         .groupBy(
             F.col("event_name"), F.col("slot.all").alias("all_channels"),
-            F.col("slot.channel").alias("slot_channel"), F.col("date_hour"),
-            F.unix_date("event_date").cast("bigint").alias("slot_day"),
+            F.col("slot.channel").alias("slot_channel"),
+            F.unix_date("event_date").cast("bigint").alias("slot_day"), F.col("date_hour"),
         )
         .agg(*_sums())
+        .withColumn("bucket", clock.iso_label(F.col("date_hour")))
+        .groupBy(*day)
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("date_hour", "bucket", "total_count", "unique_user_count"))
+            ).alias("hours")
+        )
     )
+
+
+def _laid_out(rollup: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests with a row per date they can match, at least one each."""
     first = rollup.agg(F.min(F.unix_date("event_date")).cast("bigint")).scalar()
     last = rollup.agg(F.max(F.unix_date("event_date")).cast("bigint")).scalar()
     wants_channel = text.not_blank(F.col("channel"))
-    days = requests.select(
-        "request_id", "event_name", "from", "to",
-        (~wants_channel).alias("all_channels"),
-        F.when(wants_channel, F.col("channel")).otherwise(F.lit("")).alias("slot_channel"),
-        (F.lower(F.coalesce(F.col("group_by"), F.lit(""))) == "daily").alias("daily"),
-        F.greatest(clock.epoch_day(F.col("from")), first).alias("low"),
-        F.least(clock.epoch_day(F.col("to")), last).alias("high"),
-    ).withColumn(
+    low = F.greatest(clock.epoch_day(F.col("from")), first)
+    high = F.least(clock.epoch_day(F.col("to")), last)
+    return requests.withColumns({
+        "all_channels": ~wants_channel,
+        "slot_channel": F.when(wants_channel, F.col("channel")).otherwise(F.lit("")),
         # sequence() would count downwards when the range is empty.
-        "slot_day",
-        F.explode_outer(F.when(F.col("low") <= F.col("high"), F.sequence("low", "high"))),
-    )
-    on = ["event_name", "all_channels", "slot_channel", "slot_day"]
-    r, s = days.alias("r"), slots.alias("s")
-    condition = (F.col("s.date_hour") >= F.col("r.from")) & (F.col("s.date_hour") < F.col("r.to"))
-    for name in on:
-        condition = condition & (F.col(f"r.{name}") == F.col(f"s.{name}"))
-    bucket = F.when(F.col("r.daily"), clock.epoch_midnight(F.col("s.date_hour"))).otherwise(F.col("s.date_hour"))
-    return (
-        r.join(s, condition, "left")
-        .groupBy(F.col("r.request_id").alias("request_id"), bucket.alias("bucket_start"))
-        .agg(*_sums())
-    )
+        "slot_day": F.explode_outer(F.when(low <= high, F.sequence(low, high))),
+    })
 
 
-def _answers(buckets: DataFrame, requests: DataFrame) -> DataFrame:
+def answer_requests(rollup: DataFrame, requests: DataFrame) -> DataFrame:
+    """Answer a table of metrics requests in one job.
+
+    `requests` has a unique request_id, event_name, from, to, channel and
+    group_by; those that break a rule of `check_requests` are left out.  Adds
+    total_count, unique_user_count and the ordered array of breakdowns, all
+    from the same rollup version; a request that matches nothing gets zeros.
+
+    Instead of a range join of requests with hours, each request is laid out
+    over its dates and meets at most one row per date, by equality on (event
+    name, channel or all, date).  Either side may grow, so none is broadcast
+    by hand: Spark broadcasts a side it knows or measures to be small, and AQE
+    splits hot event names otherwise.
+    """
+    asked = ("request_id", "event_name", "from", "to", "channel", "group_by")
+    valid = check_requests(requests).filter(F.size("violations") == 0).select(*asked)
+    # Spread the thin rows by request before the join widens them: the final
+    # grouping then needs no shuffle of the wide ones.
+    met = _laid_out(rollup, valid).repartition("request_id").join(
+        _day_slots(rollup), ["event_name", "all_channels", "slot_channel", "slot_day"], "left"
+    )
     zero = F.lit(0).cast("bigint")
-    found = F.col("bucket_start").isNotNull()
-    part = F.struct(
-        clock.iso_label(F.col("bucket_start")).alias("bucket"), F.col("total_count"), F.col("unique_user_count")
+    daily = F.lower(F.coalesce(F.col("group_by"), F.lit(""))) == "daily"
+    in_range = F.filter(
+        "hours", lambda h: (h["date_hour"] >= F.col("from")) & (h["date_hour"] < F.col("to"))
     )
-    # collect_list drops the NULL of a request without matches; a list holds
-    # at most the buckets of its own answer.
-    per_request = buckets.groupBy("request_id").agg(
-        F.coalesce(F.sum("total_count"), zero).alias("total_count"),
-        F.coalesce(F.sum("unique_user_count"), zero).alias("unique_user_count"),
-        F.array_sort(F.collect_list(F.when(found, part))).alias("breakdowns"),
+    summed = met.withColumn("hours", in_range).withColumns({
+        name: _array_sum(F.col("hours"), name) for name in ("total_count", "unique_user_count")
+    })
+    midnight = F.col("slot_day") * F.lit(clock.DAY)
+    whole_day = F.array(
+        F.struct(clock.iso_label(midnight).alias("bucket"), "total_count", "unique_user_count")
+    )
+    each_hour = F.transform("hours", lambda h: F.struct(
+        h["bucket"].alias("bucket"), h["total_count"].alias("total_count"),
+        h["unique_user_count"].alias("unique_user_count"),
+    ))
+    part = F.struct("slot_day", F.when(daily, whole_day).otherwise(each_hour).alias("buckets"))
+    # collect_list drops NULLs, so a date without matches leaves nothing; a
+    # list holds no more than its own answer does.
+    return (
+        summed.groupBy(*asked)
+        .agg(
+            F.coalesce(F.sum("total_count"), zero).alias("total_count"),
+            F.coalesce(F.sum("unique_user_count"), zero).alias("unique_user_count"),
+            F.array_sort(F.collect_list(F.when(F.size("hours") > 0, part))).alias("parts"),
+        )
+        .withColumn("breakdowns", F.flatten(F.transform("parts", lambda p: p["buckets"])))
+        .drop("parts")
     )
-    return requests.join(per_request, "request_id")
-
-
-def answer_requests(rollup: DataFrame, requests: DataFrame) -> DataFrame:
-    """Each valid request with total_count, unique_user_count and its ordered
-    array of breakdowns, totals and buckets from the same rollup version."""
-    valid = check_requests(requests).filter(F.size("violations") == 0).drop("violations")
-    return _answers(request_buckets(rollup, valid), valid)
 
 
 def document() -> Column:

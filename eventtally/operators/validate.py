@@ -96,11 +96,11 @@ def storage_fault(
         F.when(F.char_length(F.col(name)) > limit, F.lit(f"{name} exceeds {limit} characters"))
         for name, limit in MAX_LENGTHS.items()
     ]
-    date = clock.epoch_date(F.col(timestamp))
-    outside = F.col(timestamp).isNotNull() & date.isNull()
+    at = F.col(timestamp)
+    low, high = clock.FIRST_SECOND, clock.LAST_SECOND
     if first_date is not None:
-        outside = outside | (date < F.lit(first_date).cast("date"))
+        low = clock.midnight_of(first_date)
     if last_date is not None:
-        outside = outside | (date > F.lit(last_date).cast("date"))
-    reasons.append(F.when(outside, F.lit("event_date has no partition")))
+        high = clock.midnight_of(last_date) + clock.DAY - 1
+    reasons.append(F.when(~at.between(F.lit(low), F.lit(high)), F.lit("event_date has no partition")))
     return F.coalesce(*reasons)

@@ -64,8 +64,9 @@ def classify(
         validate.storage_fault("timestamp", first_date, last_date)
     )
     absent = payloads.is_absent(F.col("value"))
-    status = F.when(absent, SKIPPED).when(reason.isNotNull(), DEAD).otherwise(OK)
-    judged = parsed.withColumns({"reason": F.when(~absent, reason), "status": status})
+    judged = parsed.withColumn("reason", F.when(~absent, reason)).withColumn(
+        "status", F.when(absent, SKIPPED).when(F.col("reason").isNotNull(), DEAD).otherwise(OK)
+    )
     return project.to_event(judged).drop(CORRUPT)
 
 
@@ -129,8 +130,11 @@ def ingest_batch(
     if remember_days is not None:
         remember = arrival - F.make_dt_interval(F.lit(remember_days))
     classified = classify(records, coerce, first_date, last_date)
-    # The only reuse across the jobs below; lost blocks are parsed again.
-    classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
+    # Kept for the jobs below, without the raw text of good records; lost
+    # blocks are parsed again.
+    classified = classified.withColumn(
+        "value", F.when(F.col("status") == DEAD, F.col("value"))
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = _statistics(classified)
         if stats["dead"]:

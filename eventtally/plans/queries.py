@@ -204,8 +204,8 @@ def key_exists(spark, folder):
 
 
 def dedup_in_batch(spark, folder):
-    reduced = dedup.last_in_batch(
-        sample.arrivals(spark, folder), keys=("batch_id", KEY), first=True
+    reduced = dedup.last_with_first_position(
+        sample.arrivals(spark, folder), keys=("batch_id", KEY)
     )
     return reduced.select("batch_id", KEY, "channel", "offset", "first_offset")
 

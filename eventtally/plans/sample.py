@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from eventtally.functions import clock
 from eventtally.operators import project
 
-_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+# Whole seconds since 1970 of a timestamp without zone, by its calendar parts:
+# a difference of timestamps would shift with the session zone's summer time.
+_SECONDS = (
+    "unix_date(cast(t AS DATE)) * 86400L + hour(t) * 3600 + minute(t) * 60 + cast(floor(second(t)) AS INT)"
+).replace("(t", "(cast(ts AS TIMESTAMP_NTZ)")
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +30,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("channel"),
         F.expr("CASE WHEN event_id % 5 <> 0 THEN concat('cmp_', event_id % 7) END").alias("campaign_id"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"),
-        F.expr(f"timestampdiff(SECOND, {_EPOCH}, cast(ts AS TIMESTAMP_NTZ))").alias("event_timestamp"),
+        F.expr(_SECONDS).alias("event_timestamp"),
         F.expr(
             "CASE WHEN event_id % 3 <> 0 THEN array(event_type, concat('group_', user_id % 10)) END"
         ).alias("tags"),

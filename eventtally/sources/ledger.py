@@ -103,6 +103,7 @@ class Ledger:
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("parquet.bloom.filter.enabled#idempotency_key", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
             .partitionBy("event_date", "bid")
             .parquet(self.root)
         )

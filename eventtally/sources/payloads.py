@@ -11,47 +11,39 @@ _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 _LONG_RANGE = (-(2**63), 2**63 - 1)
 
 
-def _kind(value: Column, path: str) -> Column:
-    """Type of a member in the raw text, such as STRING or OBJECT<...>."""
-    return F.schema_of_variant(F.variant_get(F.try_parse_json(value), path, "variant"))
-
-
 def _opens_like(text: Column, *brackets: str) -> Column:
-    starts = [F.startswith(text, F.lit(b)) for b in brackets]
-    found = starts[0]
-    for other in starts[1:]:
-        found = found | other
-    return F.coalesce(found, F.lit(False))
+    return F.coalesce(F.substr(text, F.lit(1), F.lit(1)).isin(*brackets), F.lit(False))
 
 
 def _wrong_kind(value: Column, event: Column) -> Column:
     """True when a member has a JSON type its field does not take.
 
     Spark hands an object over as text where a string is declared, and a
-    string where the metadata object is.  Texts that open with a bracket are
-    rare, so only those are looked up in the raw payload.
+    string where the metadata object is.  Only payloads that may have that
+    problem, by a text that opens with a bracket or a quoted metadata member,
+    are looked at again for the members' types.
     """
-    wrong = F.lit(False)
-    for name in ("event_name", "channel", "campaign_id", "user_id"):
-        nested = F.when(
-            _opens_like(event[name], "{", "["),
-            F.coalesce(_kind(value, f"$.{name}") != "STRING", F.lit(False)),
-        ).otherwise(F.lit(False))
-        wrong = wrong | nested
-    metadata = event["metadata"]
-    not_object = metadata.isNotNull() & ~_opens_like(metadata, "{")
-    quoted = F.when(
-        metadata.isNotNull() & value.rlike(r'"metadata"\s*:\s*"'),
-        F.coalesce(_kind(value, "$.metadata") == "STRING", F.lit(False)),
-    ).otherwise(F.lit(False))
-    return wrong | not_object | quoted
+    texts = ("event_name", "channel", "campaign_id", "user_id")
+    suspect = event["metadata"].isNotNull() & value.rlike(r'"metadata"\s*:\s*[^{\s]')
+    for name in texts:
+        suspect = suspect | _opens_like(event[name], "{", "[")
+
+    def differs(member: Column) -> Column:
+        kind = F.schema_of_variant(
+            F.variant_get(F.try_parse_json(value), member["path"], "variant")
+        )
+        return F.coalesce(F.rlike(kind, member["refused"]), F.lit(False))
+
+    members = [(f"$.{name}", "^(OBJECT|ARRAY)") for name in texts] + [("$.metadata", "^(?!OBJECT|VOID)")]
+    table = F.array(*[
+        F.struct(F.lit(path).alias("path"), F.lit(refused).alias("refused")) for path, refused in members
+    ])
+    return F.when(suspect, F.exists(table, differs)).otherwise(F.lit(False))
 
 
 def _coerced_long(text: Column) -> Column:
     """A number or a quoted number as BIGINT, fractions cut off."""
-    number = F.try_cast(F.trim(text), "decimal(38,9)") if hasattr(F, "try_cast") else (
-        F.trim(text).try_cast("decimal(38,9)")
-    )
+    number = F.trim(text).try_cast("decimal(38,9)")
     whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
     return F.when(whole.between(*[F.lit(str(b)).cast("decimal(38,0)") for b in _LONG_RANGE]),
                   whole.cast("bigint"))

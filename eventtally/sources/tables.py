@@ -25,7 +25,7 @@ class BatchTable:
         return self.spark.read.schema(self.schema).parquet(self.root)
 
     def write(self, rows: DataFrame, bid: str) -> None:
-        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        names = [field.split(" ")[0] for field in self.schema.split(", ")]
         (
             rows.withColumn("bid", F.lit(bid))
             .select(*names)
