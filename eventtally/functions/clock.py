@@ -63,10 +63,12 @@ def iso_label(seconds: Column) -> Column:
     return F.concat(day, F.lit("T"), two[0], F.lit(":"), two[1], F.lit(":"), two[2], F.lit("Z"))
 
 
-def date_of(seconds: int) -> dt.date:
-    """UTC date of a Python integer, clamped to the range of a DATE."""
+def date_of(seconds: int) -> Column:
+    """UTC date of a Python integer as a literal, limited to the range of a
+    DATE."""
     day = min(max(seconds // DAY, FIRST_DAY), LAST_DAY)
-    return dt.date(1970, 1, 1) + dt.timedelta(days=day)
+    date = dt.date(1970, 1, 1) + dt.timedelta(days=day)
+    return F.lit(date.isoformat()).cast("date")
 
 
 def midnight_of(date: str) -> int:

@@ -28,8 +28,8 @@ def matching_hours(
     rollup matches no channel filter.
     """
     rows = rollup.filter(
-        (F.col("event_date") >= F.lit(clock.date_of(start)))
-        & (F.col("event_date") <= F.lit(clock.date_of(end)))
+        (F.col("event_date") >= clock.date_of(start))
+        & (F.col("event_date") <= clock.date_of(end))
         & (F.col("event_name") == event_name)
         & (F.col("date_hour") >= start)
         & (F.col("date_hour") < end)
@@ -146,8 +146,10 @@ def answer_requests(rollup: DataFrame, requests: DataFrame) -> DataFrame:
     asked = ("request_id", "event_name", "from", "to", "channel", "group_by")
     valid = check_requests(requests).filter(F.size("violations") == 0).select(*asked)
     # Spread the thin rows by request before the join widens them: the final
-    # grouping then needs no shuffle of the wide ones.
-    met = _laid_out(rollup, valid).repartition("request_id").join(
+    # grouping then needs no shuffle of the wide ones.  An explicit number
+    # keeps AQE from merging partitions that look small before the join.
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _laid_out(rollup, valid).repartition(tasks, "request_id").join(
         _day_slots(rollup), ["event_name", "all_channels", "slot_channel", "slot_day"], "left"
     )
     zero = F.lit(0).cast("bigint")

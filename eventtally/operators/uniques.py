@@ -16,7 +16,7 @@ def exact_users(ledger: DataFrame, since: int, until: int, *by: str) -> DataFram
     hour = clock.epoch_hour(F.col("event_timestamp"))
     return (
         ledger.filter(
-            F.col("event_date").between(F.lit(clock.date_of(since)), F.lit(clock.date_of(until)))
+            F.col("event_date").between(clock.date_of(since), clock.date_of(until))
             & (hour >= since) & (hour < until)
         )
         .groupBy(*by)
@@ -36,7 +36,7 @@ def sketched_users(sketches: DataFrame, since: int, until: int, *by: str) -> Dat
     """Approximate distinct users over a range, from stored sketches."""
     return (
         sketches.filter(
-            F.col("event_date").between(F.lit(clock.date_of(since)), F.lit(clock.date_of(until)))
+            F.col("event_date").between(clock.date_of(since), clock.date_of(until))
             & (F.col("date_hour") >= since) & (F.col("date_hour") < until)
         )
         .groupBy(*by)

@@ -26,6 +26,11 @@ def child_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(name for name in names if name.startswith(prefix))
 
 
+def make(spark: SparkSession, path: str) -> None:
+    system, location = _open(spark, path)
+    system.mkdirs(location)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     system, location = _open(spark, path)
     return system.delete(location, True)

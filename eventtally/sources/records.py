@@ -45,18 +45,33 @@ def stream_files(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
+def _as_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        F.lit(None).cast("string").alias("key"), "value", F.lit(0).alias("partition"),
+        F.unix_micros("_metadata.file_modification_time").alias("offset"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("place"),
+    )
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text files with one raw event per line.  They carry no offsets, so the
+    order is the file's modification time, then the place in the file."""
+    return _as_lines(spark.read.text(path))
+
+
 def stream_json_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Text files with one raw event per line.  Files carry no offsets, so the
-    position is the file's modification time, then the line's rank in Spark's
-    reading order."""
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select(
-        F.lit(None).cast("string").alias("key"), "value",
-        F.lit(0).alias("partition"),
-        F.monotonically_increasing_id().alias("offset"),
-    )
+    return _as_lines(reader.text(path))
+
+
+def in_order(records: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """Records and the columns that order them.  Lines of a file block are
+    numbered here, since a stream cannot number its rows before a batch."""
+    if "place" not in records.columns:
+        return records, ("offset", "partition")
+    return records.withColumn("line", F.monotonically_increasing_id()), ("offset", "place", "line")
 
 
 def kafka_options(servers: str, topic: str = TOPIC, **extra: str) -> dict[str, str]:

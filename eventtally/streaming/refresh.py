@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventtally.plans.ingest import Stores
 from eventtally.plans.refresh import refresh, today
 from eventtally.schema import LEDGER, REFRESH_SECONDS
+from eventtally.sources import folders
 
 log = logging.getLogger(__name__)
 
@@ -28,23 +29,29 @@ def start_refresh(
     recomputes just the dates they belong to, late events included.  There is
     no watermark: an event counts however late, while its date is inside the
     window.  A failed refresh is logged and leaves the old version in force;
-    the next one then recomputes the whole window.
+    the next one, like the first of a process, recomputes the whole window.
     """
-    failed = False
+    stale = True
 
     def handle(batch: DataFrame, number: int) -> None:
-        nonlocal failed
+        nonlocal stale
         # Partition columns only: no data column is read, and a refresh never
         # sees more days than the ledger has.
         days = [row["event_date"] for row in batch.select("event_date").distinct().collect()]
         try:
-            refresh(stores, as_of(), None if failed else days)
-            failed = False
+            refresh(stores, as_of(), None if stale else days)
+            stale = False
         except Exception:
-            failed = True
+            stale = True
             log.exception("rollup refresh failed; the old version stays")
 
-    files = stores.spark.readStream.schema(LEDGER).parquet(stores.ledger.root)
+    folders.make(stores.spark, stores.ledger.root)
+    # A replayed batch replaces its files; the new ones are seen in their turn.
+    files = (
+        stores.spark.readStream.schema(LEDGER)
+        .option("ignoreMissingFiles", "true")
+        .parquet(stores.ledger.root)
+    )
     return (
         files.writeStream.queryName("rollup-refresh")
         .foreachBatch(handle)
