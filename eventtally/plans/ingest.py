@@ -83,7 +83,7 @@ def new_events(
 ) -> DataFrame:
     """The batch's events that no other batch has stored, one row per key."""
     events = classified.filter(F.col("status") == OK).drop("status", "reason", "key", "value")
-    seen = stores.ledger.seen(stats["dates"], bid, stats["with_separator"] > 0, remember)
+    seen = stores.ledger.seen(stats["spans"], bid, stats["with_separator"] > 0, remember)
     if stats["deserialized"] <= BROADCAST_KEYS:
         # The batch is known to be small: look its keys up where the ledger
         # lies, so that the ledger is never shuffled.  The hits are no more
@@ -107,8 +107,14 @@ def _statistics(classified: DataFrame) -> dict:
         F.count_distinct(F.when(ok, F.unhex("idempotency_key"))).alias("unique_keys"),
     ).first()
     stats = row.asDict()
-    days = classified.filter(ok).select("event_date").distinct().limit(LOOKUP_DAYS + 1).collect()
-    stats["dates"] = None if len(days) > LOOKUP_DAYS else [day["event_date"] for day in days]
+    days = (
+        classified.filter(ok).groupBy("event_date")
+        .agg(F.min("event_timestamp").alias("low"), F.max("event_timestamp").alias("high"))
+        .limit(LOOKUP_DAYS + 1).collect()
+    )
+    stats["spans"] = None
+    if len(days) <= LOOKUP_DAYS:
+        stats["spans"] = {day["event_date"]: (day["low"], day["high"]) for day in days}
     return stats
 
 
@@ -147,9 +153,7 @@ def ingest_batch(
         if stats["deserialized"]:
             fresh = new_events(classified, stores, bid, stats, remember, order)
             stores.ledger.write(fresh.withColumn("received_at", arrival), bid)
-            inserted = (
-                stores.ledger.read(stats["dates"]).filter(F.col("bid") == bid).count()
-            )
+            inserted = stores.ledger.read(stats["spans"]).filter(F.col("bid") == bid).count()
     finally:
         classified.unpersist()
     counted = {

@@ -245,8 +245,7 @@ received AS (
          count(reason) AS dead
   FROM raw GROUP BY batch_id
 )
-SELECT row_number() OVER (ORDER BY r.batch_id) AS batch_number, received, skipped, dead,
-       deserialized, unique_keys, inserted,
+SELECT received, skipped, dead, deserialized, unique_keys, inserted,
        deserialized - unique_keys AS in_batch_duplicates,
        unique_keys - inserted AS cross_batch_duplicates
 FROM received r JOIN counted c ON c.batch_id = r.batch_id"""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventtally.functions import clock, text
@@ -472,8 +472,7 @@ def _ledger_view(stores: Stores) -> DataFrame:
 
 
 def _counter_view(stores: Stores) -> DataFrame:
-    order = F.row_number().over(Window.orderBy("bid")).cast("bigint")
-    return stores.counters.read().withColumn("batch_number", order).drop("bid")
+    return stores.counters.read().drop("bid")
 
 
 def stored_ledger(spark, folder):

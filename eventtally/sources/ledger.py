@@ -7,7 +7,8 @@ events and its keys visible together.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+import functools
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,22 @@ from eventtally.sources import folders
 _DATE, _BATCH = "event_date=", "bid="
 
 
+# First and last event second of each day.
+Spans = Mapping[dt.date, tuple[int, int]]
+# With more days than this, one span from the first to the last is tested.
+_SEPARATE_SPANS = 40
+
+
+def _within(spans: Spans) -> Column:
+    ranges = list(spans.values())
+    if not ranges:
+        return F.lit(False)
+    if len(ranges) > _SEPARATE_SPANS:
+        ranges = [(min(low for low, _ in ranges), max(high for _, high in ranges))]
+    tests = [F.col("event_timestamp").between(low, high) for low, high in ranges]
+    return functools.reduce(lambda a, b: a | b, tests)
+
+
 class Ledger:
     """Parquet under `<root>/event_date=<day>/bid=<batch>`.
 
@@ -59,15 +76,18 @@ class Ledger:
             for day in self.dates()
         )
 
-    def seen(
-        self, dates: Iterable[dt.date] | None, bid: str, with_separator: bool, since: Column | None = None
-    ) -> DataFrame:
-        """Keys other batches have stored, for a batch that touches `dates`
-        (None for all).
+    def seen(self, spans: Spans | None, bid: str, with_separator: bool,
+             since: Column | None = None) -> DataFrame:
+        """Keys other batches have stored that may equal keys of a batch.
+
+        `spans` has the batch's first and last event second per day.  Equal
+        keys mean equal timestamps unless a field holds the separator.  So
+        only the batch's days are listed, and of their files only the row
+        groups whose statistics meet its times are read: for a live stream the
+        last minutes, not the whole day.  None looks at everything.
 
-        Equal keys mean equal dates unless a field holds the separator; so
-        only for batches with such events are those keys of all days added,
-        found by a flag whose row-group statistics let the scan skip the rest.
+        For batches with separators in fields, such keys of all days are
+        added, found by a flag whose statistics let the scan skip the rest.
         `since` bounds how long a key is remembered; the default is forever.
         """
         def keys(rows: DataFrame) -> DataFrame:
@@ -76,8 +96,10 @@ class Ledger:
                 rows = rows.filter(F.col("received_at") >= since)
             return rows.select("idempotency_key")
 
-        known = keys(self.read(dates))
-        if with_separator and dates is not None:
+        if spans is None:
+            return keys(self.read())
+        known = keys(self.read(spans).filter(_within(spans)))
+        if with_separator:
             known = known.unionByName(keys(self.read().filter("key_has_separator")))
         return known
 
@@ -94,12 +116,15 @@ class Ledger:
         """Store one batch.  Rewriting a batch replaces its folders only.
 
         REBALANCE cuts the output by day into files of the advisory size, and
-        splits a day that holds most of the batch over many tasks.
+        splits a day that holds most of the batch over many tasks.  Rows are
+        in time order, for the statistics `seen` relies on; it is the order
+        the partitioned write needs anyway, one column longer.
         """
         (
             rows.withColumn("bid", F.lit(bid))
             .select(*LEDGER_COLUMNS)
             .hint("rebalance", "event_date")
+            .sortWithinPartitions("event_date", "bid", "event_timestamp")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("parquet.bloom.filter.enabled#idempotency_key", "true")

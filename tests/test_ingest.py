@@ -136,13 +136,20 @@ def test_hot_key_is_reduced_before_the_shuffle(spark, stores):
     assert "Partial" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 
-def test_lookup_reads_only_the_days_of_the_batch(spark, stores):
-    values = [event_json(ts=T0 + 86400 * d) for d in range(6)]
+def test_lookup_reads_only_the_days_and_times_of_the_batch(spark, stores):
+    values = [event_json(ts=T0 + 86400 * d + s) for d in range(6) for s in (0, 5, 10)]
     ingest_batch(stores, records_frame(spark, values), "b-1")
-    seen = stores.ledger.seen([dt.date(2026, 2, 16)], "b-2", False)
-    assert len(seen.inputFiles()) == 1 and seen.count() == 1
+    day = dt.date(2026, 2, 16)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    seen = stores.ledger.seen({day: (T0 + 86400 + 3, T0 + 86400 + 10)}, "b-2", False)
+    assert len(seen.inputFiles()) == 1 and seen.count() == 2
     plan = seen._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<idempotency_key:string>" in plan
+    assert f"GreaterThanOrEqual(event_timestamp,{T0 + 86400 + 3})" in plan
+    assert "ReadSchema: struct<event_timestamp:bigint,idempotency_key:string>" in plan
+    many = {day + dt.timedelta(n): (T0, T0 + 10**6) for n in range(100)}
+    assert stores.ledger.seen(many, "b-2", False).count() == 15
+    assert stores.ledger.seen({}, "b-2", False).count() == 0
+    assert stores.ledger.seen(None, "b-2", False).count() == 18
 
 
 def test_dead_letter_replay(spark, stores):
