@@ -53,9 +53,7 @@ KEY_SEPARATOR = "|"
 TOPIC = "events-ingestion"
 TOPIC_PARTITIONS = 6
 DEAD_LETTER_SUFFIX = ".DLT"
-DEAD_LETTER_PARTITIONS = 3
 MAX_RECORDS_PER_POLL = 1000
-READERS = 3
 RETENTION_KEY = "mv_retention_days"
 DEFAULT_RETENTION_DAYS = 7
 INBOX_RETENTION_DAYS = 7

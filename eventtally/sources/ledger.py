@@ -13,6 +13,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventtally.operators import dedup
 from eventtally.schema import LEDGER, LEDGER_COLUMNS
 from eventtally.sources import folders
 
@@ -69,13 +70,6 @@ class Ledger:
         """Events of `since` and every later day."""
         return self.read(day for day in self.dates() if day >= since)
 
-    def has_batches(self, prefix: str) -> bool:
-        """Whether any day holds a batch of this name prefix."""
-        return any(
-            folders.child_folders(self.spark, f"{self.root}/{_DATE}{day.isoformat()}", _BATCH + prefix)
-            for day in self.dates()
-        )
-
     def seen(self, spans: Spans | None, bid: str, with_separator: bool,
              since: Column | None = None) -> DataFrame:
         """Keys other batches have stored that may equal keys of a batch.
@@ -133,6 +127,24 @@ class Ledger:
             .parquet(self.root)
         )
 
+    def merge_day(self, day: dt.date, bid: str) -> int:
+        """Gather a day's batches in one, `bid`; returns how many there were.
+
+        A maintenance job, to be run while no batch is ingested and no rollup
+        refreshed.  The merged rows are written before the old folders go, so
+        nothing can be lost; if it is interrupted in between, running it again
+        heals the day, since one row per key is kept.
+        """
+        folder = f"{self.root}/{_DATE}{day.isoformat()}"
+        old = [name for name in folders.child_folders(self.spark, folder, _BATCH) if name != _BATCH + bid]
+        if not old:
+            return 0
+        rows = dedup.last_in_batch(self.read([day]), order=("received_at", "bid"))
+        self.write(rows, bid)
+        for name in old:
+            folders.remove(self.spark, f"{folder}/{name}")
+        return len(old)
+
     def drop_before(self, bound: dt.date) -> list[dt.date]:
         """Remove whole days before `bound`; returns them."""
         gone = [day for day in self.dates() if day < bound]

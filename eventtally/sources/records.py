@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventtally.schema import MAX_RECORDS_PER_POLL, RECORD, TOPIC, TOPIC_PARTITIONS
+from eventtally.schema import (
+    DEAD_LETTER_SUFFIX, MAX_RECORDS_PER_POLL, RECORD, TOPIC, TOPIC_PARTITIONS,
+)
 
 _COLUMNS = ("key", "value", "partition", "offset")
 
@@ -113,3 +115,9 @@ def publish_kafka(records: DataFrame, servers: str, topic: str = TOPIC) -> None:
         })
         .save()
     )
+
+
+def publish_dead_letters(letters: DataFrame, servers: str, topic: str = TOPIC) -> None:
+    """Also send refused records, raw, to the topic's dead-letter topic; the
+    quarantine table stays the record of why they were refused."""
+    publish_kafka(letters, servers, topic + DEAD_LETTER_SUFFIX)

@@ -24,6 +24,9 @@ class BatchTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.root)
 
+    def has_batches(self, prefix: str) -> bool:
+        return bool(folders.child_folders(self.spark, self.root, f"bid={prefix}"))
+
     def write(self, rows: DataFrame, bid: str) -> None:
         names = [field.split(" ")[0] for field in self.schema.split(", ")]
         (

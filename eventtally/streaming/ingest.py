@@ -22,12 +22,12 @@ def start_ingest(
     The checkpoint fixes which records form micro-batch n, and the batch's
     tables are keyed by (name, n); so a micro-batch that is replayed after a
     crash rewrites what it wrote, and delivery is effectively once.  Losing
-    the checkpoint would start again at n = 0 and overwrite old batches, so a
-    ledger that knows `name` but has no checkpoint is refused.
+    the checkpoint would start again at n = 0 and overwrite old batches, so
+    `name` is refused when batches of it are on record but no checkpoint.
     """
-    if stores.ledger.has_batches(f"{name}-") and not folders.exists(stores.spark, checkpoint):
+    if stores.counters.has_batches(f"{name}-") and not folders.exists(stores.spark, checkpoint):
         raise RuntimeError(
-            f"the ledger holds batches of '{name}' but {checkpoint} does not exist; "
+            f"batches of '{name}' are on record but {checkpoint} does not exist; "
             "start the stream under another name"
         )
 

@@ -172,6 +172,33 @@ def test_expired_days_are_dropped(spark, stores):
     assert stores.ledger.read().count() == 2
 
 
+def test_merging_a_day_keeps_its_rows(spark, stores):
+    day = dt.date(2026, 2, 15)
+    for n in range(3):
+        values = [event_json(ts=T0 + n, channel=f"c{n}"), event_json(ts=T0 + 86400 + n)]
+        ingest_batch(stores, records_frame(spark, values), f"b-{n}")
+    folder = f"{stores.ledger.root}/event_date=2026-02-15"
+
+    def rows():
+        got = stores.ledger.read([day]).drop("bid").collect()
+        return sorted(got, key=lambda r: r["event_timestamp"])
+
+    before = rows()
+    assert stores.ledger.merge_day(day, "merged-1") == 3
+    assert rows() == before and folders.child_folders(spark, folder, "bid=") == ["bid=merged-1"]
+    # Interrupted after the write: the day's rows are there twice, then healed.
+    twice = stores.ledger.read([day]).collect()
+    again = spark.createDataFrame(twice, stores.ledger.read([day]).schema)
+    stores.ledger.write(again, "b-0")
+    assert stores.ledger.merge_day(day, "merged-2") == 2
+    assert rows() == before
+    assert stores.ledger.merge_day(day, "merged-2") == 0
+    # A batch replayed after it was merged adds nothing.
+    values = [event_json(ts=T0, channel="c0"), event_json(ts=T0 + 86400)]
+    ingest_batch(stores, records_frame(spark, values), "b-0")
+    assert rows() == before and stores.ledger.read().count() == 6
+
+
 def test_time_to_live_is_strict(spark):
     now = 10 * 86400
     seen = spark.createDataFrame([(3 * 86400 - 1,), (3 * 86400,), (now,)], "received_at BIGINT")
