@@ -95,26 +95,44 @@ def new_events(
     return dedup.unseen(dedup.last_in_batch(events, order), seen)
 
 
+# The 32 bytes of the digest, half of what its hex text would shuffle.
+_UNIQUE_KEYS = "count(DISTINCT CASE WHEN status = 'ok' THEN unhex(idempotency_key) END)"
+_COUNTS = {
+    "received": "count(*)",
+    "skipped": "count_if(status = 'skipped')",
+    "dead": "count_if(status = 'dead')",
+    "deserialized": "count_if(status = 'ok')",
+    "with_separator": "count_if(status = 'ok' AND key_has_separator)",
+}
+
+
 def _statistics(classified: DataFrame) -> dict:
-    ok = F.col("status") == OK
-    row = classified.agg(
-        F.count("*").alias("received"),
-        F.count_if(F.col("status") == SKIPPED).alias("skipped"),
-        F.count_if(F.col("status") == DEAD).alias("dead"),
-        F.count_if(ok).alias("deserialized"),
-        F.count_if(ok & F.col("key_has_separator")).alias("with_separator"),
-        # The 32 bytes of the digest, half of what its hex text would shuffle.
-        F.count_distinct(F.when(ok, F.unhex("idempotency_key"))).alias("unique_keys"),
-    ).first()
-    stats = row.asDict()
+    """What the batch holds, and the time span of its events per day.
+
+    One job, a row per day.  Days add up, but for unique keys when events of
+    different days may share one; then, and for a batch of very many days, the
+    batch is counted as a whole.
+    """
+    counts = [F.expr(text).alias(name) for name, text in _COUNTS.items()]
+    unique = F.expr(_UNIQUE_KEYS).alias("unique_keys")
     days = (
-        classified.filter(ok).groupBy("event_date")
-        .agg(F.min("event_timestamp").alias("low"), F.max("event_timestamp").alias("high"))
-        .limit(LOOKUP_DAYS + 1).collect()
+        classified.groupBy("event_date")
+        .agg(
+            *counts, unique,
+            F.expr("min(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("low"),
+            F.expr("max(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("high"),
+        )
+        .limit(LOOKUP_DAYS + 1)
+        .collect()
     )
-    stats["spans"] = None
-    if len(days) <= LOOKUP_DAYS:
-        stats["spans"] = {day["event_date"]: (day["low"], day["high"]) for day in days}
+    if len(days) > LOOKUP_DAYS:
+        return classified.agg(*counts, unique).first().asDict() | {"spans": None}
+    stats = {name: sum(day[name] for day in days) for name in (*_COUNTS, "unique_keys")}
+    if stats["with_separator"]:
+        stats |= classified.agg(unique).first().asDict()
+    stats["spans"] = {
+        day["event_date"]: (day["low"], day["high"]) for day in days if day["deserialized"]
+    }
     return stats
 
 

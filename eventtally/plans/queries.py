@@ -19,7 +19,7 @@ from eventtally.plans import sample
 from eventtally.plans.ingest import Stores, classify, dead_letters, ingest_batch, replay_dead_letters
 from eventtally.plans.refresh import expire_days, refresh
 from eventtally.session import new_workspace
-from eventtally.sources import payloads, records
+from eventtally.sources import folders, payloads, records
 from eventtally.streaming import windows
 from eventtally.streaming.ingest import start_ingest
 from eventtally.streaming.refresh import start_refresh
@@ -410,9 +410,15 @@ def _deliveries(spark, folder) -> DataFrame:
     )
 
 
-def _batches(sent: DataFrame) -> list[int]:
-    """Batch numbers in order: the weeks of the data, a handful."""
-    return [row["batch_id"] for row in sent.select("batch_id").distinct().orderBy("batch_id").collect()]
+def _staged(spark, folder, stores: Stores):
+    """The deliveries written once, then batch by batch in order; a batch is a
+    week of the data, so there are a handful."""
+    stage = f"{stores.root}/deliveries"
+    sent = _deliveries(spark, folder).hint("rebalance", "batch_id")
+    sent.write.partitionBy("batch_id").parquet(stage)
+    for name in folders.child_folders(spark, stage, "batch_id="):
+        number = int(name.removeprefix("batch_id="))
+        yield number, records.read_files(spark, f"{stage}/{name}")
 
 
 def _newest(spark, folder) -> dt.date:
@@ -432,15 +438,13 @@ def _once(spark, folder, kind, run) -> Stores:
 def _batch_run(spark, folder) -> Stores:
     """Ingest batch by batch; refresh after each with the dates it touched."""
     def run(stores: Stores) -> None:
-        sent = _deliveries(spark, folder)
         newest = _newest(spark, folder)
         stores.config.initialize()
         stores.config.set({"mv_retention_days": "10"})
-        for number in _batches(sent):
+        for number, batch in _staged(spark, folder, stores):
             bid = f"load-{number:06d}"
-            ingest_batch(stores, sent.filter(F.col("batch_id") == number).drop("batch_id"), bid)
-            touched = stores.ledger.read().filter(F.col("bid") == bid).select("event_date").distinct()
-            refresh(stores, newest, [row["event_date"] for row in touched.collect()])
+            ingest_batch(stores, batch, bid)
+            refresh(stores, newest, stores.ledger.days_of(bid))
 
     return _once(spark, folder, "batch", run)
 
@@ -449,11 +453,10 @@ def _stream_run(spark, folder) -> Stores:
     """Publish each batch's records as files, and run the stream on them; then
     let the refresh stream catch up with the ledger."""
     def run(stores: Stores) -> None:
-        sent = _deliveries(spark, folder)
         newest = _newest(spark, folder)
         inbox = f"{stores.root}/records"
-        for number in _batches(sent):
-            records.publish_files(sent.filter(F.col("batch_id") == number), inbox)
+        for _, batch in _staged(spark, folder, stores):
+            records.publish_files(batch, inbox)
             start_ingest(
                 stores, records.stream_files(spark, inbox), f"{stores.root}/checkpoints/ingest"
             ).awaitTermination()

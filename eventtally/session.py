@@ -19,6 +19,9 @@ DEFAULTS = {
     "spark.sql.parquet.compression.codec": "zstd",
     # Encoding keys, which do not compress, costs more than it saves.
     "spark.sql.inMemoryColumnarStorage.compressed": "false",
+    # Noting the Python line of every column expression slows down building
+    # plans, which a stream does for each micro-batch.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }

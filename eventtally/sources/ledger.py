@@ -52,6 +52,13 @@ class Ledger:
         names = folders.child_folders(self.spark, self.root, _DATE)
         return [dt.date.fromisoformat(name[len(_DATE):]) for name in names]
 
+    def days_of(self, bid: str) -> list[dt.date]:
+        """Days a batch added events to, what a refresh after it must redo."""
+        return [
+            day for day in self.dates()
+            if folders.exists(self.spark, f"{self.root}/{_DATE}{day.isoformat()}/{_BATCH}{bid}")
+        ]
+
     def read(self, dates: Iterable[dt.date] | None = None) -> DataFrame:
         """All events, or those of some days without listing the others."""
         present = self.dates()
