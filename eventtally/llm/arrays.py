@@ -38,7 +38,7 @@ def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.Record
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, and where each text begins and the last ends; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     if raw is None or offsets[-1] == offsets[0]:

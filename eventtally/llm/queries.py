@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventtally.llm import language_id, line_dedup, packing, topk
+from eventtally.llm import byte_bpe, language_id, line_dedup, packing, topk, toxicity
 from eventtally.llm.tables import table
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and its ids decoded again."""
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from the rows that are not held out, applied to all."""
     docs = table(spark, sf_dir, "documents")
@@ -33,6 +42,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the labels of rows that are not held out, applied to all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~language_id.held_out("doc_id", 5, 0)))
+    scored = toxicity.score(docs.select("doc_id", language_id.held_out("doc_id", 5, 0).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 QUERIES = {
-    query.__name__: query for query in (op4_language_id, op5_packing, op6_topk, op9_line_dedup)
+    query.__name__: query for query in (op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op9_line_dedup, op10_toxicity)
 }
