@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventtally.llm import byte_bpe, language_id, line_dedup, packing, topk, toxicity
+from eventtally.llm import byte_bpe, language_id, line_dedup, minhash, packing, topk, toxicity
 from eventtally.llm.tables import table
 
 
@@ -36,6 +36,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0), 20)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cleaned = line_dedup.drop_boilerplate(docs, counts=("n_lines", "n_dropped"))
@@ -51,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    query.__name__: query for query in (op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op9_line_dedup, op10_toxicity)
+    query.__name__: query for query in (op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op7_minhash, op9_line_dedup, op10_toxicity)
 }
