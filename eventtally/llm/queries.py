@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventtally.llm import byte_bpe, language_id, line_dedup, minhash, packing, topk, toxicity
+from eventtally.llm import byte_bpe, language_id, line_dedup, minhash, packing, substring_dedup, topk, toxicity
 from eventtally.llm.tables import table
 
 
@@ -41,6 +41,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.drop_repeated(docs)
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cleaned = line_dedup.drop_boilerplate(docs, counts=("n_lines", "n_dropped"))
@@ -56,5 +63,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    query.__name__: query for query in (op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op7_minhash, op9_line_dedup, op10_toxicity)
+    query.__name__: query for query in (op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op7_minhash, op8_substring_dedup, op9_line_dedup, op10_toxicity)
 }
