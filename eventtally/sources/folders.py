@@ -31,6 +31,15 @@ def make(spark: SparkSession, path: str) -> None:
     system.mkdirs(location)
 
 
+def write(spark: SparkSession, path: str, content: bytes) -> None:
+    system, location = _open(spark, path)
+    stream = system.create(location)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     system, location = _open(spark, path)
     return system.delete(location, True)
