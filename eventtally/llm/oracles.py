@@ -5,6 +5,54 @@ from __future__ import annotations
 from eventtally.llm import line_dedup
 
 ORACLES = {
+    "op1_url_filters": r"""
+        WITH urls AS (
+            SELECT DISTINCT url, rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.') AS host
+            FROM pages WHERE url IS NOT NULL
+        ), hosts AS (
+            SELECT host, ('0x' || substr(md5(host), 1, 7))::BIGINT AS mark, string_split(host, '.') AS labels
+            FROM (SELECT DISTINCT host FROM urls WHERE host <> '')
+        ), paths AS (
+            SELECT host, ('0x' || substr(md5(url), 1, 7))::BIGINT AS mark,
+                   regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1) AS segment
+            FROM urls WHERE host <> ''
+        ), entries AS (
+            SELECT 'hosts' AS list, 'host' AS kind, host AS value, 'block' AS verdict, 'add' AS action, 1704067200 + mark % 1209600 AS since
+            FROM hosts WHERE mark % 3 = 0
+            UNION ALL
+            SELECT 'hosts', 'host', host, 'block', 'remove', 1704067200 + mark % 1209600 + 432000 FROM hosts WHERE mark % 6 = 0
+            UNION ALL
+            SELECT 'domains', 'domain', array_to_string(labels[greatest(len(labels) - 2, 1):], '.'), 'block', 'add', 1704067200 + mark % 2419200
+            FROM hosts WHERE mark % 5 = 0
+            UNION ALL
+            SELECT 'paths', 'prefix', host || '/' || segment, 'allow', 'add', 1704067200 + mark % 2419200
+            FROM paths WHERE mark % 7 = 0 AND segment <> ''
+        ), captures AS (
+            SELECT page_id, 1704067200 + (page_id * 483059) % 2419200 AS fetched_at,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+                   rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.') AS host
+            FROM pages
+        ), states AS (
+            SELECT DISTINCT c.page_id, c.fetched_at, e.list, e.kind, e.value,
+                   max(e.since) OVER (PARTITION BY c.page_id, e.list, e.kind, e.value) AS newest, e.since, e.action, e.verdict
+            FROM captures c JOIN entries e ON e.since <= c.fetched_at AND (
+                (e.kind = 'host' AND e.value = c.host)
+                OR (e.kind = 'domain' AND (e.value = c.host OR ends_with(c.host, '.' || e.value)))
+                OR (e.kind = 'prefix' AND starts_with(c.host || c.path || '/', e.value || '/')))
+        ), active AS (
+            SELECT page_id, list, kind, value, since, min(verdict) AS verdict FROM states WHERE since = newest
+            GROUP BY page_id, list, kind, value, since HAVING min(action) = 'add'
+        ), ranked AS (
+            SELECT *, count(*) OVER (PARTITION BY page_id) AS n_active, row_number() OVER (
+                PARTITION BY page_id
+                ORDER BY length(value) DESC, CASE kind WHEN 'prefix' THEN 0 WHEN 'host' THEN 1 ELSE 2 END, verdict <> 'block', list
+            ) AS place
+            FROM active
+        )
+        SELECT c.page_id, c.fetched_at, coalesce(r.verdict, CASE WHEN coalesce(c.host, '') = '' THEN 'no_url' ELSE 'none' END) AS verdict,
+               r.list, r.kind, r.value, r.since AS listed_at, coalesce(r.n_active, 0) AS n_active
+        FROM captures c LEFT JOIN ranked r ON c.page_id = r.page_id AND r.place = 1
+    """,
     "op6_topk": """
         WITH whole AS (
             SELECT vec_id, embedding FROM embeddings

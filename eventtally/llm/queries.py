@@ -5,10 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventtally.llm import byte_bpe, language_id, line_dedup, minhash, packing, substring_dedup, topk, toxicity
+import corpus_pipeline
+from eventtally.llm import (
+    byte_bpe, embedding_dedup, language_id, line_dedup, minhash, packing, substring_dedup, topk, toxicity, url_filters,
+)
 from eventtally.llm.tables import table
 
 
+#: The captures' month: its first second and its length.
+MONTH, MONTH_SECONDS = 1704067200, 28 * 86400
+
+
+def listed_values(pages: DataFrame) -> DataFrame:
+    """Dated list entries drawn from the pages' own URLs, by checksums of hosts and URLs.
+
+    A third of the hosts get blocked, half of those for five days only; domains of
+    every fifth host get blocked; first path segments of every seventh URL get allowed.
+    """
+    def checksum(text):
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+    host = url_filters.host_of(F.col("url"))
+    urls = pages.where(F.col("url").isNotNull()).select("url", host.alias("host")).where(F.col("host") != "").distinct()
+    hosts = urls.select("host").distinct().withColumn("mark", checksum(F.col("host")))
+
+    def entries(rows, name, kind, value, verdict, action, at):
+        return rows.select(
+            F.lit(name).alias("list"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(verdict).alias("verdict"),
+            F.lit(action).alias("action"), at.alias("at"),
+        )
+
+    added = F.lit(MONTH) + F.col("mark") % (MONTH_SECONDS // 2)
+    labels = F.split("host", r"\.")
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
+    paths = urls.withColumn("mark", checksum(F.col("url"))).withColumn(
+        "segment", F.regexp_extract("url", r"^[^:]*://[^/?#]*/([^/?#]+)", 1)
+    )
+    found = entries(hosts.where(F.col("mark") % 3 == 0), "hosts", "host", F.col("host"), "block", "add", added)
+    for more in (
+        entries(hosts.where(F.col("mark") % 6 == 0), "hosts", "host", F.col("host"), "block", "remove", added + 5 * 86400),
+        entries(hosts.where(F.col("mark") % 5 == 0), "domains", "domain", domain, "block", "add", F.lit(MONTH) + F.col("mark") % MONTH_SECONDS),
+        entries(
+            paths.where((F.col("mark") % 7 == 0) & (F.col("segment") != "")), "paths", "prefix",
+            F.concat("host", F.lit("/"), "segment"), "allow", "add", F.lit(MONTH) + F.col("mark") % MONTH_SECONDS,
+        ),
+    ):
+        found = found.unionByName(more)
+    return found
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched at a second that its id gives, against the lists drawn from all URLs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.lit(MONTH) + F.pmod(F.col("page_id") * 483059, F.lit(MONTH_SECONDS)))
+    found = url_filters.evaluate(captures, url_filters.intervals(listed_values(pages)), "page_id")
+    return found.withColumnRenamed("id", "page_id").drop("url")
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and its ids decoded again."""
     coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
@@ -62,6 +120,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    query.__name__: query for query in (op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op7_minhash, op8_substring_dedup, op9_line_dedup, op10_toxicity)
+    query.__name__: query for query in (
+        op1_url_filters, op2_embedding_dedup, op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op7_minhash,
+        op8_substring_dedup, op9_line_dedup, op10_toxicity, pipeline,
+    )
 }
