@@ -41,8 +41,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates the document with the smallest id; of rows with equal id and text one."""
     share_package(spark)
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("of")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("of"), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
