@@ -32,16 +32,18 @@ def last_with_first_position(
     events: DataFrame, offset: str = "offset", keys: tuple[str, ...] = (KEY,)
 ) -> DataFrame:
     """The same, with `first_offset`, where the key arrived first: the order
-    in which a batch emits its keys."""
-    payload = [name for name in events.columns if name not in keys]
-    return (
-        events.groupBy(*keys)
-        .agg(
-            F.max_by(F.struct(*payload), offset).alias("winner"),
-            F.min(offset).alias("first_offset"),
-        )
-        .select(*keys, "winner.*", "first_offset")
-    )
+    in which a batch emits its keys.
+
+    Two reductions, each partial on the map side: the rank keeps a row a key
+    and task, the offsets alone are summed up.
+    """
+    first = events.groupBy(*keys).agg(F.min(offset).alias("first_offset"))
+    return last_in_batch(events, (offset,), keys).join(first, list(keys))
+
+
+def first_stored(rows: DataFrame) -> DataFrame:
+    """One row per key and date, the one that was stored first."""
+    return _first_row(rows, (KEY, "event_date"), [F.asc("received_at"), F.asc("bid")])
 
 
 def first_batch_last_arrival(
@@ -61,16 +63,19 @@ def unseen(batch: DataFrame, ledger: DataFrame, key: str = KEY) -> DataFrame:
     return batch.join(ledger.select(key), key, "left_anti")
 
 
+def storable(batch: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows of the batch that no row of `seen` refuses: by key and date, and by
+    the key alone where `everywhere` says so."""
+    known = seen.select(F.col(KEY).alias("_key"), F.col("event_date").alias("_date"), "everywhere")
+    refused = (F.col(KEY) == F.col("_key")) & (F.col("everywhere") | (F.col("event_date") == F.col("_date")))
+    return batch.join(known, refused, "left_anti")
+
+
 def insert_ignore(rows: DataFrame, table: DataFrame, on: tuple[str, ...]) -> DataFrame:
     """Rows an insert that ignores conflicts on `on` would add."""
     return rows.join(table.select(*on), list(on), "left_anti")
 
 
-def key_exists(ledger: DataFrame, value: str, key: str = KEY) -> bool:
-    """Point lookup; the equality reaches the Parquet scan."""
-    return not ledger.filter(F.col(key) == value).select(key).limit(1).isEmpty()
-
-
 def batch_counters(arrivals: DataFrame, batch: str = "batch_id", offset: str = "offset",
                    key: str = KEY) -> DataFrame:
     """Per batch: deserialized, unique keys, inserted, and both kinds of

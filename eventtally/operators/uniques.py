@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from eventtally.functions import clock
 
 
+#: Three standard errors of a sketch of 4,096 buckets, as a share of the count.
+ERROR_BOUND = 0.05
+
+
 def exact_users(ledger: DataFrame, since: int, until: int, *by: str) -> DataFrame:
     """Exact distinct users per `by` group for hours starting in the range."""
     hour = clock.epoch_hour(F.col("event_timestamp"))

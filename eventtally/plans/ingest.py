@@ -5,20 +5,18 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventtally.operators import dedup, project, validate
 from eventtally.schema import CORRUPT
-from eventtally.sources import payloads, records as record_source, tables
+from eventtally.sources import folders, payloads, records as record_source, tables
 from eventtally.sources.ledger import Ledger
 
-# Above this many rows a batch's keys are not broadcast.  A key costs about
-# 150 bytes in a hash table, so this is some 75 MB per executor.
+#: Above this many rows a batch's keys are not broadcast.  A key costs about
+#: 150 bytes in a hash table, so this is some 75 MB per executor.  The results
+#: are the same either way.
 BROADCAST_KEYS = 500_000
-# Above this many days in one batch, the lookup reads all days instead.
-LOOKUP_DAYS = 4_000
 
 OK, DEAD, SKIPPED = "ok", "dead", "skipped"
 
@@ -42,10 +40,29 @@ class Stores:
     def counters(self) -> tables.BatchTable:
         return tables.counters(self.spark, f"{self.root}/counters")
 
+    @property
+    def answers(self) -> tables.BatchTable:
+        return tables.answers(self.spark, f"{self.root}/answers")
+
+    @property
+    def replays(self) -> tables.BatchTable:
+        return tables.replays(self.spark, f"{self.root}/replays")
+
+    def letters(self) -> DataFrame:
+        """The dead letters still to be mended: a replay that is complete has
+        taken its letters over, and holds those it could not mend either."""
+        done = self.replays.read().join(self.counters.read().select("bid"), "bid", "left_semi")
+        consumed = done.select(F.explode("consumed").alias("bid")).distinct()
+        return self.quarantine.read().join(consumed, "bid", "left_anti")
+
     @property
     def rollup(self):
         return tables.rollup(self.spark, f"{self.root}/rollup")
 
+    @property
+    def sketches(self):
+        return tables.sketches(self.spark, f"{self.root}/sketches")
+
     @property
     def config(self) -> tables.Config:
         return tables.Config(self.spark, f"{self.root}/config")
@@ -71,28 +88,40 @@ def classify(
 
 
 def dead_letters(classified: DataFrame) -> DataFrame:
-    """The refused records with their raw text; an absent key becomes ''."""
+    """The refused records with their raw text and place; an absent key becomes ''.
+
+    Records of text files have no offset that tells them apart; their place is
+    the file and the line's number in the batch.
+    """
+    source, line = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    if "place" in classified.columns:
+        source, line = F.col("place.file_path"), F.col("line")
+    elif {"source", "line"} <= set(classified.columns):
+        source, line = F.col("source"), F.col("line")
     return classified.filter(F.col("status") == DEAD).select(
-        F.coalesce("key", F.lit("")).alias("key"), "value", "partition", "offset", "reason"
+        F.coalesce("key", F.lit("")).alias("key"), "value", "partition", "offset",
+        source.alias("source"), line.alias("line"), "reason",
     )
 
 
 def new_events(
-    classified: DataFrame, stores: Stores, bid: str, stats: dict, remember=None,
-    order: tuple[str, ...] = ("offset", "partition"),
+    events: DataFrame, stores: Stores, bid: str, stats: dict, remember=None,
+    order: tuple[str, ...] = ("offset", "partition"), broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """The batch's events that no other batch has stored, one row per key."""
-    events = classified.filter(F.col("status") == OK).drop("status", "reason", "key", "value")
     seen = stores.ledger.seen(stats["spans"], bid, stats["with_separator"] > 0, remember)
-    if stats["deserialized"] <= BROADCAST_KEYS:
+    if stats["deserialized"] <= broadcast_keys:
         # The batch is known to be small: look its keys up where the ledger
         # lies, so that the ledger is never shuffled.  The hits are no more
-        # than the batch's keys.
-        wanted = F.broadcast(events.select("idempotency_key"))
-        hits = seen.join(wanted, "idempotency_key", "left_semi")
-        fresh = events.join(F.broadcast(hits), "idempotency_key", "left_anti")
-        return dedup.last_in_batch(fresh, order)
-    return dedup.unseen(dedup.last_in_batch(events, order), seen)
+        # than the batch's keys, as the ledger has one row per key and date.
+        wanted = F.broadcast(events.select("idempotency_key").distinct())
+        hits = seen.join(wanted, "idempotency_key", "left_semi").distinct()
+        return dedup.last_in_batch(dedup.storable(events, F.broadcast(hits)), order)
+    # Only keys are shuffled to find the new ones; payloads of the others stay
+    # where they are, if the new keys turn out to be few.
+    keys = events.select("idempotency_key", "event_date").distinct()
+    fresh = dedup.storable(keys, seen).select("idempotency_key", "event_date")
+    return dedup.last_in_batch(events.join(fresh, ["idempotency_key", "event_date"], "left_semi"), order)
 
 
 # The 32 bytes of the digest, half of what its hex text would shuffle.
@@ -110,23 +139,15 @@ def _statistics(classified: DataFrame) -> dict:
     """What the batch holds, and the time span of its events per day.
 
     One job, a row per day.  Days add up, but for unique keys when events of
-    different days may share one; then, and for a batch of very many days, the
-    batch is counted as a whole.
+    different days may share one; then the batch is counted as a whole.
     """
     counts = [F.expr(text).alias(name) for name, text in _COUNTS.items()]
     unique = F.expr(_UNIQUE_KEYS).alias("unique_keys")
-    days = (
-        classified.groupBy("event_date")
-        .agg(
-            *counts, unique,
-            F.expr("min(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("low"),
-            F.expr("max(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("high"),
-        )
-        .limit(LOOKUP_DAYS + 1)
-        .collect()
-    )
-    if len(days) > LOOKUP_DAYS:
-        return classified.agg(*counts, unique).first().asDict() | {"spans": None}
+    days = classified.groupBy("event_date").agg(
+        *counts, unique,
+        F.expr("min(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("low"),
+        F.expr("max(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("high"),
+    ).collect()
     stats = {name: sum(day[name] for day in days) for name in (*_COUNTS, "unique_keys")}
     if stats["with_separator"]:
         stats |= classified.agg(unique).first().asDict()
@@ -145,35 +166,55 @@ def ingest_batch(
     first_date: str | None = None,
     last_date: str | None = None,
     remember_days: int | None = None,
+    broadcast_keys: int = BROADCAST_KEYS,
+    owner: str | None = None,
+    wait_seconds: float = 600,
 ) -> dict:
     """Ingest one batch under the name `bid` and return its counters.
 
-    Running it again with the same records changes nothing: each table's
+    A batch on record is not ingested again; its counters are returned.  One
+    that was cut off may be run again with the same records: each table's
     output is keyed by `bid` and overwritten, and the lookup ignores what the
     same batch stored before.  A bad record never fails its batch.
+
+    A key is stored once a date, always.  `remember_days` limits how long a key
+    is refused on other dates, which matters for fields that hold the
+    separator.  `broadcast_keys` bounds the keys that are broadcast.  Batches
+    of one ledger follow each other: another `owner` (the batch, or a stream
+    for all of its batches) waits `wait_seconds` for its turn.
     """
+    on_record = stores.counters.of_batch(bid).drop("days", "bid").first()
+    if on_record:
+        return on_record.asDict()
+    with stores.ledger.writing(owner or bid, wait_seconds):
+        return _ingest(stores, records, bid, received_at, coerce, first_date, last_date, remember_days, broadcast_keys)
+
+
+def _ingest(stores, records, bid, received_at, coerce, first_date, last_date, remember_days, broadcast_keys) -> dict:
     arrival = F.lit(received_at or dt.datetime.now(dt.timezone.utc))
     remember = None
     if remember_days is not None:
         remember = arrival - F.make_dt_interval(F.lit(remember_days))
     records, order = record_source.in_order(records)
     classified = classify(records, coerce, first_date, last_date)
-    # Kept for the jobs below, without the raw text of good records; lost
-    # blocks are parsed again.
-    classified = classified.withColumn(
-        "value", F.when(F.col("status") == DEAD, F.col("value"))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # Parsed once for the jobs below and kept in the shared folder, where no
+    # lost executor can take it along; without the raw text of good records.
+    classified = classified.withColumn("value", F.when(F.col("status") == DEAD, F.col("value")))
+    staged = f"{stores.root}/_staged/{bid}"
     try:
+        classified.write.mode("overwrite").parquet(staged)
+        classified = stores.spark.read.schema(classified.schema).parquet(staged)
         stats = _statistics(classified)
         if stats["dead"]:
             stores.quarantine.write(dead_letters(classified).withColumn("received_at", arrival), bid)
         inserted = 0
         if stats["deserialized"]:
-            fresh = new_events(classified, stores, bid, stats, remember, order)
+            events = classified.filter(F.col("status") == OK).drop("status", "reason", "key", "value")
+            fresh = new_events(events, stores, bid, stats, remember, order, broadcast_keys)
             stores.ledger.write(fresh.withColumn("received_at", arrival), bid)
-            inserted = stores.ledger.read(stats["spans"]).filter(F.col("bid") == bid).count()
+            inserted = stores.ledger.read_batch(bid, stats["spans"]).count()
     finally:
-        classified.unpersist()
+        folders.remove(stores.spark, staged)
     counted = {
         "received": stats["received"],
         "skipped": stats["skipped"],
@@ -184,14 +225,32 @@ def ingest_batch(
         "in_batch_duplicates": stats["deserialized"] - stats["unique_keys"],
         "cross_batch_duplicates": stats["unique_keys"] - inserted,
     }
-    row = stores.spark.range(1).select(*[F.lit(n).cast("bigint").alias(k) for k, n in counted.items()])
+    days = F.lit([day.isoformat() for day in sorted(stats["spans"])]).cast("array<date>")
+    row = stores.spark.range(1).select(
+        *[F.lit(n).cast("bigint").alias(k) for k, n in counted.items()], days.alias("days")
+    )
     stores.counters.write(row, bid)
     return counted
 
 
 def replay_dead_letters(stores: Stores, fix, bid: str, **options) -> dict:
-    """Feed the quarantine back through ingestion after `fix`, a function from
-    DataFrame to DataFrame.  Deduplication makes a second replay harmless."""
-    return ingest_batch(stores, fix(stores.quarantine.read()).select(
-        "key", "value", "partition", "offset"
-    ), bid, **options)
+    """Feed the open dead letters back through ingestion after `fix`, a
+    function from DataFrame to DataFrame.
+
+    The replay notes first whose letters it takes: those of complete batches
+    that no other replay has taken.  Once it is complete they are no longer
+    open, and what it could not mend is its own.  So replays do not add up, and
+    the same one again changes nothing.
+    """
+    planned = stores.replays.of_batch(bid).first()
+    if planned is None:
+        complete = stores.counters.read().filter(F.col("bid") != bid).select("bid")
+        taken = stores.replays.read().select(F.explode("consumed").alias("bid"))
+        open_ = stores.quarantine.read().select("bid").distinct().join(complete, "bid", "left_semi").join(taken, "bid", "left_anti")
+        row = open_.agg(F.array_sort(F.collect_list("bid")).alias("consumed"))
+        stores.replays.write(row, bid)
+        planned = stores.replays.of_batch(bid).first()
+    names = stores.spark.createDataFrame([(name,) for name in planned["consumed"]], "bid STRING")
+    letters = stores.quarantine.read().join(names, "bid", "left_semi")
+    mended = fix(letters).select("key", "value", "partition", "offset", "source", "line")
+    return ingest_batch(stores, mended, bid, **options)

@@ -343,10 +343,10 @@ SELECT idempotency_key, event_name, channel, "offset" FROM fresh""",
 SELECT idempotency_key, CAST(event_date AS VARCHAR) AS event_date, channel, batch_id FROM before
 UNION ALL
 SELECT idempotency_key, CAST(event_date AS VARCHAR) AS event_date, channel, batch_id FROM fresh""",
-    "key_exists": f"""WITH {_ARRIVALS}
-SELECT CAST(1 AS BIGINT) AS present,
-       CAST(max(CASE WHEN idempotency_key = '{ABSENT_KEY}' THEN 1 ELSE 0 END) AS BIGINT) AS absent
-FROM arrivals""",
+    "key_exists": f"""WITH {_STORED}
+SELECT count(DISTINCT idempotency_key) FILTER (idempotency_key = (SELECT min(idempotency_key) FROM stored)) AS present,
+       count(DISTINCT idempotency_key) FILTER (idempotency_key = '{ABSENT_KEY}') AS absent
+FROM stored""",
     "dedup_in_batch": f"""WITH {_ARRIVALS}
 SELECT batch_id, idempotency_key, channel, "offset",
        min("offset") OVER (PARTITION BY batch_id, idempotency_key) AS first_offset
@@ -398,9 +398,9 @@ SELECT event_name, count(DISTINCT user_id) AS true_unique_users FROM events_c
 WHERE event_timestamp // 3600 * 3600 >= {FROM} AND event_timestamp // 3600 * 3600 < {TO}
 GROUP BY event_name""",
     "unique_sketch": f"""WITH {_EVENTS}
-SELECT event_name, CAST(1 AS BIGINT) AS within_bound FROM events_c
+SELECT event_name, channel, count(DISTINCT user_id) AS true_unique_users, CAST(0 AS BIGINT) AS bounds_off FROM events_c
 WHERE event_timestamp // 3600 * 3600 >= {FROM} AND event_timestamp // 3600 * 3600 < {TO}
-GROUP BY event_name""",
+GROUP BY event_name, channel""",
     "config_upsert": _merged("event_name = 'purchase'", "event_name <> 'purchase'"),
     "config_insert_missing": _merged("event_name = 'purchase'", "event_name <> 'purchase'"),
     "retention_from_config": f"""WITH {_EVENTS}{_rollup(
@@ -412,9 +412,9 @@ FROM rollup GROUP BY 1""",
 SELECT idempotency_key, received_at FROM seen WHERE NOT ({_EXPIRED})""",
     "ttl_deleted": f"WITH {_RECEIVED} SELECT count(*) AS deleted FROM seen WHERE {_EXPIRED}",
     "late_events": f"""WITH {_EVENTS}
-SELECT CAST(event_date AS VARCHAR) AS event_date, event_name, count(*) AS in_ledger,
-       count(*) FILTER (event_name <> 'purchase') AS counted
-FROM events_c GROUP BY 1, 2""",
+SELECT CAST(event_date AS VARCHAR) AS event_date, event_name, count(DISTINCT idempotency_key) AS in_ledger,
+       count(DISTINCT idempotency_key) FILTER (event_date >= (SELECT max(event_date) FROM events_c)) AS counted
+FROM keyed GROUP BY event_date, event_name""",
     "partition_calendar": f"""WITH {_EVENTS},
 edge AS (SELECT date_trunc('month', max(event_date)) AS first_day FROM events_c),
 days AS (
@@ -430,8 +430,8 @@ FROM days LEFT JOIN events_c ON event_date = d GROUP BY d""",
     "stored_rollup": f"WITH {_TEN_DAYS}{_ROLLUP_OUT}",
     "stored_totals": _totals(_TEN_DAYS, "click", FROM, TO + 10 * 86400, "web"),
     "stored_breakdown": _breakdown(_TEN_DAYS, True, "error", FROM, TO + 10 * 86400),
-    "stored_config": """SELECT 'mv_retention_days' AS key, '10' AS value FROM events
-GROUP BY 1, 2""",
+    "stored_config": "SELECT 'mv_retention_days' AS key, '10' AS value FROM events GROUP BY 1, 2 UNION ALL SELECT * FROM ("
+    + _merged("event_name = 'purchase'", "event_name <> 'purchase'") + ")",
     "stored_seen_keys": f"""WITH {_STORED}
 SELECT idempotency_key, CAST(event_date AS VARCHAR) AS event_date FROM stored""",
     "stream_ledger": _STORED_LEDGER,
@@ -451,4 +451,49 @@ QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY "offset" DESC)
 SELECT CAST(event_date AS VARCHAR) AS event_date, count(*) AS events FROM stored
 WHERE event_date >= DATE '2024-01-15' GROUP BY 1""",
     "end_to_end": _breakdown(_LEDGER + _rollup("ledger"), True, "click", FROM, TO),
+    "dlt_open": f"""WITH {_RAW_ARRIVALS}
+SELECT user_id AS key, CASE WHEN event_id % 997 = 0 THEN '{{' ELSE '' END || value AS value, "offset",
+       CASE WHEN event_id % 997 = 0 THEN 'channel exceeds 100 characters' ELSE reason END AS reason
+FROM raw WHERE reason IS NOT NULL AND NOT (event_id % 997 = 0 AND event_id % 1019 <> 0)""",
+    "stored_remembered": f"""WITH {_STORED}
+SELECT idempotency_key, CAST(1 AS BIGINT) AS rows, 'load-1' AS bid FROM stored GROUP BY 1""",
+    "merged_ledger": _STORED_LEDGER,
+    "merged_counters": _STORED_COUNTERS,
+    "admission_answers": f"""WITH {_DAMAGED},
+lists AS (
+  SELECT 'list ' || request_id AS request_id, count(*) AS n,
+         bool_and(valid) AND bool_and(event_id % 499 <> 0) AS accepted
+  FROM verdicts WHERE event_id % 2 = 1 GROUP BY request_id
+), sizes AS (
+  SELECT 'first ' || n AS request_id, count(*) AS n, count(*) <= 1000 AS accepted
+  FROM events_c, (VALUES (1000), (1001)) t(n) WHERE event_id > 0 AND event_id <= t.n GROUP BY t.n
+),
+told AS (
+  SELECT CAST(event_id AS VARCHAR) AS request_id, 'single' AS kind, valid AS accepted, 1 AS n FROM verdicts WHERE event_id % 2 = 0
+  UNION ALL SELECT request_id, 'bulk', accepted, n FROM lists
+  UNION ALL SELECT request_id, 'bulk', accepted, n FROM sizes
+  UNION ALL SELECT DISTINCT body, 'bulk', false, 0 FROM events_c, (VALUES ('{{"events":[]}}'), ('{{"events":null}}'), ('{{}}'), ('no JSON')) t(body)
+)
+SELECT request_id, kind, CASE WHEN accepted THEN 'accepted' ELSE 'rejected' END AS status,
+       CAST(CASE WHEN accepted THEN n ELSE 0 END AS BIGINT) AS accepted_count,
+       CASE WHEN NOT accepted THEN 'Validation failed' WHEN kind = 'single' THEN 'Event queued for processing'
+            ELSE 'Events queued for processing' END AS message
+FROM told""",
+    "admitted_ledger": f"""WITH {_DAMAGED},
+lists AS (
+  SELECT 'list ' || request_id AS request_id, count(*) AS n,
+         bool_and(valid) AND bool_and(event_id % 499 <> 0) AS accepted
+  FROM verdicts WHERE event_id % 2 = 1 GROUP BY request_id
+), sizes AS (
+  SELECT 'first ' || n AS request_id, count(*) AS n, count(*) <= 1000 AS accepted
+  FROM events_c, (VALUES (1000), (1001)) t(n) WHERE event_id > 0 AND event_id <= t.n GROUP BY t.n
+),
+passed AS (
+  SELECT event_id FROM verdicts v LEFT JOIN lists l ON l.request_id = 'list ' || v.request_id
+  WHERE CASE WHEN event_id % 2 = 0 THEN valid ELSE l.accepted END
+  UNION SELECT event_id FROM events_c, sizes s
+  WHERE s.accepted AND event_id > 0 AND event_id <= CAST(substr(s.request_id, 7) AS BIGINT)
+)
+SELECT DISTINCT idempotency_key, event_name, CAST(event_date AS VARCHAR) AS event_date
+FROM keyed WHERE event_id IN (SELECT event_id FROM passed)""",
 }

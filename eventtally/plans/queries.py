@@ -16,13 +16,13 @@ from eventtally.operators import (
     bulk, dedup, metrics, project, retention, rollup, uniques, upsert, validate,
 )
 from eventtally.plans import sample
+from eventtally.plans.admission import admit_batch
 from eventtally.plans.ingest import Stores, classify, dead_letters, ingest_batch, replay_dead_letters
 from eventtally.plans.refresh import expire_days, refresh
 from eventtally.session import new_workspace
 from eventtally.sources import folders, payloads, records
 from eventtally.streaming import windows
 from eventtally.streaming.ingest import start_ingest
-from eventtally.streaming.refresh import start_refresh
 
 KEY = "idempotency_key"
 # 2024-01-05 and 2024-01-20, UTC; the second pair lies inside an hour.
@@ -194,15 +194,6 @@ def insert_ignore(spark, folder):
     return _date_text(before.select(*columns).unionByName(added.select(*columns)))
 
 
-def key_exists(spark, folder):
-    keys = sample.arrivals(spark, folder)
-    smallest = keys.agg(F.min(KEY)).scalar()
-    return keys.agg(
-        F.max((F.col(KEY) == smallest).cast("bigint")).alias("present"),
-        F.max((F.col(KEY) == ABSENT_KEY).cast("bigint")).alias("absent"),
-    )
-
-
 def dedup_in_batch(spark, folder):
     reduced = dedup.last_with_first_position(
         sample.arrivals(spark, folder), keys=("batch_id", KEY)
@@ -310,17 +301,6 @@ def unique_exact(spark, folder):
     return uniques.exact_users(sample.events(spark, folder), FROM, TO, "event_name")
 
 
-def unique_sketch(spark, folder):
-    """Whether the merged hourly sketches come within 5 % of the exact count."""
-    rows = sample.events(spark, folder)
-    exact = uniques.exact_users(rows, FROM, TO, "event_name")
-    approx = uniques.sketched_users(uniques.hourly_sketches(rows), FROM, TO, "event_name")
-    error = F.abs(F.col("approx_unique_users") - F.col("true_unique_users"))
-    return exact.join(approx, "event_name").select(
-        "event_name", (error <= 0.05 * F.col("true_unique_users")).cast("bigint").alias("within_bound")
-    )
-
-
 # --- configuration and retention -------------------------------------------
 
 def _settings(rows: DataFrame) -> DataFrame:
@@ -371,18 +351,6 @@ def ttl_deleted(spark, folder):
     return retention.expired_count(seen, F.col("received_at"), now, F.lit(7))
 
 
-def late_events(spark, folder):
-    """Purchases arrive ten days late, errors three: which are still counted."""
-    late = F.expr("CASE event_name WHEN 'purchase' THEN 10 WHEN 'error' THEN 3 ELSE 0 END")
-    rows = sample.events(spark, folder).withColumn("refreshed_on", F.date_add("event_date", late))
-    counted = retention.reaches_rollup(F.col("event_date"), F.col("refreshed_on"), F.lit(7))
-    return _date_text(
-        rows.groupBy("event_date", "event_name").agg(
-            F.count("*").alias("in_ledger"), F.count_if(counted).alias("counted")
-        )
-    )
-
-
 def partition_calendar(spark, folder):
     """Day partitions of two months from the newest event's month, and how
     many events each would hold."""
@@ -441,17 +409,20 @@ def _batch_run(spark, folder) -> Stores:
         newest = _newest(spark, folder)
         stores.config.initialize()
         stores.config.set({"mv_retention_days": "10"})
+        rows = sample.events(spark, folder)
+        stores.config.set(_settings(rows.filter("event_name <> 'purchase'")))
+        stores.config.set(_settings(rows.filter("event_name = 'purchase'")))
         for number, batch in _staged(spark, folder, stores):
             bid = f"load-{number:06d}"
             ingest_batch(stores, batch, bid)
-            refresh(stores, newest, stores.ledger.days_of(bid))
+            refresh(stores, newest)
 
     return _once(spark, folder, "batch", run)
 
 
 def _stream_run(spark, folder) -> Stores:
-    """Publish each batch's records as files, and run the stream on them; then
-    let the refresh stream catch up with the ledger."""
+    """Publish each batch's records as files and run the stream on them; after
+    each, the refresh picks up the batches its last version does not count."""
     def run(stores: Stores) -> None:
         newest = _newest(spark, folder)
         inbox = f"{stores.root}/records"
@@ -460,9 +431,7 @@ def _stream_run(spark, folder) -> Stores:
             start_ingest(
                 stores, records.stream_files(spark, inbox), f"{stores.root}/checkpoints/ingest"
             ).awaitTermination()
-        start_refresh(
-            stores, f"{stores.root}/checkpoints/refresh", lambda: newest, {"availableNow": True}
-        ).awaitTermination()
+            refresh(stores, newest)
 
     return _once(spark, folder, "stream", run)
 
@@ -475,7 +444,7 @@ def _ledger_view(stores: Stores) -> DataFrame:
 
 
 def _counter_view(stores: Stores) -> DataFrame:
-    return stores.counters.read().drop("bid")
+    return stores.counters.read().drop("days", "bid")
 
 
 def stored_ledger(spark, folder):
@@ -508,6 +477,14 @@ def stored_config(spark, folder):
     return _batch_run(spark, folder).config.read()
 
 
+def key_exists(spark, folder):
+    """Point lookups in the stored ledger, of its smallest key and of one it lacks."""
+    ledger = _batch_run(spark, folder).ledger
+    smallest = ledger.read().agg(F.min(KEY)).first()[0]
+    found = [F.lit(int(ledger.exists(key))).cast("bigint") for key in (smallest, ABSENT_KEY)]
+    return spark.range(1).select(found[0].alias("present"), found[1].alias("absent"))
+
+
 def stored_seen_keys(spark, folder):
     return _date_text(_batch_run(spark, folder).ledger.seen_table()).select(KEY, "event_date")
 
@@ -566,21 +543,157 @@ def stream_first_arrivals(spark, folder):
     return _drain(spark, folder, "arrivals", build, "append")
 
 
-def dlt_replay(spark, folder):
-    """Dead letters that lost their opening brace are mended and replayed."""
-    stores = Stores(spark, new_workspace(spark, "replay"))
-    ingest_batch(stores, _deliveries(spark, folder).drop("batch_id"), "load-1")
+def _mended(letters: DataFrame) -> DataFrame:
+    cut = F.startswith("value", F.lit('"'))
+    return letters.withColumn("value", F.when(cut, F.concat(F.lit("{"), "value")).otherwise(F.col("value")))
+
+
+def _replay_run(spark, folder) -> Stores:
+    """Dead letters that lost their opening brace are mended, and replayed
+    twice under one name and once under another."""
+    def run(stores: Stores) -> None:
+        ingest_batch(stores, _deliveries(spark, folder).drop("batch_id"), "load-1")
+        for bid in ("replay-1", "replay-1", "replay-2"):
+            replay_dead_letters(stores, _mended, bid)
+
+    return _once(spark, folder, "replay", run)
 
-    def mend(letters: DataFrame) -> DataFrame:
-        cut = F.startswith("value", F.lit('"'))
-        return letters.withColumn("value", F.when(cut, F.concat(F.lit("{"), "value")).otherwise(F.col("value")))
 
-    replay_dead_letters(stores, mend, "replay-1")
-    return _date_text(stores.ledger.read().filter("bid = 'replay-1'")).select(
+def dlt_replay(spark, folder):
+    stores = _replay_run(spark, folder)
+    return _date_text(stores.ledger.read().filter("bid <> 'load-1'")).select(
         KEY, "event_name", "channel", "event_date"
     )
 
 
+def dlt_open(spark, folder):
+    """The letters no replay could mend, once each."""
+    return _replay_run(spark, folder).letters().select("key", "value", "offset", "reason")
+
+
+def stored_remembered(spark, folder):
+    """All deliveries, and all again ten days later with keys remembered for
+    seven: still one row per key."""
+    def run(stores: Stores) -> None:
+        at = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+        sent = _deliveries(spark, folder).drop("batch_id")
+        ingest_batch(stores, sent, "load-1", received_at=at)
+        ingest_batch(stores, sent, "load-2", received_at=at + dt.timedelta(days=10), remember_days=7)
+
+    stores = _once(spark, folder, "remembered", run)
+    return stores.ledger.read().groupBy(KEY).agg(F.count("*").alias("rows"), F.min("bid").alias("bid"))
+
+
+def _merged_run(spark, folder) -> Stores:
+    """Upkeep between the batches: days, counters and dead letters are merged,
+    and the first batch is delivered once more after that."""
+    def run(stores: Stores) -> None:
+        staged = list(_staged(spark, folder, stores))
+        for number, batch in staged:
+            ingest_batch(stores, batch, f"load-{number:06d}")
+            for day in stores.ledger.dates()[-3:]:
+                stores.ledger.merge_day(day, f"merged-{number:06d}")
+            stores.counters.merge()
+            stores.quarantine.merge()
+        number, batch = staged[0]
+        ingest_batch(stores, batch, f"load-{number:06d}")
+
+    return _once(spark, folder, "merged", run)
+
+
+def merged_ledger(spark, folder):
+    return _ledger_view(_merged_run(spark, folder))
+
+
+def merged_counters(spark, folder):
+    return _counter_view(_merged_run(spark, folder))
+
+
+def late_events(spark, folder):
+    """Errors reach the ledger three days after the other events, purchases ten;
+    the rollup of a ten-day window after the refresh that follows each."""
+    def run(stores: Stores) -> None:
+        newest = _newest(spark, folder)
+        stores.config.set({"mv_retention_days": "10"})
+        sent = records.to_records(project.to_message(sample.events(spark, folder)).withColumn(
+            "late", F.expr("CASE event_name WHEN 'purchase' THEN 10 WHEN 'error' THEN 3 ELSE 0 END")
+        ).withColumn("offset", F.col("late") * 10**12 + F.col("offset")), "offset")
+        for late in (0, 3, 10):
+            ingest_batch(stores, sent.filter(F.floor(F.col("offset") / 10**12) == late), f"late-{late}")
+            refresh(stores, newest + dt.timedelta(days=late))
+
+    stores = _once(spark, folder, "late", run)
+    in_ledger = stores.ledger.read().groupBy("event_date", "event_name").agg(F.count("*").alias("in_ledger"))
+    counted = stores.rollup.read().groupBy("event_date", "event_name").agg(F.sum("total_count").alias("counted"))
+    both = in_ledger.join(counted, ["event_date", "event_name"], "left")
+    return _date_text(both.withColumn("counted", F.coalesce("counted", F.lit(0)).cast("bigint")))
+
+
+def _requests(spark, folder) -> DataFrame:
+    """Raw requests: even events alone, odd ones twenty to a list (each list
+    with a mistyped element where an id is divisible by 499), and lists of
+    1,000, 1,001 and no events."""
+    rows = project.to_message(sample.damaged(spark, folder))
+    singles = rows.filter("event_id % 2 = 0").select(
+        F.col("event_id").cast("string").alias("request_id"), F.lit("single").alias("kind"), "value", "offset"
+    )
+
+    def lists(rows, name):
+        element = F.struct("event_id", F.expr(
+            "CASE WHEN event_id % 499 = 0 THEN regexp_replace(value, '\"user_id\":\"[^\"]*\"', '\"user_id\":{\"a\":1}') ELSE value END"
+        ).alias("value"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(element)), lambda e: e["value"]), ",")
+        return rows.groupBy(name.alias("request_id")).agg(
+            F.lit("bulk").alias("kind"), F.concat(F.lit('{"events":['), joined, F.lit("]}")).alias("value"),
+            F.max("offset").alias("offset"),
+        )
+
+    whole = project.to_message(sample.events(spark, folder)).filter("event_id > 0")
+    found = singles.unionByName(lists(rows.filter("event_id % 2 = 1"), F.concat(F.lit("list "), F.col("request_id").cast("string"))))
+    limit = whole.select("event_id", "value", "offset")
+    for n in (1000, 1001):
+        chosen = limit.filter(F.col("event_id") <= n)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda e: e["value"]), ",")
+        found = found.unionByName(chosen.agg(
+            F.lit(f"first {n}").alias("request_id"), F.lit("bulk").alias("kind"),
+            F.concat(F.lit('{"events":['), joined, F.lit("]}")).alias("value"), F.max("offset").alias("offset"),
+        ))
+    for body in ('{"events":[]}', '{"events":null}', "{}", "no JSON"):
+        found = found.unionByName(limit.agg(
+            F.lit(body).alias("request_id"), F.lit("bulk").alias("kind"), F.lit(body).alias("value"), F.max("offset").alias("offset")
+        ))
+    return found
+
+
+def _admission_run(spark, folder) -> Stores:
+    return _once(spark, folder, "admission", lambda stores: admit_batch(stores, _requests(spark, folder), "requests-1"))
+
+
+def admission_answers(spark, folder):
+    return _admission_run(spark, folder).answers.read().select("request_id", "kind", "status", "accepted_count", "message")
+
+
+def admitted_ledger(spark, folder):
+    return _date_text(_admission_run(spark, folder).ledger.read()).select(KEY, "event_name", "event_date")
+
+
+def unique_sketch(spark, folder):
+    """Sketches by the hour, stored, and merged over the range: how far from the
+    exact number of users, by event name and channel, in units of the bound."""
+    def run(stores: Stores) -> None:
+        stores.sketches.replace(uniques.hourly_sketches(sample.events(spark, folder)))
+
+    stored = _once(spark, folder, "sketches", run).sketches.read()
+    exact = uniques.exact_users(sample.events(spark, folder), FROM, TO, "event_name", "channel")
+    approx = uniques.sketched_users(stored, FROM, TO, "event_name", "channel")
+    same = exact["channel"].eqNullSafe(approx["channel"]) & (exact["event_name"] == approx["event_name"])
+    error = F.abs(F.col("approx_unique_users") - F.col("true_unique_users"))
+    return exact.join(approx, same).select(
+        exact["event_name"], exact["channel"], "true_unique_users",
+        F.floor(error / (F.col("true_unique_users") * uniques.ERROR_BOUND)).cast("bigint").alias("bounds_off"),
+    )
+
+
 def ledger_retention(spark, folder):
     """Days before January 15 are dropped from the ledger."""
     stores = Stores(spark, new_workspace(spark, "retention"))
@@ -599,15 +712,16 @@ QUERIES = (
     idempotency_key, canonical_events, clock_parts, publish_messages, publish_partitions,
     parse_records, quarantine_rows, partition_admission, validate_events, single_responses,
     bulk_admission, bulk_admitted_rows, bulk_payloads, bulk_explode,
-    seen_keys, unseen_keys, insert_ignore, key_exists, dedup_in_batch, dedup_ledger, batch_counters,
+    seen_keys, unseen_keys, insert_ignore, dedup_in_batch, dedup_ledger, batch_counters,
     hourly_rollup, rollup_full_history, totals, totals_empty, totals_reversed, totals_channel,
     totals_blank_channel, breakdown_hourly, breakdown_daily, breakdown_daily_channel,
     breakdown_midhour, metrics_document, metrics_requests, metrics_documents,
     metrics_request_checks, unique_exact, unique_sketch,
     config_upsert, config_insert_missing, retention_from_config, ttl_survivors, ttl_deleted,
-    late_events, partition_calendar,
+    partition_calendar,
     stored_ledger, stored_counters, stored_quarantine, stored_rollup, stored_totals,
     stored_breakdown, stored_config, stored_seen_keys,
     stream_ledger, stream_counters, stream_quarantine, stream_rollup, stream_hourly_counts,
-    stream_first_arrivals, dlt_replay, ledger_retention, end_to_end,
+    stream_first_arrivals, dlt_replay, dlt_open, ledger_retention, key_exists, late_events,
+    stored_remembered, merged_ledger, merged_counters, admission_answers, admitted_ledger, end_to_end,
 )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from eventtally.functions import text
 from eventtally.operators import rollup as rollups
 from eventtally.plans.ingest import Stores
-from eventtally.schema import DEFAULT_RETENTION_DAYS, RETENTION_KEY
+from eventtally.schema import COVERED, DEFAULT_RETENTION_DAYS, RETENTION_KEY
+from eventtally.sources import folders
 
 
 def today() -> dt.date:
@@ -26,29 +26,39 @@ def configured_days(config: DataFrame) -> int:
     return DEFAULT_RETENTION_DAYS if row is None else row["days"]
 
 
-def refresh(
-    stores: Stores,
-    as_of: dt.date | None = None,
-    changed: Iterable[dt.date] | None = None,
-    full_history: bool = False,
-) -> int:
-    """Write a new rollup version for the window that ends with `as_of`.
+def _covered(stores: Stores, version: int | None) -> DataFrame:
+    """The batches a version of the rollup counts."""
+    path = f"{stores.root}/rollup-covered/v={version or 0:09d}"
+    if version is None or not folders.exists(stores.spark, f"{path}/_SUCCESS"):
+        return stores.spark.createDataFrame([], COVERED)
+    return stores.spark.read.schema(COVERED).parquet(path)
 
-    A date's rollup depends on that date's events alone.  So when the dates
-    that got events since the last version are known (`changed`), only they,
-    and dates of the window not rolled up yet, are recomputed; the rest is
+
+def refresh(stores: Stores, as_of: dt.date | None = None, full_history: bool = False, anew: bool = False) -> int:
+    """Bring the rollup up to date for the window that ends with `as_of`;
+    returns its version.
+
+    Each version notes which batches it counts.  A date's rollup depends on
+    that date's events alone, so only the dates of batches it does not count
+    yet, and dates of the window not rolled up yet, are recomputed; the rest is
     copied from the old version, which is far smaller than the events.  Dates
-    that left the window, or the ledger, are not copied.
+    that left the window, or the ledger, are not copied.  A refresh that fails
+    has changed nothing, and the next one finds the same batches open.  Nothing
+    to do leaves the version as it is; `anew` recomputes everything.
     """
     start = dt.date.min
     if not full_history:
         start = (as_of or today()) - dt.timedelta(days=configured_days(stores.config.read()))
+    version = stores.rollup.current_version()
+    counted = stores.counters.read().select("bid", "days")
+    open_ = counted.join(_covered(stores, version), "bid", "left_anti")
+    changed = {row["day"] for row in open_.select(F.explode("days").alias("day")).distinct().collect()}
     present = {day for day in stores.ledger.dates() if day >= start}
     stored = stores.rollup.read()
-    kept: set[dt.date] = set()
-    if changed is not None:
-        done = {row["event_date"] for row in stored.select("event_date").distinct().collect()}
-        kept = (present & done) - set(changed)
+    done = {row["event_date"] for row in stored.select("event_date").distinct().collect()}
+    kept = set() if anew else (present & done) - changed
+    if version is not None and not anew and kept == present == done and open_.isEmpty():
+        return version
     fresh = rollups.hourly_rollup(stores.ledger.read(present - kept))
     if kept:
         fresh = fresh.unionByName(stored.filter(F.col("event_date").isin(sorted(kept))))
@@ -56,6 +66,8 @@ def refresh(
     laid_out = fresh.hint("rebalance", "event_date").sortWithinPartitions(
         "event_date", "event_name", "date_hour"
     )
+    coming = f"{stores.root}/rollup-covered/v={stores.rollup.next_version():09d}"
+    counted.select("bid").write.mode("overwrite").parquet(coming)
     return stores.rollup.replace(laid_out, partition_by=["event_date"])
 
 

@@ -29,21 +29,33 @@ LEDGER = (
 )
 
 QUARANTINE = (
-    "key STRING, value STRING, partition INT, offset BIGINT, reason STRING, "
-    "received_at TIMESTAMP, bid STRING"
+    "key STRING, value STRING, partition INT, offset BIGINT, source STRING, line BIGINT, "
+    "reason STRING, received_at TIMESTAMP, bid STRING"
 )
 
 COUNTERS = (
     "received BIGINT, skipped BIGINT, dead BIGINT, deserialized BIGINT, "
     "unique_keys BIGINT, inserted BIGINT, in_batch_duplicates BIGINT, "
-    "cross_batch_duplicates BIGINT, bid STRING"
+    "cross_batch_duplicates BIGINT, days ARRAY<DATE>, bid STRING"
 )
 
+ANSWERS = (
+    "request_id STRING, kind STRING, status STRING, accepted_count BIGINT, message STRING, "
+    "violations ARRAY<STRUCT<field: STRING; message: STRING>>, bid STRING"
+).replace(";", ",")
+
+# Which batches' dead letters a replay takes, and which batches a version of
+# the rollup counts.
+REPLAYS = "consumed ARRAY<STRING>, bid STRING"
+COVERED = "bid STRING"
+
 ROLLUP = (
     "event_name STRING, channel STRING, date_hour BIGINT, total_count BIGINT, "
     "unique_user_count BIGINT, event_date DATE"
 )
 
+SKETCHES = "event_name STRING, channel STRING, event_date DATE, date_hour BIGINT, users BINARY"
+
 CONFIG = "key STRING, value STRING"
 
 # Fixed values that must equal the reference's.

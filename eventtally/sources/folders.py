@@ -17,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def modified(spark: SparkSession, path: str) -> float | None:
+    """When a file was last written, in epoch seconds; None if there is none."""
+    system, location = _open(spark, path)
+    return system.getFileStatus(location).getModificationTime() / 1000 if system.exists(location) else None
+
+
 def child_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     """Sorted names of the sub-folders that start with `prefix`."""
     system, location = _open(spark, path)
@@ -31,15 +37,35 @@ def make(spark: SparkSession, path: str) -> None:
     system.mkdirs(location)
 
 
-def write(spark: SparkSession, path: str, content: bytes) -> None:
+def write(spark: SparkSession, path: str, content: bytes, overwrite: bool = True) -> None:
+    """Write a small file; without `overwrite` one that exists is an error, which storage
+    with atomic creation (HDFS) makes a lock."""
     system, location = _open(spark, path)
-    stream = system.create(location)
+    stream = system.create(location, overwrite)
     try:
         stream.write(bytearray(content))
     finally:
         stream.close()
 
 
+def content(spark: SparkSession, path: str) -> bytes | None:
+    """All of a small file; None if there is none."""
+    system, location = _open(spark, path)
+    if not system.exists(location):
+        return None
+    stream = system.open(location)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    system, location = _open(spark, path)
+    if not system.rename(location, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise RuntimeError(f"{path} could not become {to}")
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     system, location = _open(spark, path)
     return system.delete(location, True)

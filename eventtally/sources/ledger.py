@@ -6,9 +6,13 @@ events and its keys visible together.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import functools
-from collections.abc import Iterable, Mapping
+import time
+from collections.abc import Iterable, Iterator, Mapping
+
+from py4j.protocol import Py4JJavaError
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +26,23 @@ _DATE, _BATCH = "event_date=", "bid="
 
 # First and last event second of each day.
 Spans = Mapping[dt.date, tuple[int, int]]
-# With more days than this, one span from the first to the last is tested.
-_SEPARATE_SPANS = 40
+_DAY_SECONDS = 86400
 
 
 def _within(spans: Spans) -> Column:
-    ranges = list(spans.values())
-    if not ranges:
-        return F.lit(False)
-    if len(ranges) > _SEPARATE_SPANS:
-        ranges = [(min(low for low, _ in ranges), max(high for _, high in ranges))]
+    """Whether an event's second lies in the days' spans.
+
+    Spans less than a day apart become one, so a backfill of many days is one
+    range, while a single late event does not stretch the others' range.
+    """
+    ranges: list[tuple[int, int]] = []
+    for low, high in sorted(spans.values()):
+        if ranges and low - ranges[-1][1] <= _DAY_SECONDS:
+            ranges[-1] = (ranges[-1][0], max(ranges[-1][1], high))
+        else:
+            ranges.append((low, high))
     tests = [F.col("event_timestamp").between(low, high) for low, high in ranges]
-    return functools.reduce(lambda a, b: a | b, tests)
+    return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 class Ledger:
@@ -52,12 +61,36 @@ class Ledger:
         names = folders.child_folders(self.spark, self.root, _DATE)
         return [dt.date.fromisoformat(name[len(_DATE):]) for name in names]
 
-    def days_of(self, bid: str) -> list[dt.date]:
-        """Days a batch added events to, what a refresh after it must redo."""
-        return [
-            day for day in self.dates()
-            if folders.exists(self.spark, f"{self.root}/{_DATE}{day.isoformat()}/{_BATCH}{bid}")
-        ]
+    @contextlib.contextmanager
+    def writing(self, owner: str, wait_seconds: float = 600) -> Iterator[None]:
+        """The ledger's one writer, for the length of a `with`.
+
+        The lookup of seen keys and the write that follows must not interleave
+        with another writer's.  Whoever comes second waits, and is refused in
+        the end.  The same owner may enter again, so a batch that was cut off
+        can be run again; `release` ends what will not come back.
+        """
+        path, began = f"{self.root}/_writer", time.time()
+        while True:
+            try:
+                folders.write(self.spark, path, owner.encode(), overwrite=False)
+                break
+            except Py4JJavaError:
+                holder = folders.content(self.spark, path)
+                if holder == owner.encode():
+                    break
+                if holder is not None and time.time() - began > wait_seconds:
+                    raise RuntimeError(
+                        f"'{holder.decode()}' writes to {self.root}; run it again, or release() the ledger if it will not return"
+                    ) from None
+            time.sleep(min(1.0, wait_seconds / 4))
+        try:
+            yield
+        finally:
+            self.release()
+
+    def release(self) -> None:
+        folders.remove(self.spark, f"{self.root}/_writer")
 
     def read(self, dates: Iterable[dt.date] | None = None) -> DataFrame:
         """All events, or those of some days without listing the others."""
@@ -73,35 +106,39 @@ class Ledger:
         paths = [f"{self.root}/{_DATE}{day.isoformat()}" for day in present]
         return reader.option("basePath", self.root).parquet(*paths)
 
-    def read_window(self, since: dt.date) -> DataFrame:
-        """Events of `since` and every later day."""
-        return self.read(day for day in self.dates() if day >= since)
+    def read_batch(self, bid: str, dates: Iterable[dt.date]) -> DataFrame:
+        """What a batch stored on some days; only its own folders are listed."""
+        paths = [f"{self.root}/{_DATE}{day.isoformat()}/{_BATCH}{bid}" for day in dates]
+        paths = [path for path in paths if folders.exists(self.spark, path)]
+        if not paths:
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).option("basePath", self.root).parquet(*paths)
 
-    def seen(self, spans: Spans | None, bid: str, with_separator: bool,
-             since: Column | None = None) -> DataFrame:
-        """Keys other batches have stored that may equal keys of a batch.
+    def seen(self, spans: Spans, bid: str, with_separator: bool, since: Column | None = None) -> DataFrame:
+        """(idempotency_key, event_date, everywhere): keys other batches have
+        stored that may refuse keys of a batch, on their date or on any.
 
         `spans` has the batch's first and last event second per day.  Equal
         keys mean equal timestamps unless a field holds the separator.  So
         only the batch's days are listed, and of their files only the row
         groups whose statistics meet its times are read: for a live stream the
-        last minutes, not the whole day.  None looks at everything.
+        last minutes, not the whole day.
 
         For batches with separators in fields, such keys of all days are
         added, found by a flag whose statistics let the scan skip the rest.
-        `since` bounds how long a key is remembered; the default is forever.
+        `since` bounds how long a key is remembered across dates; on its own
+        date it is never stored again, however old.
         """
+        remembered = F.lit(True) if since is None else F.col("received_at") >= since
+
         def keys(rows: DataFrame) -> DataFrame:
-            rows = rows.filter(F.col("bid") != bid)
-            if since is not None:
-                rows = rows.filter(F.col("received_at") >= since)
-            return rows.select("idempotency_key")
+            return rows.filter(F.col("bid") != bid).select(
+                "idempotency_key", "event_date", remembered.alias("everywhere")
+            )
 
-        if spans is None:
-            return keys(self.read())
         known = keys(self.read(spans).filter(_within(spans)))
         if with_separator:
-            known = known.unionByName(keys(self.read().filter("key_has_separator")))
+            known = known.unionByName(keys(self.read().filter("key_has_separator")).filter("everywhere"))
         return known
 
     def seen_table(self) -> DataFrame:
@@ -137,24 +174,27 @@ class Ledger:
     def merge_day(self, day: dt.date, bid: str) -> int:
         """Gather a day's batches in one, `bid`; returns how many there were.
 
-        A maintenance job, to be run while no batch is ingested and no rollup
-        refreshed.  The merged rows are written before the old folders go, so
-        nothing can be lost; if it is interrupted in between, running it again
-        heals the day, since one row per key is kept.
+        It enters as the ledger's writer, so it runs between the batches of a
+        stream, on the current day too.  The merged rows are written before
+        the old folders go, so nothing can be lost; if it is interrupted in
+        between, running it again heals the day, since of each key the row
+        that was stored first is kept.  A refresh that meets the change fails
+        and is tried again.
         """
-        folder = f"{self.root}/{_DATE}{day.isoformat()}"
-        old = [name for name in folders.child_folders(self.spark, folder, _BATCH) if name != _BATCH + bid]
-        if not old:
-            return 0
-        rows = dedup.last_in_batch(self.read([day]), order=("received_at", "bid"))
-        self.write(rows, bid)
-        for name in old:
-            folders.remove(self.spark, f"{folder}/{name}")
-        return len(old)
+        with self.writing(bid):
+            folder = f"{self.root}/{_DATE}{day.isoformat()}"
+            old = [name for name in folders.child_folders(self.spark, folder, _BATCH) if name != _BATCH + bid]
+            if not old:
+                return 0
+            self.write(dedup.first_stored(self.read([day])), bid)
+            for name in old:
+                folders.remove(self.spark, f"{folder}/{name}")
+            return len(old)
 
     def drop_before(self, bound: dt.date) -> list[dt.date]:
         """Remove whole days before `bound`; returns them."""
-        gone = [day for day in self.dates() if day < bound]
-        for day in gone:
-            folders.remove(self.spark, f"{self.root}/{_DATE}{day.isoformat()}")
+        with self.writing("drop-days"):
+            gone = [day for day in self.dates() if day < bound]
+            for day in gone:
+                folders.remove(self.spark, f"{self.root}/{_DATE}{day.isoformat()}")
         return gone

@@ -15,30 +15,47 @@ def _opens_like(text: Column, *brackets: str) -> Column:
     return F.coalesce(F.substr(text, F.lit(1), F.lit(1)).isin(*brackets), F.lit(False))
 
 
-def _wrong_kind(value: Column, event: Column) -> Column:
-    """True when a member has a JSON type its field does not take.
+_TEXTS = ("event_name", "channel", "campaign_id", "user_id")
+_BARE_METADATA = r'"metadata"\s*:\s*[^{\s]'
+
+
+def _suspect(event: Column, value: Column) -> Column:
+    """Whether an event may hold a member of a JSON type its field does not take.
 
     Spark hands an object over as text where a string is declared, and a
     string where the metadata object is.  Only payloads that may have that
     problem, by a text that opens with a bracket or a quoted metadata member,
     are looked at again for the members' types.
     """
-    texts = ("event_name", "channel", "campaign_id", "user_id")
-    suspect = event["metadata"].isNotNull() & value.rlike(r'"metadata"\s*:\s*[^{\s]')
-    for name in texts:
+    suspect = event["metadata"].isNotNull() & value.rlike(_BARE_METADATA)
+    for name in _TEXTS:
         suspect = suspect | _opens_like(event[name], "{", "[")
+    return suspect
 
+
+def _mistyped(value: Column, prefix: Column) -> Column:
+    """Whether a member of the event at a path of the JSON text has a wrong type."""
     def differs(member: Column) -> Column:
-        kind = F.schema_of_variant(
-            F.variant_get(F.try_parse_json(value), member["path"], "variant")
-        )
+        path = F.concat(prefix, F.lit("."), member["name"])
+        kind = F.schema_of_variant(F.variant_get(F.try_parse_json(value), path, "variant"))
         return F.coalesce(F.rlike(kind, member["refused"]), F.lit(False))
 
-    members = [(f"$.{name}", "^(OBJECT|ARRAY)") for name in texts] + [("$.metadata", "^(?!OBJECT|VOID)")]
+    members = [(name, "^(OBJECT|ARRAY)") for name in _TEXTS] + [("metadata", "^(?!OBJECT|VOID)")]
     table = F.array(*[
-        F.struct(F.lit(path).alias("path"), F.lit(refused).alias("refused")) for path, refused in members
+        F.struct(F.lit(name).alias("name"), F.lit(refused).alias("refused")) for name, refused in members
     ])
-    return F.when(suspect, F.exists(table, differs)).otherwise(F.lit(False))
+    return F.exists(table, differs)
+
+
+def _wrong_kind(value: Column, event: Column) -> Column:
+    return F.when(_suspect(event, value), _mistyped(value, F.lit("$"))).otherwise(F.lit(False))
+
+
+def _wrong_element(value: Column, events: Column) -> Column:
+    """The same for the elements of a bulk payload's list."""
+    places = F.transform(events, lambda event, i: F.when(_suspect(event, value), F.concat(F.lit("$.events["), i.cast("string"), F.lit("]"))))
+    wrong = F.exists(F.array_compact(places), lambda place: _mistyped(value, place))
+    return F.coalesce(wrong, F.lit(False))
 
 
 def _coerced_long(text: Column) -> Column:
@@ -93,7 +110,7 @@ def parse_bulk(requests: DataFrame, value: str = "value") -> DataFrame:
     raw = F.col(value)
     parsed = _parsed_once(requests, "_bulk", F.from_json(raw, BULK_JSON, _PERMISSIVE))
     bulk = F.col("_bulk")
-    broken = bulk.isNull() | bulk[CORRUPT].isNotNull()
+    broken = bulk.isNull() | bulk[CORRUPT].isNotNull() | _wrong_element(raw, bulk["events"])
     return parsed.withColumns({
         "events": bulk["events"], CORRUPT: F.when(broken, F.coalesce(raw, F.lit(""))),
     }).drop("_bulk")

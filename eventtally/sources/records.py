@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventtally.schema import (
-    DEAD_LETTER_SUFFIX, MAX_RECORDS_PER_POLL, RECORD, TOPIC, TOPIC_PARTITIONS,
+    DEAD_LETTER_SUFFIX, RECORD, TOPIC, TOPIC_PARTITIONS,
 )
 
 _COLUMNS = ("key", "value", "partition", "offset")
@@ -72,7 +72,8 @@ def in_order(records: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     """Records and the columns that order them.  Lines of a file block are
     numbered here, since a stream cannot number its rows before a batch."""
     if "place" not in records.columns:
-        return records, ("offset", "partition")
+        # A replayed dead letter of a text file brings its line along.
+        return records, ("offset", "partition", *(["line"] if "line" in records.columns else []))
     return records.withColumn("line", F.monotonically_increasing_id()), ("offset", "place", "line")
 
 
@@ -80,6 +81,13 @@ def kafka_options(servers: str, topic: str = TOPIC, **extra: str) -> dict[str, s
     return {"kafka.bootstrap.servers": servers, "subscribe": topic, **extra}
 
 
+def stream_options(servers: str, topic: str = TOPIC, records_per_trigger: int | None = None) -> dict[str, str]:
+    extra = {"startingOffsets": "earliest", "failOnDataLoss": "true"}
+    if records_per_trigger:
+        extra["maxOffsetsPerTrigger"] = str(records_per_trigger)
+    return kafka_options(servers, topic, **extra)
+
+
 def stream_kafka(
     spark: SparkSession, servers: str, topic: str = TOPIC, records_per_trigger: int | None = None
 ) -> DataFrame:
@@ -87,13 +95,12 @@ def stream_kafka(
     package on the class path; offsets live in the checkpoint, so nothing is
     committed before the batch is written.
 
-    The reference polls 1000 records a time; a Spark micro-batch amortizes its
-    cost over far more, so there is no limit unless one is asked for.
+    A poll of the service takes MAX_RECORDS_PER_POLL records; a micro-batch
+    amortizes its cost over far more, so there is no limit unless one is asked
+    for, and that is passed on as it is.
     """
-    extra = {"startingOffsets": "earliest", "failOnDataLoss": "true"}
-    if records_per_trigger:
-        extra["maxOffsetsPerTrigger"] = str(max(records_per_trigger, MAX_RECORDS_PER_POLL))
-    source = spark.readStream.format("kafka").options(**kafka_options(servers, topic, **extra)).load()
+    options = stream_options(servers, topic, records_per_trigger)
+    source = spark.readStream.format("kafka").options(**options).load()
     return source.select(
         F.col("key").cast("string"), F.col("value").cast("string"), "partition", "offset"
     )

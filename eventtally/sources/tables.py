@@ -2,41 +2,81 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventtally.operators import upsert
 from eventtally.schema import (
-    CONFIG, COUNTERS, DEFAULT_RETENTION_DAYS, QUARANTINE, RETENTION_KEY, ROLLUP,
+    ANSWERS, CONFIG, COUNTERS, DEFAULT_RETENTION_DAYS, QUARANTINE, REPLAYS, RETENTION_KEY, ROLLUP, SKETCHES,
 )
 from eventtally.sources import folders
 from eventtally.sources.versioned import VersionedTable
 
 
 class BatchTable:
-    """Rows a batch leaves behind; replaying the batch replaces them."""
+    """Rows a batch leaves behind, in a folder of its own until parts are
+    merged; replaying the batch replaces them."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root, schema
+        self.names = StructType.fromDDL(schema).names
+
+    def _path(self, part: str) -> str:
+        return f"{self.root}/part={part}"
+
+    def _parts(self) -> list[str]:
+        """Parts in force: not those a merged part replaces, should they linger."""
+        parts = [name[5:] for name in folders.child_folders(self.spark, self.root, "part=")]
+        gone: set[str] = set()
+        for part in parts:
+            if part.startswith("merged-"):
+                gone.update((folders.content(self.spark, f"{self.root}/_replaced/{part}") or b"").decode().split("\n"))
+        return [part for part in parts if part not in gone]
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[self._path(part) for part in parts])
 
     def read(self) -> DataFrame:
-        if not folders.child_folders(self.spark, self.root, "bid="):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.root)
+        return self._read(self._parts())
+
+    def of_batch(self, bid: str) -> DataFrame:
+        """The rows of one batch; other batches' unmerged parts are not opened."""
+        return self._read([p for p in self._parts() if p == bid or p.startswith("merged-")]).filter(F.col("bid") == bid)
 
     def has_batches(self, prefix: str) -> bool:
-        return bool(folders.child_folders(self.spark, self.root, f"bid={prefix}"))
+        if folders.child_folders(self.spark, self.root, f"part={prefix}"):
+            return True
+        merged = self._read([p for p in self._parts() if p.startswith("merged-")])
+        return not merged.filter(F.startswith("bid", F.lit(prefix))).limit(1).isEmpty()
 
     def write(self, rows: DataFrame, bid: str) -> None:
-        names = [field.split(" ")[0] for field in self.schema.split(", ")]
-        (
-            rows.withColumn("bid", F.lit(bid))
-            .select(*names)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bid")
-            .parquet(self.root)
-        )
+        rows.withColumn("bid", F.lit(bid)).select(*self.names).write.mode("overwrite").parquet(self._path(bid))
+
+    def merge(self, keep=None) -> int:
+        """Gather all parts in one; returns how many there were.
+
+        `keep` may filter the rows.  Batches that come meanwhile stay parts of
+        their own.  The new part is put in force by the list of what it
+        replaces, then the replaced folders go, so readers never see a row
+        twice or not at all; one that planned before fails and reads again.
+        """
+        old = self._parts()
+        if len(old) < 2:
+            return 0
+        name = f"merged-{time.time_ns()}"
+        rows = self._read(old)
+        staged = f"{self.root}/_staged/{name}"
+        (keep(rows) if keep else rows).hint("rebalance").write.parquet(staged)
+        folders.write(self.spark, f"{self.root}/_replaced/{name}", "\n".join(old).encode())
+        folders.rename(self.spark, staged, self._path(name))
+        for part in old:
+            folders.remove(self.spark, self._path(part))
+        return len(old)
 
 
 def quarantine(spark: SparkSession, root: str) -> BatchTable:
@@ -49,10 +89,25 @@ def counters(spark: SparkSession, root: str) -> BatchTable:
     return BatchTable(spark, root, COUNTERS)
 
 
+def answers(spark: SparkSession, root: str) -> BatchTable:
+    """What each request of an admitted batch was answered."""
+    return BatchTable(spark, root, ANSWERS)
+
+
+def replays(spark: SparkSession, root: str) -> BatchTable:
+    """One row per replay of dead letters: whose letters it takes."""
+    return BatchTable(spark, root, REPLAYS)
+
+
 def rollup(spark: SparkSession, root: str) -> VersionedTable:
     return VersionedTable(spark, root, ROLLUP)
 
 
+def sketches(spark: SparkSession, root: str) -> VersionedTable:
+    """Users by the hour, event name and channel, as mergeable sketches."""
+    return VersionedTable(spark, root, SKETCHES)
+
+
 class Config:
     """The key/value settings table."""
 
@@ -64,15 +119,16 @@ class Config:
         return self.spark.createDataFrame(list(settings.items()), CONFIG)
 
     def _store(self, rows: DataFrame) -> None:
-        self.table.replace(rows.coalesce(1))
+        self.table.replace(rows)
 
     def initialize(self, days: int = DEFAULT_RETENTION_DAYS) -> None:
         """Set the default unless a value is stored."""
         self._store(upsert.insert_missing(self.table.read(), self._rows({RETENTION_KEY: str(days)})))
 
-    def set(self, settings: dict[str, str]) -> None:
-        """Store settings; they win over stored values."""
-        self._store(upsert.upsert(self.table.read(), self._rows(settings)))
+    def set(self, settings: dict[str, str] | DataFrame) -> None:
+        """Store settings, a dict or rows (key, value); they win over stored values."""
+        rows = settings if isinstance(settings, DataFrame) else self._rows(settings)
+        self._store(upsert.upsert(self.table.read(), rows))
 
     def read(self) -> DataFrame:
         return self.table.read()

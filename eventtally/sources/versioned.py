@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from eventtally.sources import folders
 
+#: How long a version stays readable after a newer one took its place.
+KEEP_HOURS = 24.0
+
 
 class VersionedTable:
     """Parquet under `<root>/v=<number>`; the newest folder with a `_SUCCESS`
@@ -24,9 +28,13 @@ class VersionedTable:
     def _numbers(self) -> list[int]:
         return [int(n[2:]) for n in folders.child_folders(self.spark, self.root, "v=")]
 
+    def _written(self, version: int) -> float | None:
+        """When the version was complete, in epoch seconds; None if it is not."""
+        return folders.modified(self.spark, f"{self._path(version)}/_SUCCESS")
+
     def current_version(self) -> int | None:
         for number in reversed(self._numbers()):
-            if folders.exists(self.spark, f"{self._path(number)}/_SUCCESS"):
+            if self._written(number) is not None:
                 return number
         return None
 
@@ -37,12 +45,24 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._path(version))
 
-    def replace(self, rows: DataFrame, partition_by: Sequence[str] = (), keep: int = 3) -> int:
-        """Write a new version and remove all but the newest `keep`.  Earlier
-        versions stay for readers that have planned against them."""
+    def next_version(self) -> int:
         numbers = self._numbers()
-        version = (numbers[-1] if numbers else 0) + 1
+        return (numbers[-1] if numbers else 0) + 1
+
+    def replace(self, rows: DataFrame, partition_by: Sequence[str] = (), keep_hours: float = KEEP_HOURS) -> int:
+        """Write a new version.
+
+        A version goes once a newer complete one has been there for
+        `keep_hours`, however many there are: a reader that planned against it
+        has that long.  Versions that failed go as soon as a newer one is
+        complete; nobody reads them.
+        """
+        version = self.next_version()
         rows.write.partitionBy(*partition_by).parquet(self._path(version))
-        for number in (numbers + [version])[:-keep]:
-            folders.remove(self.spark, self._path(number))
+        newer = None
+        for number in reversed(self._numbers()):
+            written = self._written(number)
+            if number < version and (written is None or newer is not None and newer <= time.time() - keep_hours * 3600):
+                folders.remove(self.spark, self._path(number))
+            newer = written if written is not None else newer
         return version

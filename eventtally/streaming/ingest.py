@@ -32,7 +32,7 @@ def start_ingest(
         )
 
     def handle(batch: DataFrame, number: int) -> None:
-        ingest_batch(stores, batch, f"{name}-{number:012d}", **options)
+        ingest_batch(stores, batch, f"{name}-{number:012d}", owner=name, **options)
 
     return (
         records.writeStream.queryName(name)

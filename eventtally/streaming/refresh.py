@@ -1,4 +1,4 @@
-"""The periodic rollup refresh, driven by the ledger itself."""
+"""The periodic rollup refresh."""
 
 from __future__ import annotations
 
@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventtally.plans.ingest import Stores
 from eventtally.plans.refresh import refresh, today
-from eventtally.schema import LEDGER, REFRESH_SECONDS
-from eventtally.sources import folders
+from eventtally.schema import REFRESH_SECONDS
 
 log = logging.getLogger(__name__)
 
@@ -21,41 +20,28 @@ def start_refresh(
     stores: Stores,
     checkpoint: str,
     as_of: Callable[[], dt.date] = today,
-    trigger: dict | None = None,
+    seconds: float = REFRESH_SECONDS,
 ) -> StreamingQuery:
-    """Refresh the rollup whenever the ledger got new files.
-
-    The stream's own bookkeeping tells which files are new, so each refresh
-    recomputes just the dates they belong to, late events included.  There is
-    no watermark: an event counts however late, while its date is inside the
-    window.  A failed refresh is logged and leaves the old version in force;
-    the next one, like the first of a process, recomputes the whole window.
+    """Refresh the rollup at once and then every `seconds`, events or not.
+
+    The stream is only a clock.  What a refresh has to do follows from the
+    tables: which batches the current version does not count, and where the
+    window lies now.  So a new day or a changed setting takes effect without a
+    new event, late events count while their date is in the window, and a
+    failed refresh, which is logged and leaves the old version in force, is
+    made up for by the next one.  For one refresh that raises, call `refresh`.
     """
-    stale = True
-
-    def handle(batch: DataFrame, number: int) -> None:
-        nonlocal stale
-        # Partition columns only: no data column is read, and a refresh never
-        # sees more days than the ledger has.
-        days = [row["event_date"] for row in batch.select("event_date").distinct().collect()]
+    def handle(_: DataFrame, number: int) -> None:
         try:
-            refresh(stores, as_of(), None if stale else days)
-            stale = False
+            refresh(stores, as_of())
         except Exception:
-            stale = True
-            log.exception("rollup refresh failed; the old version stays")
-
-    folders.make(stores.spark, stores.ledger.root)
-    # A replayed batch replaces its files; the new ones are seen in their turn.
-    files = (
-        stores.spark.readStream.schema(LEDGER)
-        .option("ignoreMissingFiles", "true")
-        .parquet(stores.ledger.root)
-    )
+            log.exception("rollup refresh %d failed; the old version stays", number)
+
+    ticks = stores.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (
-        files.writeStream.queryName("rollup-refresh")
+        ticks.writeStream.queryName("rollup-refresh")
         .foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": f"{REFRESH_SECONDS} seconds"}))
+        .trigger(processingTime=f"{seconds} seconds")
         .start()
     )
