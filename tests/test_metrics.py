@@ -9,6 +9,7 @@ from eventtally.functions import clock
 from eventtally.operators import metrics, rollup, uniques
 from eventtally.plans.ingest import ingest_batch
 from eventtally.plans.refresh import expire_days, refresh
+from eventtally.sources import folders
 from pyspark.sql import functions as F
 
 H = 3600
@@ -152,20 +153,20 @@ def test_window_moves_and_late_events_count_inside_it(spark, stores):
     refresh(stores, as_of)
     assert rolled(stores) == {f"2026-02-{d}": 1 for d in range(17, 27)}  # no upper bound
     fill(stores, spark, [0, 4], "b")  # late: one before the window, one inside
-    day = dt.date(2026, 2, 19)
-    refresh(stores, as_of, [dt.date(2026, 2, 15), day])
+    refresh(stores, as_of)
     assert rolled(stores) == {f"2026-02-{d}": 1 + (d == 19) for d in range(17, 27)}
-    refresh(stores, dt.date(2026, 2, 27), [])
+    refresh(stores, dt.date(2026, 2, 27))
     assert rolled(stores) == {f"2026-02-{d}": 1 for d in range(20, 27)}
     stores.config.initialize()
     stores.config.set({"mv_retention_days": "10"})
     stores.config.initialize()
-    refresh(stores, dt.date(2026, 2, 27), [])
+    version = refresh(stores, dt.date(2026, 2, 27))
     assert rolled(stores) == {f"2026-02-{d}": 1 + (d == 19) for d in range(17, 27)}
+    assert refresh(stores, dt.date(2026, 2, 27)) == version  # nothing to do
     expire_days(stores, dt.date(2026, 2, 20))
-    refresh(stores, dt.date(2026, 2, 27), [])
+    refresh(stores, dt.date(2026, 2, 27))
     assert rolled(stores) == {f"2026-02-{d}": 1 for d in range(20, 27)}
-    refresh(stores, full_history=True)
+    refresh(stores, full_history=True, anew=True)
     assert rolled(stores) == {f"2026-02-{d}": 1 for d in range(20, 27)}
 
 
@@ -174,9 +175,13 @@ def test_readers_keep_their_version(spark, stores):
     refresh(stores, dt.date(2026, 2, 15))
     planned = stores.rollup.read()
     fill(stores, spark, [0], "b")
-    refresh(stores, dt.date(2026, 2, 15))
+    for _ in range(10):
+        refresh(stores, dt.date(2026, 2, 15), anew=True)
     assert planned.agg(F.sum("total_count")).first()[0] == 1
     assert rolled(stores) == {"2026-02-15": 2}
+    stores.rollup.replace(stores.rollup.read(), ["event_date"], keep_hours=0)
+    stores.rollup.replace(stores.rollup.read(), ["event_date"], keep_hours=0)
+    assert len(folders.child_folders(spark, stores.rollup.root, "v=")) == 1
 
 
 def test_failed_refresh_leaves_the_old_version(spark, stores):
@@ -186,7 +191,15 @@ def test_failed_refresh_leaves_the_old_version(spark, stores):
     with pytest.raises(Exception, match="no"):
         stores.rollup.replace(broken, ["event_date"])
     assert rolled(stores) == {"2026-02-15": 1}
-    assert refresh(stores, dt.date(2026, 2, 15)) == 3
+    # The batches of a refresh that failed are still open to the next one.
+    fill(stores, spark, [0], "b")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(stores.rollup.__class__, "replace", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            refresh(stores, dt.date(2026, 2, 15))
+    assert rolled(stores) == {"2026-02-15": 1}
+    assert refresh(stores, dt.date(2026, 2, 15)) == 3 and rolled(stores) == {"2026-02-15": 2}
+    assert folders.child_folders(spark, stores.rollup.root, "v=") == ["v=000000001", "v=000000003"]
 
 
 def test_metrics_scan_is_pruned_and_pushed_down(spark, stores):

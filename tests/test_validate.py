@@ -5,12 +5,13 @@ from conftest import T0, event_json, records_frame
 
 from eventtally.operators import bulk, validate
 from eventtally.plans.ingest import classify, dead_letters
+from eventtally.plans import admission
 from eventtally.sources import payloads
 from pyspark.sql import functions as F
 
 FULL = dict(
     event_name="product_view", user_id="user_123", timestamp=T0, channel="web", campaign_id="cmp_987",
-    tags=["electronics", "homepage"], metadata={"product_id": "prod-789", "price": 129.99},
+    tags=["spring", "banner", "b"], metadata={"shelf": 12, "seen_before": False},
 )
 
 
@@ -160,3 +161,54 @@ def test_dead_letter_keeps_raw_text(spark):
 def test_text_is_parsed_once(spark):
     df = dead_letters(classify(records_frame(spark, ["x"])))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
+
+
+@pytest.mark.parametrize("member", [
+    '"event_name":{"a":1}', '"user_id":["u"]', '"channel":{"c":1}', '"campaign_id":[1]', '"metadata":"txt"', '"metadata":[1]',
+])
+def test_mistyped_member_is_refused_alone_and_in_a_list(spark, member):
+    good = json.dumps(FULL)
+    bad = good[:-1] + "," + member + "}"
+    bad = json.dumps({k: v for k, v in FULL.items() if f'"{k}"' not in member})[:-1] + "," + member + "}"
+    rows = spark.createDataFrame([(1, bad, '{"events":[%s,%s]}' % (good, bad)), (2, good, '{"events":[%s,%s]}' % (good, good))], "id int, one STRING, many STRING")
+    one = payloads.parse_events(rows, "one").select("id", "_corrupt").collect()
+    many = payloads.parse_bulk(rows, "many").select("id", "_corrupt").collect()
+    for found in (one, many):
+        assert {r["id"]: r["_corrupt"] is None for r in found} == {1: False, 2: True}
+
+
+def test_storage_admission_of_all_lengths(spark):
+    limits = {"event_name": 255, "channel": 100, "campaign_id": 100, "user_id": 255}
+    rows = []
+    for name, limit in limits.items():
+        for extra in (0, 1):
+            row = {"event_name": "e", "channel": "c", "campaign_id": "p", "user_id": "u", name: "x" * (limit + extra)}
+            rows.append((f"{name}{extra}", *row.values(), T0))
+    df = spark.createDataFrame(rows, "id STRING, event_name STRING, channel STRING, campaign_id STRING, user_id STRING, event_timestamp BIGINT")
+    found = {r["id"]: r["fault"] for r in df.select("id", validate.storage_fault().alias("fault")).collect()}
+    assert found == {f"{n}{e}": f"{n} exceeds {m} characters" if e else None for n, m in limits.items() for e in (0, 1)}
+
+
+def test_admitted_requests_are_answered_and_ingested(spark, stores):
+    def event(**changes):
+        return {k: v for k, v in {**FULL, **changes}.items() if v is not None}
+
+    def listed(*events):
+        return json.dumps({"events": list(events)})
+
+    bodies = [
+        ("single", json.dumps(event()), 1), ("single", json.dumps(event(event_name=" ")), 0), ("single", json.dumps(event(user_id=None)), 0),
+        ("single", json.dumps(event(timestamp=None)), 0), ("single", json.dumps(event(timestamp=0)), 0), ("single", "no JSON", 0),
+        ("single", None, 0), ("single", "null", 0), ("bulk", listed(), 0), ("bulk", '{"events":null}', 0), ("bulk", None, 0),
+        ("bulk", listed(*[event(timestamp=T0 + i) for i in range(1000)]), 1000), ("bulk", listed(*[event(timestamp=T0 + i) for i in range(1001)]), 0),
+        ("bulk", listed(event(user_id="new"), event(event_name={"a": 1})), 0), ("bulk", listed(event(user_id="new"), event(timestamp=-5)), 0),
+        ("bulk", listed(event(user_id="other"), event(user_id="other", channel="last")), 2), ("bulk", '{"events":[null]}', 0),
+    ]
+    requests = spark.createDataFrame([(str(i), kind, body, i) for i, (kind, body, _) in enumerate(bodies)], "request_id STRING, kind STRING, value STRING, offset BIGINT")
+    counted = admission.admit_batch(stores, requests, "r-1")
+    got = {int(r["request_id"]): r["accepted_count"] for r in stores.answers.read().collect()}
+    assert got == {i: n for i, (_, _, n) in enumerate(bodies)}
+    assert (counted["received"], counted["inserted"], counted["dead"]) == (1003, 1001, 0)
+    assert [r["channel"] for r in stores.ledger.read().filter("user_id = 'other'").collect()] == ["last"]
+    empty = admission.admit_batch(stores, requests.limit(0), "r-2")
+    assert empty["received"] == empty["inserted"] == 0
