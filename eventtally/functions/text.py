@@ -19,6 +19,26 @@ def has_text(value: str | None) -> bool:
     return value is not None and any(ch > " " for ch in value)
 
 
+# The characters that Java counts as white space.
+_JAVA_WHITE = [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B),
+    0x2028, 0x2029, 0x205F, 0x3000,
+]
+
+
+def visible(column: Column) -> Column:
+    """At least one character that is not white space; NULL has none.  The rule
+    for a channel, which differs from `not_blank` outside of ASCII and for
+    control characters."""
+    inside = "".join(f"\\x{{{point:x}}}" for point in _JAVA_WHITE)
+    return F.coalesce(column.rlike(f"[^{inside}]"), F.lit(False))
+
+
+def has_visible(value: str | None) -> bool:
+    """The same rule for a Python argument."""
+    return value is not None and any(ord(ch) not in _JAVA_WHITE for ch in value)
+
+
 def json_text(column: Column) -> Column:
     """An array, map or struct as JSON text; NULL stays NULL."""
     return F.when(column.isNotNull(), F.to_json(column))

@@ -18,6 +18,14 @@ def is_daily(group_by: str | None) -> bool:
     return group_by is not None and group_by.lower() == "daily"
 
 
+def _check(event_name: str | None, start: int | None, end: int | None) -> None:
+    """The rules of `check_requests` for one request."""
+    if not text.has_text(event_name):
+        raise ValueError(validate.QUERY_NAME_REQUIRED)
+    if start is None or end is None:
+        raise ValueError(validate.FROM_REQUIRED if start is None else validate.TO_REQUIRED)
+
+
 def matching_hours(
     rollup: DataFrame, event_name: str, start: int, end: int, channel: str | None = None
 ) -> DataFrame:
@@ -27,6 +35,7 @@ def matching_hours(
     partitions, which Spark cannot infer.  A channel that is NULL in the
     rollup matches no channel filter.
     """
+    _check(event_name, start, end)
     rows = rollup.filter(
         (F.col("event_date") >= clock.date_of(start))
         & (F.col("event_date") <= clock.date_of(end))
@@ -34,7 +43,7 @@ def matching_hours(
         & (F.col("date_hour") >= start)
         & (F.col("date_hour") < end)
     )
-    return rows.filter(F.col("channel") == channel) if text.has_text(channel) else rows
+    return rows.filter(F.col("channel") == channel) if text.has_visible(channel) else rows
 
 
 def _sums() -> list[Column]:
@@ -116,11 +125,12 @@ def _day_slots(rollup: DataFrame) -> DataFrame:
 
 def _laid_out(rollup: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests with a row per date they can match, at least one each."""
-    first = rollup.agg(F.min(F.unix_date("event_date")).cast("bigint")).scalar()
-    last = rollup.agg(F.max(F.unix_date("event_date")).cast("bigint")).scalar()
-    wants_channel = text.not_blank(F.col("channel"))
-    low = F.greatest(clock.epoch_day(F.col("from")), first)
-    high = F.least(clock.epoch_day(F.col("to")), last)
+    day = F.unix_date("event_date").cast("bigint")
+    # One subquery, one scan: first and last day together.
+    days = rollup.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
+    wants_channel = text.visible(F.col("channel"))
+    low = F.greatest(clock.epoch_day(F.col("from")), days["first"])
+    high = F.least(clock.epoch_day(F.col("to")), days["last"])
     return requests.withColumns({
         "all_channels": ~wants_channel,
         "slot_channel": F.when(wants_channel, F.col("channel")).otherwise(F.lit("")),
@@ -145,11 +155,10 @@ def answer_requests(rollup: DataFrame, requests: DataFrame) -> DataFrame:
     """
     asked = ("request_id", "event_name", "from", "to", "channel", "group_by")
     valid = check_requests(requests).filter(F.size("violations") == 0).select(*asked)
-    # Spread the thin rows by request before the join widens them: the final
-    # grouping then needs no shuffle of the wide ones.  An explicit number
-    # keeps AQE from merging partitions that look small before the join.
-    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = _laid_out(rollup, valid).repartition(tasks, "request_id").join(
+    # Spread the requests before they are laid out over days and widened by the
+    # join: both keep the partitioning, so the final grouping needs no shuffle
+    # of what they add.
+    met = _laid_out(rollup, valid.repartition("request_id")).join(
         _day_slots(rollup), ["event_name", "all_channels", "slot_channel", "slot_day"], "left"
     )
     zero = F.lit(0).cast("bigint")
@@ -197,10 +206,6 @@ def metrics_document(
     channel: str | None = None, group_by: str | None = "hourly",
 ) -> DataFrame:
     """One request, one document, one read of the rollup."""
-    if not text.has_text(event_name):
-        raise ValueError(validate.QUERY_NAME_REQUIRED)
-    if start is None or end is None:
-        raise ValueError(validate.FROM_REQUIRED if start is None else validate.TO_REQUIRED)
     buckets = _labelled_buckets(rollup, event_name, start, end, channel, group_by)
     zero = F.lit(0).cast("bigint")
     return buckets.agg(

@@ -223,3 +223,28 @@ def test_distinct_count_spreads_a_hot_group(spark):
     plan = rollup.hourly_rollup(rows)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) == 2 and "user_id" in exchanges[1] and "user_id" not in exchanges[0]
+
+
+@pytest.mark.parametrize("channel, filters", [
+    (None, False), ("", False), (" \t", False), ("\u2003", False), ("\u3000\x1f", False), ("\x01", True), ("\u00a0", True), (" web", True),
+])
+def test_a_channel_of_white_space_is_no_filter(spark, clicks, channel, filters):
+    table, _ = clicks
+    asked = spark.createDataFrame([("r", "click", T0, T0 + 10 * 86400, channel, None)], "request_id STRING, event_name STRING, from BIGINT, to BIGINT, channel STRING, group_by STRING")
+    answer = metrics.answer_requests(table, asked).first()["total_count"]
+    assert metrics.totals(table, "click", T0, T0 + 10 * 86400, channel).first()["total_count"] == answer == (0 if filters else 7)
+
+
+@pytest.mark.parametrize("name, start, end", [(" ", 1, 2), (None, 1, 2), ("click", None, 2), ("click", 1, None)])
+def test_totals_and_breakdowns_check_their_request(clicks, name, start, end):
+    for ask in (metrics.totals, metrics.breakdown, metrics.metrics_document):
+        with pytest.raises(ValueError, match="required"):
+            ask(clicks[0], name, start, end)
+
+
+def test_requests_find_first_and_last_day_together(spark, clicks):
+    table, _ = clicks
+    asked = spark.createDataFrame([("r", "click", T0, T0 + 86400, None, None)], "request_id STRING, event_name STRING, from BIGINT, to BIGINT, channel STRING, group_by STRING")
+    plan = metrics.answer_requests(table, asked)._jdf.queryExecution().optimizedPlan().toString()
+    days = [line for line in plan.splitlines() if "min(" in line or "max(" in line]
+    assert days and all("min(" in line and "max(" in line for line in days)
