@@ -496,4 +496,10 @@ passed AS (
 )
 SELECT DISTINCT idempotency_key, event_name, CAST(event_date AS VARCHAR) AS event_date
 FROM keyed WHERE event_id IN (SELECT event_id FROM passed)""",
+    "letters_expired": f"""WITH {_RAW_ARRIVALS},
+batches AS (SELECT batch_id, row_number() OVER (ORDER BY batch_id) - 1 AS i, count(*) OVER () - 1 AS last FROM (SELECT DISTINCT batch_id FROM raw)),
+letters AS (SELECT batch_id, 3 * (last - i) > 7 AS expired FROM raw JOIN batches USING (batch_id) WHERE reason IS NOT NULL)
+SELECT 'load-' || lpad(CAST(batch_id AS VARCHAR), 6, '0') AS bid, count(*) AS letters,
+       (SELECT count(*) FROM letters WHERE expired) AS deleted
+FROM letters WHERE NOT expired GROUP BY batch_id""",
 }

@@ -18,7 +18,7 @@ from eventtally.operators import (
 from eventtally.plans import sample
 from eventtally.plans.admission import admit_batch
 from eventtally.plans.ingest import Stores, classify, dead_letters, ingest_batch, replay_dead_letters
-from eventtally.plans.refresh import expire_days, refresh
+from eventtally.plans.refresh import expire_days, expire_letters, refresh
 from eventtally.session import new_workspace
 from eventtally.sources import folders, payloads, records
 from eventtally.streaming import windows
@@ -571,6 +571,23 @@ def dlt_open(spark, folder):
     return _replay_run(spark, folder).letters().select("key", "value", "offset", "reason")
 
 
+def letters_expired(spark, folder):
+    """Dead letters received a day apart by batch; those older than a week at
+    the last batch are deleted, and counted."""
+    def run(stores: Stores) -> None:
+        at = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+        sent = list(_staged(spark, folder, stores))
+        for i, (number, batch) in enumerate(sent):
+            ingest_batch(stores, batch, f"load-{number:06d}", received_at=at + dt.timedelta(days=3 * i))
+        stores.config.set({"deleted": str(expire_letters(stores, at + dt.timedelta(days=3 * len(sent) - 3)))})
+
+    stores = _once(spark, folder, "expired", run)
+    deleted = stores.config.read().filter("key = 'deleted'").first()["value"]
+    return stores.quarantine.read().groupBy("bid").agg(
+        F.count("*").alias("letters"), F.lit(int(deleted)).cast("bigint").alias("deleted")
+    )
+
+
 def stored_remembered(spark, folder):
     """All deliveries, and all again ten days later with keys remembered for
     seven: still one row per key."""
@@ -723,5 +740,5 @@ QUERIES = (
     stored_breakdown, stored_config, stored_seen_keys,
     stream_ledger, stream_counters, stream_quarantine, stream_rollup, stream_hourly_counts,
     stream_first_arrivals, dlt_replay, dlt_open, ledger_retention, key_exists, late_events,
-    stored_remembered, merged_ledger, merged_counters, admission_answers, admitted_ledger, end_to_end,
+    letters_expired, stored_remembered, merged_ledger, merged_counters, admission_answers, admitted_ledger, end_to_end,
 )

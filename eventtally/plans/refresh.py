@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventtally.functions import text
-from eventtally.operators import rollup as rollups
+from eventtally.operators import retention, rollup as rollups
 from eventtally.plans.ingest import Stores
-from eventtally.schema import COVERED, DEFAULT_RETENTION_DAYS, RETENTION_KEY
+from eventtally.schema import COVERED, DEFAULT_RETENTION_DAYS, INBOX_RETENTION_DAYS, RETENTION_KEY
 from eventtally.sources import folders
 
 
@@ -74,3 +74,14 @@ def refresh(stores: Stores, as_of: dt.date | None = None, full_history: bool = F
 def expire_days(stores: Stores, before: dt.date) -> list[dt.date]:
     """Drop whole days of the ledger; the next refresh forgets them too."""
     return stores.ledger.drop_before(before)
+
+
+def expire_letters(stores: Stores, now: dt.datetime | None = None, days: int = INBOX_RETENTION_DAYS) -> int:
+    """Delete dead letters received more than `days` days ago; returns how many
+    that were.  The rest is gathered in one part."""
+    now = now or dt.datetime.now(dt.timezone.utc)
+    aged = (F.unix_seconds("received_at"), F.lit(int(now.timestamp())).cast("bigint"), F.lit(days))
+    deleted = retention.expired_count(stores.quarantine.read(), *aged).first()["deleted"]
+    if deleted:
+        stores.quarantine.merge(lambda rows: retention.survivors(rows, *aged))
+    return deleted

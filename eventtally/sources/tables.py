@@ -66,7 +66,7 @@ class BatchTable:
         twice or not at all; one that planned before fails and reads again.
         """
         old = self._parts()
-        if len(old) < 2:
+        if len(old) < (1 if keep else 2):
             return 0
         name = f"merged-{time.time_ns()}"
         rows = self._read(old)
