@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -41,7 +43,9 @@ def build_session(app: str = "eventtally", master: str | None = None, **conf: st
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="eventtally-")
+    folder = tempfile.mkdtemp(prefix="eventtally-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +61,17 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def _workspaces(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/eventtally/{spark.sparkContext.applicationId}"
+
+
 def new_workspace(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing folder for one run's tables."""
-    return f"{shared_folder(spark)}/eventtally/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_workspaces(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Remove what this application wrote on its way, once its results are
+    stored elsewhere; DataFrames that read it are void then."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(_workspaces(spark))
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

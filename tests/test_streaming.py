@@ -6,7 +6,7 @@ from conftest import T0, event_json, records_frame
 
 from eventtally.functions import clock
 from eventtally.plans.ingest import Stores, classify, ingest_batch
-from eventtally.session import shared_folder
+from eventtally.session import new_workspace, shared_folder
 from eventtally.sources import folders, records
 from eventtally.streaming import windows
 from eventtally.streaming.ingest import start_ingest
@@ -153,3 +153,8 @@ def test_shared_folder_comes_from_the_session(spark):
     if configured:
         assert shared_folder(spark) == configured.rstrip("/")
     assert not folders.exists(spark, shared_folder(spark) + "/no-such-folder")
+
+
+def test_workspaces_of_an_application_lie_together(spark):
+    first, second = (new_workspace(spark, "some") for _ in range(2))
+    assert first != second and f"/{spark.sparkContext.applicationId}/some-" in first
