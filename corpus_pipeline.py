@@ -16,8 +16,9 @@ from eventtally.llm.tables import share_package, stage, table
 #: No SQL expresses trained profiles, signatures or tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-#: Documents below this cosine with every language are in none of them.
-LEAST_COSINE = 0.1
+#: Documents below this cosine with every language are in none of them: not much
+#: above what unrelated vectors of that width have, so short texts stay.
+LEAST_COSINE = 0.05
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letter or resemble no language; learned from the rows that name theirs."""
+    """Without documents that have no letter or resemble no language; learned from the rows that name theirs.
+    If no row does, all stay."""
     share_package(spark)
     model = language_id.learn(docs)
     found = language_id.identify(docs, model, columns=("__lang", "__score"))
