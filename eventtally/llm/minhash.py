@@ -189,13 +189,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.select("a", "b", "a_runs", "b_runs").mapInArrow(check, "a long, b long")
 
 
+class _Members:
+    """The multisets of a bucket's members, for comparing one with many."""
+
+    def __init__(self, lists: pa.Array):
+        runs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        self.sizes = np.diff(np.asarray(lists.offsets))
+        member = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        new = np.flatnonzero(np.concatenate([[True], (runs[1:] != runs[:-1]) | (member[1:] != member[:-1])])[: len(runs)])
+        self.runs, self.counts = runs[new], np.diff(np.append(new, len(runs)))
+        self.at = np.searchsorted(member[new], np.arange(len(self.sizes) + 1))
+
+    def overlaps(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of member i with each of the others."""
+        own = slice(self.at[i], self.at[i + 1])
+        lengths = self.at[others + 1] - self.at[others]
+        ends = np.cumsum(lengths)
+        which = np.repeat(self.at[others] - (ends - lengths), lengths) + np.arange(ends[-1])
+        place = np.minimum(np.searchsorted(self.runs[own], self.runs[which]), own.stop - own.start - 1)
+        both = np.where(self.runs[own][place] == self.runs[which], np.minimum(self.counts[own][place], self.counts[which]), 0)
+        shared = np.add.reduceat(both, ends - lengths)
+        return shared / (self.sizes[i] + self.sizes[others] - shared)
+
+
 def _closed(group: pa.Table, similarity: float) -> pa.Table:
-    """Links between members of different components of one bucket, or of two blocks of it; a forest of them."""
+    """Links between members of different components of one bucket, or of two blocks of it; a forest of them.
+
+    A pair that an earlier band brings together too is left to that band.
+    """
     own = group.column("component").to_numpy()
     ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
-    lists = group.column("runs").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    values, at = lists.values.to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+    band = group.column("band")[0].as_py()
+    members = _Members(group.column("runs").combine_chunks())
     registers = np.stack([np.frombuffer(r, np.uint16) for r in group.column("registers").to_pylist()])
     least = REGISTERS * similarity - 5 * np.sqrt(REGISTERS * similarity * (1 - similarity))
     _, component = np.unique(own, return_inverse=True)
@@ -210,11 +235,13 @@ def _closed(group: pa.Table, similarity: float) -> pa.Table:
         others = (component != component[i]) & ((block != block[i]) if apart else True)
         others &= (component == largest) | (np.arange(len(ids)) > i)
         near = np.flatnonzero(others)
-        agree = (registers[near] == registers[i]).sum(axis=1)
-        for j in near[agree >= least][np.argsort(-agree[agree >= least], kind="stable")].tolist():
-            if forest.root(i) != forest.root(j) and overlap(values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]) >= similarity:
-                forest.join(i, j)
-                found.append((int(ids[i]), int(ids[j])))
+        agree = registers[near] == registers[i]
+        near, agree = (x[agree.sum(axis=1) >= least] for x in (near, agree))
+        near = near[agree.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(near):
+            for j in near[members.overlaps(i, near) >= similarity].tolist():
+                if forest.join(i, j):
+                    found.append((int(ids[i]), int(ids[j])))
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
@@ -222,12 +249,12 @@ def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with their component and the bucket's size."""
     known = groups.select(F.col("node").alias("of"), "component")
     labelled = members.join(known, F.col("id") == F.col("of"), "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("component")
+        "bucket", "band", "id", F.coalesce("component", "id").alias("component")
     )
     several = labelled.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
     ).where(F.col("low") < F.col("high")).select(F.col("bucket").alias("in"), "size")
-    return labelled.join(several, F.col("bucket") == F.col("in")).select("bucket", "id", "component", "size")
+    return labelled.join(several, F.col("bucket") == F.col("in")).select("bucket", "band", "id", "component", "size")
 
 
 def near_duplicates(
@@ -239,13 +266,13 @@ def near_duplicates(
     copies = signed.groupBy("key", "key2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     reps = stage(copies, "representatives")
     buckets = reps.select("rep", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), F.col("rep").alias("id")
+        F.xxhash64("band", "value").alias("bucket"), "band", F.col("rep").alias("id")
     )
     smallest = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(
         F.col("least") < F.col("most")
     ).select(F.col("bucket").alias("in"), "least")
     members = stage(
-        buckets.join(smallest, F.col("bucket") == F.col("in")).select("bucket", "id", "least"), "buckets"
+        buckets.join(smallest, F.col("bucket") == F.col("in")).select("bucket", "band", "id", "least"), "buckets"
     )
     sets = stage(_multisets_of(rows, members.select("id").distinct()), "multisets")
     stars = members.where(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
@@ -258,7 +285,7 @@ def near_duplicates(
     parts = open_members.withColumn("block", block).withColumn(
         "other", F.explode(F.when(blocks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
     ).select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component", "block"
+        "bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component", "block"
     )
     with_sets = parts.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of")
     closing = with_sets.groupBy("bucket", "low", "high").applyInArrow(lambda group: _closed(group, similarity), "a long, b long")

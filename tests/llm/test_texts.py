@@ -4,7 +4,7 @@ import pytest
 from brute import groups, near_pairs, without_boilerplate, without_repeats
 from pyspark.sql import functions as F
 
-from eventtally.llm import language_id, line_dedup, minhash, substring_dedup, toxicity
+from eventtally.llm import arrays, language_id, line_dedup, minhash, substring_dedup, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -88,20 +88,29 @@ def test_minhash_in_blocks_and_on_tables(spark, docs, monkeypatch):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_closing_a_bucket_compares_across_components():
+def test_closing_buckets_compares_across_components():
+    """Over all bands together, each pair that meets is compared in one of them."""
     import numpy as np
     import pyarrow as pa
 
-    texts = pa.array([t for t in near_texts()[:6]])
+    texts = pa.array(near_texts()[:6])
     runs, at = minhash.runs(texts)
     lists = [np.sort(runs[a:b]).view(np.int64) for a, b in zip(at, at[1:])]
-    short = minhash.signatures(*minhash.multisets(texts), len(texts)).view(np.uint64).astype(np.uint16)
-    group = pa.table({
-        "id": pa.array(range(6), pa.int64()), "component": pa.array([0, 0, 2, 2, 4, 5], pa.int64()), "block": pa.array([0] * 6, pa.int32()),
-        "runs": pa.array([x.tolist() for x in lists], pa.list_(pa.int64())), "registers": pa.array([s.tobytes() for s in short]),
-    })
-    found = minhash._closed(group, 0.8)
-    links = list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) + [(0, 1), (2, 3)]
+    signed = minhash.signatures(*minhash.multisets(texts), len(texts))
+    short = arrays.mixed(np.ascontiguousarray(signed).view(np.uint64).ravel()).astype(np.uint16).reshape(6, -1)
+    values = minhash.bands(signed)
+    links = [(0, 1), (2, 3)]
+    for band in range(minhash.BANDS):
+        for value in set(values[:, band].tolist()):
+            own = [i for i in range(6) if values[i, band] == value]
+            group = pa.table({
+                "id": pa.array(own, pa.int64()), "component": pa.array([[0, 0, 2, 2, 4, 5][i] for i in own], pa.int64()),
+                "block": pa.array([0] * len(own), pa.int32()), "band": pa.array([band] * len(own), pa.int32()),
+                "runs": pa.array([lists[i].tolist() for i in own], pa.list_(pa.int64())),
+                "registers": pa.array([short[i].tobytes() for i in own]),
+            })
+            found = minhash._closed(group, 0.8)
+            links += zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)
     assert groups(links, range(6)) == groups(list(near_pairs(dict(enumerate(texts.to_pylist())))) + [(0, 1), (2, 3)], range(6))
 
 
