@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from eventtally.llm.tables import stage
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _is_done(links: DataFrame) -> bool:
+    """Whether every node has one link, but for the smaller ends, which have no smaller one themselves."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -43,10 +48,8 @@ def components(links: DataFrame) -> DataFrame:
         F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
     )
     links = stage(links.distinct(), "links")
-    before, now = None, _state(links)
-    while before != now and now[0]:
+    while not _is_done(links):
         links = stage(_small_star(_large_star(links)), "links")
-        before, now = now, _state(links)
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
