@@ -29,9 +29,11 @@ from eventtally.llm.tables import stage
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words of the broadcast dictionary, at most, and the bytes of one.
 WORDS, WORD_BYTES = 200_000, 64
+#: Words outside the dictionary whose ids a task remembers.
+REMEMBER = 50_000
 #: Slots of the literal map of ranks.
 SLOTS = 1 << 14
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -115,22 +117,41 @@ def dictionary(texts: DataFrame, ranks_path: str, words: int = WORDS) -> dict[by
     return {word: raw[begin:end] for word, begin, end in zip(found.column("word").to_pylist(), at, at[1:])}
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit numbers) of every text."""
+def encode(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", ranks_path: str | None = None, decoded: str | None = None,
+) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit numbers) of every text.
+
+    `decoded` names a further column for what the ids decode to: a round trip
+    in one pass, where `decode` after `encode` would take two.
+    """
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = rows.sparkSession.sparkContext.broadcast(dictionary(rows.select("text"), ranks_path))
 
     def encoded(batches):
-        encoder = bpe.Encoder(bpe.merges_of_ranks(ranks_path), known.value)
+        encoder = bpe.Encoder(bpe.merges_of_ranks(ranks_path), known.value, REMEMBER)
         for piece in arrays.slices(batches, "text", SLICE_BYTES):
             ids, at = encoder.encode(piece.column("text"))
-            raw = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), piece.num_rows, [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<u4"))]
-            )
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), raw.cast(pa.binary())], names=["doc_id", "ids"])
+            columns = {"doc_id": piece.column("doc_id"), "ids": _binary(ids.astype("<u4"), 4 * at)}
+            if decoded:
+                columns[decoded] = concatenated(ids, at, _pieces(ranks_path))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(encoded, "doc_id long, ids binary" + (f", `{decoded}` binary" if decoded else ""))
+
+
+def _binary(data: np.ndarray | pa.Buffer, at: np.ndarray) -> pa.Array:
+    """The bytes of `data` between each two places of `at`."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, buffers).cast(pa.binary())
+
 
-    return rows.mapInArrow(encoded, "doc_id long, ids binary")
+def concatenated(ids: np.ndarray, at: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The pieces of the ids put together, for the ids between each two places of `at`."""
+    parts = pieces.take(pa.array(np.minimum(ids, len(pieces) - 1).astype(np.int64)))
+    ends = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    return _binary(parts.buffers()[2] or b"", ends[at])
 
 
 def decode(coded: DataFrame, ids: str = "ids", column: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -138,16 +159,10 @@ def decode(coded: DataFrame, ids: str = "ids", column: str = "decoded", ranks_pa
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
 
     def decoded(raw: pa.Array) -> pa.Array:
-        pieces = _pieces(ranks_path)
         done = []
         for piece in arrays.slices([pa.RecordBatch.from_arrays([raw], ["ids"])], "ids", SLICE_BYTES):
             data, offsets = arrays.text_bytes(piece.column("ids"))
-            numbers = np.minimum(np.frombuffer(data.tobytes(), "<u4"), len(pieces) - 1)
-            parts = pieces.take(pa.array(numbers.astype(np.int64)))
-            at = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(parts) + 1][offsets // 4]
-            done.append(pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), piece.num_rows, [None, pa.py_buffer(np.ascontiguousarray(at)), parts.buffers()[2]]
-            ).cast(pa.binary()))
+            done.append(concatenated(np.frombuffer(data.tobytes(), "<u4"), offsets // 4, _pieces(ranks_path)))
         return pa.concat_arrays(done) if done else pa.array([], pa.binary())
 
     return coded.withColumn(column, F.arrow_udf(decoded, "binary", F.ArrowUDFType.SCALAR)(F.col(ids)))

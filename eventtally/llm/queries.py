@@ -69,7 +69,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, and its ids decoded again."""
-    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded")
     return coded.select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

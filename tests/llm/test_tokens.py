@@ -76,7 +76,9 @@ def test_encode_and_decode(spark, library):
     for row in docs.collect():
         ids = library.encode_ordinary(row.text or "")
         expected.append((row.doc_id, np.array(ids, "<u4").tobytes(), (row.text or "").encode()))
-    assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in coded), key=repr) == sorted(expected, key=repr)
+    both = byte_bpe.encode(docs, decoded="decoded").collect()
+    for rows in (coded, both):
+        assert sorted(((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in rows), key=repr) == sorted(expected, key=repr)
 
 
 def test_dictionary_is_bounded_by_frequency(spark):
