@@ -33,7 +33,7 @@ COSINE = 0.9
 #: Vectors of a leaf, at most.
 LEAF = 4_096
 #: Centres of a cell, and the vectors they are chosen from (by a hash of the id).
-CENTRES, CANDIDATES = 8, 64
+CENTRES, CANDIDATES = 4, 64
 #: Far beyond rounding: what bounds decide must be this clear.
 CLEAR = 1e-6
 #: Rows of a matrix of cosines that are made at once.
@@ -118,15 +118,30 @@ class Tree:
         self.end += (begin + cuts[1:]).tolist()
         self.order[begin:end] = members[by_child]
 
+    def packed(self) -> bytes:
+        low, high = np.array(self.children).T
+        numbers = [[len(self.center)], self.order, self.center, self.begin, self.end, low, high]
+        return np.concatenate(numbers).astype("<i8").tobytes() + np.array(self.radius, "<f8").tobytes()
+
+    @classmethod
+    def unpacked(cls, units: np.ndarray, raw: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        numbers = np.frombuffer(raw, "<i8")
+        nodes, points = int(numbers[0]), len(units)
+        tree.units, tree.order = units, numbers[1 : 1 + points]
+        tree.center, tree.begin, tree.end, low, high = numbers[1 + points : 1 + points + 5 * nodes].reshape(5, nodes)
+        tree.children = np.stack([low, high], axis=1)
+        tree.radius = np.frombuffer(raw, "<f8")[1 + points + 5 * nodes :]
+        return tree
+
     def opened(self, node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Centres, radii and nodes of a node's children; of its members, without nodes, if it has none."""
         low, high = self.children[node]
         if low == high:
             members = self.order[self.begin[node] : self.end[node]]
             return members, np.zeros(len(members)), np.full(len(members), -1)
-        nodes = np.arange(low, high)
-        single = np.array([self.end[n] - self.begin[n] == 1 for n in range(low, high)])
-        return np.array(self.center[low:high]), np.array(self.radius[low:high]), np.where(single, -1, nodes)
+        single = np.asarray(self.end[low:high]) - np.asarray(self.begin[low:high]) == 1
+        return np.array(self.center[low:high]), np.array(self.radius[low:high]), np.where(single, -1, np.arange(low, high))
 
     def members(self, point: int, node: int) -> np.ndarray:
         return np.array([point]) if node < 0 else self.order[self.begin[node] : self.end[node]]
@@ -156,54 +171,70 @@ class Traversal:
     def _compare(self, a, b, own: int | None) -> None:
         """All pairs of two lists of nodes; `own` is where the first list begins in the second, if they are one."""
         first, second = self.trees[0], self.trees[self.second]
-        cosines = first.units[a[0]] @ second.units[b[0]].T
-        gap = _distance(cosines)
-        reach = self.reach + a[1][:, None] + b[1]
-        single = (a[2][:, None] < 0) & (b[2] < 0)
-        wanted = np.ones(gap.shape, bool)
-        if own is not None:
-            wanted = np.arange(len(b[0])) > own + np.arange(len(a[0]))[:, None]
-        exact = wanted & single & self._linked(cosines, a[0], b[0])
-        self._count(a[0], b[0], exact)
-        rest = wanted & ~single & (gap <= reach + CLEAR)
-        whole = rest & (gap + a[1][:, None] + b[1] < self.reach - CLEAR)
-        for i, j in np.argwhere(whole).tolist():
-            self._count_whole(first.members(a[0][i], a[2][i]), second.members(b[0][j], b[2][j]))
-        rest &= ~whole
-        for i in np.flatnonzero(rest.any(axis=1)).tolist():
-            js = np.flatnonzero(rest[i])
-            one = tuple(x[i : i + 1] for x in a) if a[2][i] < 0 else first.opened(a[2][i])
-            if a[2][i] >= 0:
-                self.stack.append((one, tuple(x[js] for x in b), False))
-            else:
-                for j in js.tolist():
-                    self.stack.append((one, second.opened(b[2][j]), False))
+        one, other = a[2] < 0, b[2] < 0
+        for rows, columns, points in (
+            (np.flatnonzero(one), np.flatnonzero(other), True),
+            (np.flatnonzero(one), np.flatnonzero(~other), False),
+            (np.flatnonzero(~one), np.arange(len(b[0])), False),
+        ):
+            if not len(rows) or not len(columns):
+                continue
+            cosines = first.units[a[0][rows]] @ second.units[b[0][columns]].T
+            if points:
+                i, j = np.nonzero(cosines >= self.cosine - 1e-9)
+                i, j, found = rows[i], columns[j], cosines[i, j]
+                wanted = np.ones(len(i), bool) if own is None else j > own + i
+                self._count(a[0][i[wanted]], b[0][j[wanted]], found[wanted])
+                continue
+            gap = _distance(cosines)
+            reach = a[1][rows][:, None] + b[1][columns]
+            near = gap <= self.reach + reach + CLEAR
+            if own is not None:
+                near &= columns > own + rows[:, None]
+            for i, j in zip(*np.nonzero(near), strict=True):
+                clear = gap[i, j] + reach[i, j] < self.reach - CLEAR
+                self._meet(tuple(x[rows[i]] for x in a), tuple(x[columns[j]] for x in b), clear)
         if own is not None:
-            for i in np.flatnonzero(a[2] >= 0).tolist():
+            for i in np.flatnonzero(~one).tolist():
                 if 2 * a[1][i] < self.reach - CLEAR:
                     self._count_within(first.members(a[0][i], a[2][i]))
                 else:
                     inside = first.opened(a[2][i])
                     self.stack.append((inside, inside, True))
 
-    def _linked(self, cosines: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _meet(self, x, y, clear: bool) -> None:
+        """Two entries (point, radius, node) that are near: count all their pairs, or open the wider one."""
+        first, second = self.trees[0], self.trees[self.second]
+        if clear:
+            self._count_whole(first.members(x[0], x[2]), second.members(y[0], y[2]))
+            return
+        left, right = (tuple(np.array([v]) for v in entry) for entry in (x, y))
+        if x[2] >= 0 and x[1] >= y[1]:
+            left = first.opened(x[2])
+        else:
+            right = second.opened(y[2])
+        self.stack.append((left, right, False))
+
+    def _linked(self, a: np.ndarray, b: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         linked = cosines >= self.cosine
-        for i, j in np.argwhere(np.abs(cosines - self.cosine) < 1e-9).tolist():
-            x, y = self.raw[0][a[i]], self.raw[self.second][b[j]]
-            linked[i, j] = np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)) >= self.cosine
+        for k in np.flatnonzero(np.abs(cosines - self.cosine) < 1e-9).tolist():
+            x, y = self.raw[0][a[k]], self.raw[self.second][b[k]]
+            x, y = x / np.abs(x).max(), y / np.abs(y).max()
+            linked[k] = np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)) >= self.cosine
         return linked
 
     def _join(self, i: int, j: int) -> None:
         if self.forest.join(i, j):
             self.links.append((i, j))
 
-    def _count(self, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> None:
-        if not linked.any():
-            return
-        np.add.at(self.counts[0], a, linked @ self.copies[self.second][b])
-        np.add.at(self.counts[self.second], b, self.copies[0][a] @ linked)
-        for i, j in np.argwhere(linked).tolist():
-            self._join(int(a[i]), self.base + int(b[j]))
+    def _count(self, a: np.ndarray, b: np.ndarray, cosines: np.ndarray) -> None:
+        """Pairs of vectors, one by one."""
+        linked = self._linked(a, b, cosines)
+        a, b = a[linked], b[linked]
+        np.add.at(self.counts[0], a, self.copies[self.second][b])
+        np.add.at(self.counts[self.second], b, self.copies[0][a])
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            self._join(i, self.base + j)
 
     def _count_whole(self, a: np.ndarray, b: np.ndarray) -> None:
         self.counts[0][a] += self.copies[self.second][b].sum()
@@ -291,11 +322,11 @@ def _leaves(units: DataFrame, kind: str) -> DataFrame:
             "radius": [float(_distance(unit @ unit[0]).max()) + CLEAR],
             "ids": [group.column("id").to_numpy().astype("<i8").tobytes()],
             "copies": [group.column("copies").to_numpy().astype("<i8").tobytes()],
-            "vectors": [_matrix(group.column("vector")).astype(kind).tobytes()],
+            "vectors": [_matrix(group.column("vector")).astype(kind).tobytes()], "tree": [Tree(unit).packed()],
         })
 
     return blocks.select("node", "block", "id", "copies", "vector").groupBy("node", "block").applyInArrow(
-        leaf, "node string, parent string, center array<double>, radius double, ids binary, copies binary, vectors binary"
+        leaf, "node string, parent string, center array<double>, radius double, ids binary, copies binary, vectors binary, tree binary"
     )
 
 
@@ -336,14 +367,15 @@ def links(points: DataFrame, cosine: float = COSINE) -> DataFrame:
     leaves = stage(_leaves(units, kind), "leaves")
     pairs = _node_pairs(cells, leaves, cosine)
     sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("leaf"))
-    blobs = leaves.select(F.col("node").alias("of"), "ids", "copies", "vectors")
-    both = sides.join(blobs, F.col("leaf") == F.col("of")).select("a", "b", "leaf", "ids", "copies", "vectors")
+    blobs = leaves.select(F.col("node").alias("of"), "ids", "copies", "vectors", "tree")
+    both = sides.join(blobs, F.col("leaf") == F.col("of")).select("a", "b", "leaf", "ids", "copies", "vectors", "tree")
 
     def traverse(group: pa.Table) -> pa.Table:
         ids = [np.frombuffer(x, "<i8") for x in group.column("ids").to_pylist()]
         copies = [np.frombuffer(x, "<i8") for x in group.column("copies").to_pylist()]
         raw = [np.frombuffer(x, kind).astype(np.float64).reshape(len(i), -1) for x, i in zip(group.column("vectors").to_pylist(), ids, strict=True)]
-        found = Traversal(raw, [Tree(_unit(r)) for r in raw], copies, cosine)
+        trees = [Tree.unpacked(_unit(r), x) for r, x in zip(raw, group.column("tree").to_pylist(), strict=True)]
+        found = Traversal(raw, trees, copies, cosine)
         found.run()
         every = np.concatenate(ids)
         counts = np.concatenate(found.counts)
