@@ -10,10 +10,10 @@ windows have equal minimizers, so only paths with the same minimizer can share a
 2. Equal paths compact: one row a distinct path, with the first document it is in.
 3. A minimizer with one distinct path does not branch: the path's first document
    is that of all its windows.  Branching paths are cut open: their windows are
-   read again at their source coordinates, checked against the path's hash, and
-   each distinct window gets its first document.
-4. Every occurrence of a path learns which of its windows start in a document with
-   a smaller id; the words they cover go.
+   read again at their source coordinates and checked against the path's hash,
+   and those that another path has in an earlier document are noted.
+4. Every occurrence of a path in a later document loses all of its words, one in
+   the path's first document those that the noted windows cover.
 
 Windows and paths are told apart by two independent 64-bit hashes.
 
@@ -37,7 +37,8 @@ WINDOW = 50
 #: Words of a minimizer.
 ANCHOR = 10
 _LAST = (1 << 63) - 1
-_POSITION = np.uint64((1 << 24) - 1)
+#: Bits of a place among the words of a slice, at least; the rest of a hash decides which is least.
+_PLACE_BITS = 24
 
 
 class Words:
@@ -63,14 +64,15 @@ class Words:
         text = np.repeat(np.arange(len(counts)), counts)
         windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.at[:-1][text]
         run = self.runs[0].hashes(np.arange(n - anchor + 1), np.arange(anchor, n + 1))
-        least = (run & ~_POSITION) | np.arange(len(run), dtype=np.uint64)
+        place = np.uint64((1 << max(_PLACE_BITS, n.bit_length())) - 1)
+        least = (run & ~place) | np.arange(len(run), dtype=np.uint64)
         span, width = window - anchor + 1, 1
         while 2 * width <= span:
             least = np.minimum(least[: len(least) - width], least[width:])
             width *= 2
         rest = span - width
         least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-        chosen = (least[windows] & _POSITION).astype(np.int64)
+        chosen = (least[windows] & place).astype(np.int64)
         new = np.ones(len(windows), bool)
         new[1:] = (text[1:] != text[:-1]) | (chosen[1:] != chosen[:-1])
         begins = np.flatnonzero(new)
@@ -153,28 +155,20 @@ def repeated(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
         F.min(F.struct("doc", "tid", "start")).alias("source"), F.first("windows").alias("windows")
     )
     compact = stage(compact.select("minimizer", "path", "path2", "windows", "source.*"), "compact-paths")
-    single = compact.groupBy("minimizer").agg(F.count(F.lit(1)).alias("paths")).select(
-        F.col("minimizer").alias("of"), (F.col("paths") > 1).alias("branches")
-    )
-    marked = compact.join(single, F.col("minimizer") == F.col("of"))
-    plain = marked.where(~F.col("branches")).select("path", "path2", F.array("doc").alias("firsts"))
-    opened = _opened(marked.where("branches"), rows, window)
+    branching = compact.groupBy("minimizer").agg(F.count(F.lit(1)).alias("paths")).where(F.col("paths") > 1)
+    marked = compact.join(branching.select(F.col("minimizer").alias("of")), F.col("minimizer") == F.col("of"), "left_semi")
+    # A window's first document is its path's, unless another path with the window has an earlier one.
     same = Window.partitionBy("window", "window2")
-    firsts = opened.select("path", "path2", "at", F.min("doc").over(same).alias("first")).groupBy("path", "path2").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "first"))), lambda x: x["first"]).alias("firsts")
-    )
-    known = stage(plain.unionByName(firsts).select(F.col("path").alias("of"), F.col("path2").alias("of2"), "firsts"), "firsts")
-    told = found.join(known, (F.col("path") == F.col("of")) & (F.col("path2") == F.col("of2")))
-    # An array of one stands for all windows of a path that does not branch.
-    every = F.when((F.size("firsts") == 1) & (F.col("firsts")[0] < F.col("doc")), F.array(F.struct(
-        F.col("start").alias("start"), (F.col("windows") + (window - 1)).alias("length")
-    )))
-    each = F.filter(
-        F.transform("firsts", lambda first, i: F.when(first < F.col("doc"), F.struct(
-            (F.col("start") + i).alias("start"), F.lit(window).alias("length")
-        ))), lambda span: span.isNotNull()
+    earlier = _opened(marked, rows, window).select("path", "path2", "at", "doc", F.min("doc").over(same).alias("first"))
+    earlier = earlier.where(F.col("first") < F.col("doc")).groupBy("path", "path2").agg(F.collect_list("at").alias("earlier"))
+    firsts = compact.join(earlier, ["path", "path2"], "left").select(
+        F.col("path").alias("of"), F.col("path2").alias("of2"), F.col("doc").alias("first"), "earlier"
     )
-    spans = told.select("doc", "tid", F.coalesce(every, F.when(F.size("firsts") > 1, each)).alias("spans"))
+    told = found.join(stage(firsts, "firsts"), (F.col("path") == F.col("of")) & (F.col("path2") == F.col("of2")))
+    # Documents after the path's first lose all of it, the first itself what others had before.
+    whole = F.array(F.struct(F.col("start").alias("start"), (F.col("windows") + (window - 1)).alias("length")))
+    each = F.transform("earlier", lambda at: F.struct((F.col("start") + at).alias("start"), F.lit(window).alias("length")))
+    spans = told.select("doc", "tid", F.when(F.col("first") < F.col("doc"), whole).otherwise(each).alias("spans"))
     return spans.where(F.size("spans") > 0).groupBy("doc", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
