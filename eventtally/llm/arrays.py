@@ -6,6 +6,7 @@ memory of a task does not depend on how long its texts are, but for the longest.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 #: The characters of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -23,6 +24,19 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
+@functools.cache
+def _trim():
+    """glibc's call that returns freed memory to the system, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    """Return what a batch needed: workers stay, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a piece have about `limit` bytes."""
     for batch in batches:
@@ -34,6 +48,7 @@ def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.Record
             upto = max(at + 1, int(np.searchsorted(ends, reach, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+        _give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,21 +166,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=8)
+#: Powers of a base and of its inverse, as many as a task has needed so far.
+_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    both = []
-    for factor in (base, pow(base, -1, 1 << 64)):
-        row = np.full(count, factor, np.uint64)
-        row[0] = 1
-        both.append(np.multiply.accumulate(row))
-    return tuple(both)
+    if base not in _known_powers or len(_known_powers[base][0]) < count:
+        both = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            row = np.full(1 << max(10, (count - 1).bit_length()), factor, np.uint64)
+            row[0] = 1
+            both.append(np.multiply.accumulate(row))
+        _known_powers[base] = tuple(both)
+    return _known_powers[base]
 
 
 class Runs:
     """64-bit hashes of runs of `values`; equal runs hash alike wherever they stand."""
 
     def __init__(self, values: np.ndarray, base: int):
-        up, self.down = _powers(base, 1 << max(10, int(len(values)).bit_length()))
+        up, self.down = _powers(base, len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
 

@@ -137,7 +137,7 @@ def merges_of_tokenizer(path: str) -> Merges:
 class Encoder:
     """Tokens of whole texts.  Words seen before are looked up, up to `remember` of them."""
 
-    def __init__(self, merges: Merges, known: dict[bytes, bytes] | None = None, remember: int = 400_000):
+    def __init__(self, merges: Merges, known: dict[bytes, bytes] | None = None, remember: int = 150_000):
         self.merges = merges
         self.known = known or {}
         self.seen: dict[bytes, bytes] = {}

@@ -44,7 +44,7 @@ def _letter(point: int) -> np.ndarray:
 class _Bound:
     """The bound vectors of the n-grams met last, a row each; a full table starts anew."""
 
-    def __init__(self, room: int = 1 << 15):
+    def __init__(self, room: int = 1 << 14):
         self.room = room
         self.rows: dict[int, int] = {}
         self.vectors = np.zeros((1 << 10, WIDTH), np.int8)

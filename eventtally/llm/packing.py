@@ -37,7 +37,7 @@ CLOSING_TOKEN = 0
 LINEAR = 1.0
 QUADRATIC = 1 / 6144
 #: Bytes of text that are packed together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Sequences that a partition can number.
 ROOM = 1 << 40
 
