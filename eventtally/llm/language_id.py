@@ -153,7 +153,7 @@ def identify(
             scores.append(np.where(known, np.clip(cosines.max(axis=1), 0, 1), 0).astype(np.float64))
         return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
 
-    found = F.arrow_udf(predict, "struct<lang:string,score:double>", F.ArrowUDFType.SCALAR)
+    found = F.arrow_udf(predict, "struct<lang:string,score:double>", F.ArrowUDFType.SCALAR).asNondeterministic()  # a later filter must not run it once more
     rows = docs.drop(*columns)
     return rows.withColumn("__found", found(F.col(text).cast("string"))).select(
         *[F.col(f"`{c}`") for c in rows.columns], F.col("__found.lang").alias(columns[0]), F.col("__found.score").alias(columns[1])

@@ -218,9 +218,9 @@ def drop_repeated(
         return pa.concat_arrays(done) if done else pa.array([], kind)
 
     spans = F.coalesce("__spans", F.expr("cast(array() as array<struct<start:int,length:int>>)"))
-    result = F.arrow_udf(cut, "struct<text:string,words:long,removed:long>", F.ArrowUDFType.SCALAR)(
-        F.col(text).cast("string"), spans
-    )
+    # Called non-deterministic, so that a filter on its counts does not run it once more.
+    kind = "struct<text:string,words:long,removed:long>"
+    result = F.arrow_udf(cut, kind, F.ArrowUDFType.SCALAR).asNondeterministic()(F.col(text).cast("string"), spans)
     joined = joined.withColumn("__result", result)
     return joined.select(
         *[F.when(F.col(c).isNotNull(), F.col("__result.text")).alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns],

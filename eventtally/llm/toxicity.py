@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str,
         return pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), listed], ["score", "offending"])
 
     kind = "struct<score:double,offending:array<struct<start:int,length:int,score:double>>>"
-    found = F.arrow_udf(judge, kind, F.ArrowUDFType.SCALAR)
+    found = F.arrow_udf(judge, kind, F.ArrowUDFType.SCALAR).asNondeterministic()  # a later filter must not run it once more
     rows = docs.drop(*columns)
     return rows.withColumn("__found", found(F.col(text).cast("string"))).select(
         *[F.col(f"`{c}`") for c in rows.columns],
