@@ -28,7 +28,7 @@ from eventtally.llm import arrays
 
 #: Components of a vector.
 WIDTH = 1024
-#: Rows of a language, about, that its prototype is learned from (a hash of the text picks them).
+#: Distinct texts of a language, about, that its prototype is learned from (a hash of the text picks them).
 FIT_ROWS = 2_000
 #: Bytes of text whose documents are compared at once.
 SLICE_BYTES = 128 << 10
@@ -94,6 +94,20 @@ def document_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return vectors, has
 
 
+def _picked(rows: DataFrame, fit_rows: int) -> DataFrame | None:
+    """Of the distinct (text, lang) rows about `fit_rows` a language, all if it has no more; None without a row.
+
+    The rate is one of distinct texts, as copies share a hash and are picked or left together.
+    """
+    distinct = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return None
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, fit_rows / r["n"]))])
+    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(part < F.element_at(rates, F.col("lang"))).distinct()
+
+
 def learn(docs: DataFrame, text: str = "text", language: str = "lang", fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """The languages in order and a prototype of unit length for each.
 
@@ -102,12 +116,9 @@ def learn(docs: DataFrame, text: str = "text", language: str = "lang", fit_rows:
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(language).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not counts:
+    picked = _picked(rows, fit_rows)
+    if picked is None:
         return [], np.zeros((0, WIDTH), np.float32)
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, fit_rows / r["n"]))])
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.where(part < F.element_at(rates, F.col("lang"))).distinct()
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}

@@ -47,6 +47,19 @@ def test_language_id_on_rows_held_out(spark, docs):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_of_many_copies_is_learned_from_its_other_texts(spark):
+    rng = random.Random(6)
+    few = [(" ".join(invented(rng, 20)), "aa") for _ in range(60)]
+    many = [(" ".join(invented(rng, 20)).translate(str.maketrans("bdgklmnprst", "βδγκλμνπρστ")), "bb") for _ in range(60)]
+    df = spark.createDataFrame(few + many + [("αβγ αβγ", "bb")] * 4000, "text string, lang string")
+    picked = {r["lang"]: r["count"] for r in language_id._picked(df, 30).groupBy("lang").count().collect()}
+    assert 15 <= picked["aa"] <= 45 and 15 <= picked["bb"] <= 45
+    assert language_id._picked(df, 61).count() == 121
+    model = language_id.learn(df, fit_rows=30)
+    assert model[0] == ["aa", "bb"]
+    assert language_id.identify(df, model).where("lang <> lang_pred").count() == 0
+
+
 def test_language_does_not_depend_on_the_other_columns(spark, docs):
     model = language_id.learn(docs)
     shuffled = docs.select((F.col("doc_id") + 7).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.lit(None).alias("source"))
