@@ -146,8 +146,14 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "id long, key long, key2 long, bands array<long>")
 
 
+def _rows(numbers: np.ndarray, step: int) -> pa.Array:
+    """The bytes of each row of `step` bytes."""
+    raw = numbers.tobytes()
+    return pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())
+
+
 def _multisets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, runs, registers) of the documents in `ids`; sorted runs, and 16 bits of each register."""
+    """(id, runs, registers, bands) of the documents in `ids`; sorted runs, 16 bits of each register, whole band values."""
 
     def listed(batches):
         for piece in arrays.slices(batches, "text"):
@@ -155,19 +161,18 @@ def _multisets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hashes, at = runs(texts)
             text = np.repeat(np.arange(len(at) - 1), np.diff(at))
             hashes = hashes[np.lexsort((hashes, text))]
-            short = arrays.mixed(np.ascontiguousarray(signatures(*multisets(texts), len(texts))).view(np.uint64).ravel())
-            raw = short.astype(np.uint16).tobytes()
-            step = 2 * REGISTERS
+            signed = signatures(*multisets(texts), len(texts))
+            short = arrays.mixed(np.ascontiguousarray(signed).view(np.uint64).ravel()).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))),
-                    pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary()),
+                    _rows(short, 2 * REGISTERS), _rows(bands(signed), 8 * BANDS),
                 ],
-                names=["id", "runs", "registers"],
+                names=["id", "runs", "registers", "bands"],
             )
 
     wanted = docs.join(ids.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi")
-    return wanted.dropDuplicates(["id"]).mapInArrow(listed, "id long, runs array<long>, registers binary")
+    return wanted.dropDuplicates(["id"]).mapInArrow(listed, "id long, runs array<long>, registers binary, bands binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -215,13 +220,16 @@ class _Members:
 def _closed(group: pa.Table, similarity: float) -> pa.Table:
     """Links between members of different components of one bucket, or of two blocks of it; a forest of them.
 
-    A pair that an earlier band brings together too is left to that band.
+    A pair that an earlier band brings together too is left to that band.  Whole
+    band values tell, as the buckets do; 16 bits of the registers may agree by chance.
     """
     own = group.column("component").to_numpy()
     ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
     band = group.column("band")[0].as_py()
     members = _Members(group.column("runs").combine_chunks())
     registers = np.stack([np.frombuffer(r, np.uint16) for r in group.column("registers").to_pylist()])
+    values = group.column("bands").to_pylist() if "bands" in group.column_names else None
+    values = bands(registers.astype(np.float64)) if values is None else np.stack([np.frombuffer(v, np.uint64) for v in values])
     least = REGISTERS * similarity - 5 * np.sqrt(REGISTERS * similarity * (1 - similarity))
     _, component = np.unique(own, return_inverse=True)
     forest = Forest(len(ids) + int(component.max()) + 1)
@@ -235,9 +243,8 @@ def _closed(group: pa.Table, similarity: float) -> pa.Table:
         others = (component != component[i]) & ((block != block[i]) if apart else True)
         others &= (component == largest) | (np.arange(len(ids)) > i)
         near = np.flatnonzero(others)
-        agree = registers[near] == registers[i]
-        near, agree = (x[agree.sum(axis=1) >= least] for x in (near, agree))
-        near = near[agree.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        near = near[(registers[near] == registers[i]).sum(axis=1) >= least]
+        near = near[(values[near] == values[i]).argmax(axis=1) == band]
         if len(near):
             for j in near[members.overlaps(i, near) >= similarity].tolist():
                 if forest.join(i, j):

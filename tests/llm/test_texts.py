@@ -127,6 +127,30 @@ def test_closing_buckets_compares_across_components():
     assert groups(links, range(6)) == groups(list(near_pairs(dict(enumerate(texts.to_pylist())))) + [(0, 1), (2, 3)], range(6))
 
 
+def test_a_band_that_agrees_in_16_bits_only_leaves_the_pair_to_the_next(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(invented(random.Random(5), 200))
+    rows = spark.createDataFrame([(1, text), (2, text + " end")], "id long, text string")
+    sets = sorted(minhash._multisets_of(rows, rows.select("id")).collect(), key=lambda r: r.id)
+    registers = [np.frombuffer(r.registers, np.uint16).copy() for r in sets]
+    values = minhash.bands(minhash.signatures(*minhash.multisets(pa.array([text, text + " end"])), 2))
+    assert [r.bands for r in sets] == [v.tobytes() for v in values]
+    common = np.flatnonzero(values[0] == values[1])
+    # The first common band differs in one register, whose 16 bits are equal by chance.
+    values[1, common[0]] += np.uint64(1)
+    found = []
+    for band in common[1:3].tolist():
+        group = pa.table({
+            "id": pa.array([1, 2], pa.int64()), "component": pa.array([1, 2], pa.int64()), "block": pa.array([0, 0], pa.int32()),
+            "band": pa.array([band] * 2, pa.int32()), "runs": pa.array([r.runs for r in sets], pa.list_(pa.int64())),
+            "registers": pa.array([x.tobytes() for x in registers]), "bands": pa.array([v.tobytes() for v in values]),
+        })
+        found.append(minhash._closed(group, 0.8).num_rows)
+    assert found == [1, 0]
+
+
 def test_signatures_estimate_weighted_similarity():
     import numpy as np
 
