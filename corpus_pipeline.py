@@ -41,10 +41,13 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id; of rows with equal id and text one."""
+    """Of near-duplicates the document with the smallest id; of rows with equal id and text one.
+    Rows with one id and different texts are documents of their own."""
     share_package(spark)
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    found = minhash.near_duplicates(docs, text_hash="__text").where(~F.col("kept"))
+    gone = found.select(F.col("id").alias("__gone"), "__text").distinct()
+    same = (F.col("doc_id") == F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text"))
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ followed only as long as their next point may still come before a register's.
 Signatures are cut into bands, documents that share a band's value meet in a
 bucket, and the multisets of those that meet are compared exactly:
 
-1. Documents with equal multisets are one class of copies, with one
-   representative (their smallest id).
+1. Documents with equal multisets are one class of copies, with a number and one
+   representative (their smallest id and text hash).
 2. In each bucket every representative is compared with the bucket's smallest.
    The links found make components.
 3. Buckets that still hold several components are closed: within tasks, and in
@@ -24,7 +24,9 @@ bucket, and the multisets of those that meet are compared exactly:
 Defined results: words are parted by blanks and the characters 9 to 13 and kept
 as they are; a document of fewer than five words is one run; a document
 without words (null, empty) is in no group; a null id is in no group either and
-kept; rows with the same id and equal multisets are copies.
+kept; rows with the same id are documents of their own if their texts differ (a
+64-bit hash beside the id tells), and of a group the one with the smallest hash is
+kept; rows with the same id and text are kept or dropped together.
 """
 
 from __future__ import annotations
@@ -124,7 +126,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(id, key, bands) of the documents that have words; key stands for the whole multiset."""
+    """(id, tid, key, bands) of the documents that have words; key stands for the whole multiset."""
 
     def sign(batches):
         for piece in arrays.slices(batches, "text"):
@@ -141,9 +143,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys.append(pa.array(arrays.mixed(sums).view(np.int64)))
             at = pa.array(np.arange(0, len(has) * BANDS + 1, BANDS, dtype=np.int32))
             listed = pa.ListArray.from_arrays(at, pa.array(value.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(has)), *keys, listed], names=["id", "key", "key2", "bands"])
+            own = [piece.column(c).take(pa.array(has)) for c in ("id", "tid")]
+            yield pa.RecordBatch.from_arrays([*own, *keys, listed], names=["id", "tid", "key", "key2", "bands"])
 
-    return docs.mapInArrow(sign, "id long, key long, key2 long, bands array<long>")
+    return docs.mapInArrow(sign, "id long, tid long, key long, key2 long, bands array<long>")
 
 
 def _rows(numbers: np.ndarray, step: int) -> pa.Array:
@@ -152,8 +155,8 @@ def _rows(numbers: np.ndarray, step: int) -> pa.Array:
     return pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())
 
 
-def _multisets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, runs, registers, bands) of the documents in `ids`; sorted runs, 16 bits of each register, whole band values."""
+def _multisets_of(docs: DataFrame) -> DataFrame:
+    """(id, runs, registers, bands) of (id, text) rows; sorted runs, 16 bits of each register, whole band values."""
 
     def listed(batches):
         for piece in arrays.slices(batches, "text"):
@@ -171,8 +174,7 @@ def _multisets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 names=["id", "runs", "registers", "bands"],
             )
 
-    wanted = docs.join(ids.select(F.col("id").alias("of")), F.col("id") == F.col("of"), "left_semi")
-    return wanted.dropDuplicates(["id"]).mapInArrow(listed, "id long, runs array<long>, registers binary, bands binary")
+    return docs.mapInArrow(listed, "id long, runs array<long>, registers binary, bands binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -264,16 +266,31 @@ def _labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return labelled.join(several, F.col("bucket") == F.col("in")).select("bucket", "band", "id", "component", "size")
 
 
+def _texts(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of the classes whose numbers are in `nodes`; the id is the number."""
+    wanted = reps.select("node", F.col("rep.id").alias("of"), F.col("rep.tid").alias("of2")).join(
+        nodes.select(F.col("id").alias("in")), F.col("node") == F.col("in"), "left_semi"
+    )
+    found = rows.join(wanted, (F.col("id") == F.col("of")) & (F.col("tid") == F.col("of2")))
+    return found.dropDuplicates(["id", "tid"]).select(F.col("node").alias("id"), "text")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+    text_hash: str | None = None,
 ) -> DataFrame:
-    """(id, group_id, kept) of every row: its group's smallest id, and whether that is its own."""
+    """(id, group_id, kept) of every row: its group's smallest id, and whether the row is the one that stays.
+
+    `text_hash` names a further column: the xxhash64 of the row's text, which tells rows with the same id apart.
+    """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("tid", F.xxhash64("text"))
     signed = stage(_signed(rows.where(F.col("id").isNotNull())), "signatures")
-    copies = signed.groupBy("key", "key2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-    reps = stage(copies, "representatives")
-    buckets = reps.select("rep", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), "band", F.col("rep").alias("id")
+    copies = signed.groupBy("key", "key2").agg(F.min(F.struct("id", "tid")).alias("rep"), F.min_by("bands", "id").alias("bands"))
+    # Written once, so the numbers hold.
+    reps = stage(copies.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    buckets = reps.select("node", F.posexplode("bands").alias("band", "value")).select(
+        F.xxhash64("band", "value").alias("bucket"), "band", F.col("node").alias("id")
     )
     smallest = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(
         F.col("least") < F.col("most")
@@ -281,7 +298,7 @@ def near_duplicates(
     members = stage(
         buckets.join(smallest, F.col("bucket") == F.col("in")).select("bucket", "band", "id", "least"), "buckets"
     )
-    sets = stage(_multisets_of(rows, members.select("id").distinct()), "multisets")
+    sets = stage(_multisets_of(_texts(rows, reps, members.select("id").distinct())), "multisets")
     stars = members.where(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = stage(_verified(stars, sets, similarity), "links")
     groups = stage(components(links), "groups")
@@ -298,11 +315,16 @@ def near_duplicates(
     closing = with_sets.groupBy("bucket", "low", "high").applyInArrow(lambda group: _closed(group, similarity), "a long, b long")
     groups = stage(components(links.unionByName(closing)), "groups")
 
-    in_group = reps.join(groups, F.col("rep") == F.col("node"), "left").select(
-        F.col("key").alias("of"), F.col("key2").alias("of2"), F.coalesce("component", "rep").alias("group_id")
+    joined = reps.select("node", "rep").join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+    firsts = joined.groupBy("component").agg(F.min("rep").alias("first")).withColumnRenamed("component", "in")
+    firsts = groups.join(firsts, F.col("component") == F.col("in")).select(F.col("node").alias("of"), "first")
+    in_group = reps.join(firsts, F.col("node") == F.col("of"), "left").select(
+        F.col("key").alias("of"), F.col("key2").alias("of2"), F.coalesce("first", "rep").alias("first")
     )
-    found = signed.join(in_group, (F.col("key") == F.col("of")) & (F.col("key2") == F.col("of2"))).select("id", "group_id")
-    least = found.groupBy("id").agg(F.min("group_id").alias("group_id")).withColumnRenamed("id", "of")
-    own = rows.select("id").join(least, F.col("id") == F.col("of"), "left")
-    group_id = F.coalesce("group_id", "id")
-    return own.select("id", group_id.alias("group_id"), F.coalesce(group_id == F.col("id"), F.lit(True)).alias("kept"))
+    found = signed.join(in_group, (F.col("key") == F.col("of")) & (F.col("key2") == F.col("of2"))).select("id", "tid", "first")
+    first = found.groupBy("id", "tid").agg(F.min("first").alias("first")).withColumnsRenamed({"id": "of", "tid": "of2"})
+    own = rows.select("id", "tid").join(first, (F.col("id") == F.col("of")) & (F.col("tid") == F.col("of2")), "left")
+    group_id = F.coalesce("first.id", "id")
+    kept = F.coalesce((F.col("first.id") == F.col("id")) & (F.col("first.tid") == F.col("tid")), F.lit(True))
+    more = [F.col("tid").alias(text_hash)] if text_hash else []
+    return own.select("id", group_id.alias("group_id"), kept.alias("kept"), *more)

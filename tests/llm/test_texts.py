@@ -4,6 +4,7 @@ import pytest
 from brute import groups, near_pairs, without_boilerplate, without_repeats
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from eventtally.llm import arrays, language_id, line_dedup, minhash, substring_dedup, toxicity
 
 SMALL = "/root/testdata/sf0.001"
@@ -94,6 +95,22 @@ def test_minhash_finds_the_groups_of_all_pairs(spark):
     assert all(r.kept == (r.id is None or r.id == r.group_id) for r in found)
 
 
+def test_minhash_one_id_on_two_texts(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(invented(rng, 150)) for _ in range(3))
+    rows = [(3, b), (5, a), (5, b), (6, a + " more"), (8, b + " more"), (9, c), (9, c + " more"), (9, c), (9, c + "  more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(df, text_hash="hash")
+    texts = df.distinct().withColumn("hash", F.xxhash64("text"))
+    got = {(r.id, r.text): (r.group_id, r.kept) for r in found.join(texts, (F.col("id") == F.col("doc_id")) & (texts["hash"] == found["hash"])).collect()}
+    nines = {key: got.pop(key) for key in rows[5:] if key in got}
+    assert got == {(3, b): (3, True), (5, a): (5, True), (5, b): (3, False), (6, a + " more"): (5, False), (8, b + " more"): (3, False)}
+    assert len(nines) == 3 and {g for g, _ in nines.values()} == {9} and sum(kept for _, kept in nines.values()) == 1
+    left = corpus_pipeline.one_of_each_group(spark, df, SMALL).collect()
+    assert sorted(tuple(r) for r in left if r.doc_id < 9) == [(3, b), (5, a)]
+    assert [r.doc_id for r in left].count(9) == 1
+
+
 def test_minhash_in_blocks_and_on_tables(spark, docs, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     found = {r.id: r.group_id for r in minhash.near_duplicates(docs).collect()}
@@ -133,7 +150,7 @@ def test_a_band_that_agrees_in_16_bits_only_leaves_the_pair_to_the_next(spark):
 
     text = " ".join(invented(random.Random(5), 200))
     rows = spark.createDataFrame([(1, text), (2, text + " end")], "id long, text string")
-    sets = sorted(minhash._multisets_of(rows, rows.select("id")).collect(), key=lambda r: r.id)
+    sets = sorted(minhash._multisets_of(rows).collect(), key=lambda r: r.id)
     registers = [np.frombuffer(r.registers, np.uint16).copy() for r in sets]
     values = minhash.bands(minhash.signatures(*minhash.multisets(pa.array([text, text + " end"])), 2))
     assert [r.bands for r in sets] == [v.tobytes() for v in values]
