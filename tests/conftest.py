@@ -7,13 +7,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from eventtally.plans.ingest import Stores  # noqa: E402
-from eventtally.schema import RECORD  # noqa: E402
 from eventtally.session import build_session  # noqa: E402
 
-# 2026-02-15 12:00 UTC, on the hour.
-T0 = 1771156800
-
-
 @pytest.fixture(scope="session")
 def spark():
     # A zone with summer time, so that any reliance on the session zone shows.
@@ -31,23 +26,3 @@ def spark():
 @pytest.fixture
 def stores(spark, tmp_path):
     return Stores(spark, str(tmp_path / "deployment"))
-
-
-def events_frame(spark, rows):
-    """(event_name, user_id, timestamp, campaign_id, channel) tuples."""
-    return spark.createDataFrame(
-        rows, "event_name STRING, user_id STRING, event_timestamp BIGINT, campaign_id STRING, channel STRING"
-    )
-
-
-def records_frame(spark, values, first_offset=0):
-    """JSON texts as records of one partition, in order."""
-    rows = [(None, value, 0, first_offset + i) for i, value in enumerate(values)]
-    return spark.createDataFrame(rows, RECORD)
-
-
-def event_json(name="product_view", user="user_123", ts=T0, campaign="cmp_987", **more):
-    import json
-
-    event = {"event_name": name, "user_id": user, "timestamp": ts, "campaign_id": campaign, **more}
-    return json.dumps({k: v for k, v in event.items() if v is not None})

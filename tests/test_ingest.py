@@ -2,7 +2,7 @@ import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
-from conftest import T0, event_json, records_frame
+from rows import T0, event_json, records_frame
 
 from eventtally.operators import dedup, retention, upsert
 from eventtally.plans import ingest

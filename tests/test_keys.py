@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from conftest import T0, events_frame
+from rows import T0, events_frame
 
 from eventtally.functions import clock, keys, text
 from eventtally.operators.project import to_message, with_key

@@ -3,7 +3,7 @@ import json
 import random
 
 import pytest
-from conftest import T0, event_json, events_frame, records_frame
+from rows import T0, event_json, events_frame, records_frame
 
 from eventtally.functions import clock
 from eventtally.operators import metrics, rollup, uniques

@@ -2,7 +2,7 @@ import datetime as dt
 import time
 
 import pytest
-from conftest import T0, event_json, records_frame
+from rows import T0, event_json, records_frame
 
 from eventtally.functions import clock
 from eventtally.plans.ingest import Stores, classify, ingest_batch

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import T0, event_json, records_frame
+from rows import T0, event_json, records_frame
 
 from eventtally.operators import bulk, validate
 from eventtally.plans.ingest import classify, dead_letters
