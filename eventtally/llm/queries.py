@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventtally.llm import (
-    byte_bpe, embedding_dedup, language_id, line_dedup, minhash, packing, substring_dedup, topk, toxicity, url_filters,
+    byte_bpe, embedding_dedup, fill_in_middle, language_id, lexical_search, line_dedup, minhash, packing, secret_scan,
+    substring_dedup, topk, toxicity, url_filters,
 )
 from eventtally.llm.tables import table
 
@@ -120,6 +121,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    index = lexical_search.build(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda span: span["kind"].isin(*kinds))
+
+    return found.select(
+        F.col("id").alias("doc_id"), *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.listed(of(*secret_scan.KINDS)), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut and put in its form, and rebuilt from that."""
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -127,6 +156,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query for query in (
         op1_url_filters, op2_embedding_dedup, op3_byte_bpe, op4_language_id, op5_packing, op6_topk, op7_minhash,
-        op8_substring_dedup, op9_line_dedup, op10_toxicity, pipeline,
+        op8_substring_dedup, op9_line_dedup, op10_toxicity, op11_lexical_search, op12_secret_scan, op13_fill_in_middle, pipeline,
     )
 }
