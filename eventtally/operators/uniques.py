@@ -30,10 +30,12 @@ def exact_users(ledger: DataFrame, since: int, until: int, *by: str) -> DataFram
 
 def hourly_sketches(ledger: DataFrame) -> DataFrame:
     """A mergeable HLL sketch per rollup group, small enough to store."""
-    return ledger.groupBy(
-        "event_name", "channel", "event_date",
-        clock.epoch_hour(F.col("event_timestamp")).alias("date_hour"),
-    ).agg(F.hll_sketch_agg("user_id").alias("users"))
+    return group_sketches(ledger.withColumn("date_hour", clock.epoch_hour(F.col("event_timestamp"))))
+
+
+def group_sketches(rows: DataFrame) -> DataFrame:
+    """The same of rows that have their hour already."""
+    return rows.groupBy("event_name", "channel", "event_date", "date_hour").agg(F.hll_sketch_agg("user_id").alias("users"))
 
 
 def sketched_users(sketches: DataFrame, since: int, until: int, *by: str) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventtally.operators import dedup, project, validate
-from eventtally.schema import CORRUPT
+from eventtally.schema import CORRUPT, ROLLUP_USERS, SKETCHES
 from eventtally.sources import folders, payloads, records as record_source, tables
+from eventtally.sources.commits import APPEND, CommitTable, Overtaken, Part
 from eventtally.sources.ledger import Ledger
 
 #: Above this many rows a batch's keys are not broadcast.  A key costs about
@@ -60,8 +62,14 @@ class Stores:
         return tables.rollup(self.spark, f"{self.root}/rollup")
 
     @property
-    def sketches(self):
-        return tables.sketches(self.spark, f"{self.root}/sketches")
+    def rollup_users(self) -> CommitTable:
+        """Who is counted in the rollup: one row a user and rollup group."""
+        return CommitTable(self.spark, f"{self.root}/rollup-users", ROLLUP_USERS, "date_hour")
+
+    @property
+    def sketches(self) -> CommitTable:
+        """Users by the hour, event name and channel, as mergeable sketches; a group has one or more."""
+        return CommitTable(self.spark, f"{self.root}/sketches", SKETCHES, "date_hour")
 
     @property
     def config(self) -> tables.Config:
@@ -105,11 +113,12 @@ def dead_letters(classified: DataFrame) -> DataFrame:
 
 
 def new_events(
-    events: DataFrame, stores: Stores, bid: str, stats: dict, remember=None,
+    events: DataFrame, ledger: Ledger, parts: list[Part], stats: dict, remember=None,
     order: tuple[str, ...] = ("offset", "partition"), broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
-    """The batch's events that no other batch has stored, one row per key."""
-    seen = stores.ledger.seen(stats["spans"], bid, stats["with_separator"] > 0, remember)
+    """The events that `parts` of the ledger do not hold, one row per key."""
+    keys = events.filter("key_has_separator") if stats["with_separator"] else None
+    seen = ledger.seen(stats["spans"], stats["with_separator"] > 0, parts, remember, keys)
     if stats["deserialized"] <= broadcast_keys:
         # The batch is known to be small: look its keys up where the ledger
         # lies, so that the ledger is never shuffled.  The hits are no more
@@ -124,6 +133,52 @@ def new_events(
     return dedup.last_in_batch(events.join(fresh, ["idempotency_key", "event_date"], "left_semi"), order)
 
 
+class BatchTaken(RuntimeError):
+    """Another writer has stored a batch of the same name meanwhile."""
+
+
+def _overlap(parts: list[Part], others: list[Part], with_separator: bool) -> list[Part]:
+    """The other parts that may hold a key of `parts`: equal keys have equal times, but for separators."""
+    return [
+        o for o in others
+        if with_separator or any(o.day == p.day and o.low <= p.high and p.low <= o.high for p in parts)
+    ]
+
+
+def store_events(events: DataFrame, stores: Stores, bid: str, stats: dict, arrival, remember, order, broadcast_keys) -> None:
+    """Put the batch's new events in the ledger, whoever else writes to it.
+
+    The keys are looked up in a snapshot.  If others have committed when the batch is ready to, their
+    parts alone are looked up too, what they hold is left out, and the batch tries again; so of
+    one key the first commit wins.  A batch whose parts meet no other's in time is not read again.
+    """
+    ledger = stores.ledger
+    base = ledger.snapshot()
+    if base.of(by=bid):
+        return  # Cut off after its commit, which is all or nothing.
+    fresh = new_events(events, ledger, list(base.parts.values()), stats, remember, order, broadcast_keys)
+    parts = ledger.stage_batch(fresh.withColumn("received_at", arrival), bid)
+    while True:
+        try:
+            ledger.append(base, parts, bid)
+            return
+        except Overtaken as overtaken:
+            base = overtaken.snapshot
+            added = [part for commit in overtaken.commits if commit.kind == APPEND for part in commit.added]
+        if any(part.by == bid for part in added):
+            ledger.discard(parts)
+            raise BatchTaken(f"'{bid}' was stored by another writer meanwhile")
+        others = _overlap(parts, added, stats["with_separator"] > 0)
+        if not others:
+            continue
+        mine = ledger.load(parts)
+        left = {**stats, "deserialized": sum(part.rows for part in parts)}
+        rest = new_events(mine, ledger, others, left, remember, ("received_at",), broadcast_keys)
+        again = ledger.stage_batch(rest, bid)
+        ledger.discard(parts)
+        parts = again
+
+
 # The 32 bytes of the digest, half of what its hex text would shuffle.
 _UNIQUE_KEYS = "count(DISTINCT CASE WHEN status = 'ok' THEN unhex(idempotency_key) END)"
 _COUNTS = {
@@ -167,30 +222,22 @@ def ingest_batch(
     last_date: str | None = None,
     remember_days: int | None = None,
     broadcast_keys: int = BROADCAST_KEYS,
-    owner: str | None = None,
-    wait_seconds: float = 600,
 ) -> dict:
     """Ingest one batch under the name `bid` and return its counters.
 
     A batch on record is not ingested again; its counters are returned.  One
-    that was cut off may be run again with the same records: each table's
-    output is keyed by `bid` and overwritten, and the lookup ignores what the
-    same batch stored before.  A bad record never fails its batch.
+    that was cut off may be run again with the same records: its events are in
+    the ledger on all days or on none, and the other tables' output is keyed by
+    `bid` and overwritten.  A bad record never fails its batch.
 
     A key is stored once a date, always.  `remember_days` limits how long a key
     is refused on other dates, which matters for fields that hold the
     separator.  `broadcast_keys` bounds the keys that are broadcast.  Batches
-    of one ledger follow each other: another `owner` (the batch, or a stream
-    for all of its batches) waits `wait_seconds` for its turn.
+    may run at the same time; of a key that several hold, the first commit wins.
     """
     on_record = stores.counters.of_batch(bid).drop("days", "bid").first()
     if on_record:
         return on_record.asDict()
-    with stores.ledger.writing(owner or bid, wait_seconds):
-        return _ingest(stores, records, bid, received_at, coerce, first_date, last_date, remember_days, broadcast_keys)
-
-
-def _ingest(stores, records, bid, received_at, coerce, first_date, last_date, remember_days, broadcast_keys) -> dict:
     arrival = F.lit(received_at or dt.datetime.now(dt.timezone.utc))
     remember = None
     if remember_days is not None:
@@ -200,19 +247,18 @@ def _ingest(stores, records, bid, received_at, coerce, first_date, last_date, re
     # Parsed once for the jobs below and kept in the shared folder, where no
     # lost executor can take it along; without the raw text of good records.
     classified = classified.withColumn("value", F.when(F.col("status") == DEAD, F.col("value")))
-    staged = f"{stores.root}/_staged/{bid}"
+    staged = f"{stores.root}/_staged/{bid}-{uuid.uuid4().hex[:12]}"
     try:
-        classified.write.mode("overwrite").parquet(staged)
+        classified.write.parquet(staged)
         classified = stores.spark.read.schema(classified.schema).parquet(staged)
         stats = _statistics(classified)
-        if stats["dead"]:
-            stores.quarantine.write(dead_letters(classified).withColumn("received_at", arrival), bid)
         inserted = 0
         if stats["deserialized"]:
             events = classified.filter(F.col("status") == OK).drop("status", "reason", "key", "value")
-            fresh = new_events(events, stores, bid, stats, remember, order, broadcast_keys)
-            stores.ledger.write(fresh.withColumn("received_at", arrival), bid)
-            inserted = stores.ledger.read_batch(bid, stats["spans"]).count()
+            store_events(events, stores, bid, stats, arrival, remember, order, broadcast_keys)
+            inserted = stores.ledger.stored_by(bid, stats["spans"])
+        if stats["dead"]:
+            stores.quarantine.write(dead_letters(classified).withColumn("received_at", arrival), bid)
     finally:
         folders.remove(stores.spark, staged)
     counted = {

@@ -698,7 +698,9 @@ def unique_sketch(spark, folder):
     """Sketches by the hour, stored, and merged over the range: how far from the
     exact number of users, by event name and channel, in units of the bound."""
     def run(stores: Stores) -> None:
-        stores.sketches.replace(uniques.hourly_sketches(sample.events(spark, folder)))
+        table = stores.sketches
+        parts = table.stage(uniques.hourly_sketches(sample.events(spark, folder)), "load")
+        table.commit(table.snapshot(), "append", "load", parts)
 
     stored = _once(spark, folder, "sketches", run).sketches.read()
     exact = uniques.exact_users(sample.events(spark, folder), FROM, TO, "event_name", "channel")

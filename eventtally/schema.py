@@ -44,16 +44,19 @@ ANSWERS = (
     "violations ARRAY<STRUCT<field: STRING; message: STRING>>, bid STRING"
 ).replace(";", ",")
 
-# Which batches' dead letters a replay takes, and which batches a version of
-# the rollup counts.
+# Which batches' dead letters a replay takes.
 REPLAYS = "consumed ARRAY<STRING>, bid STRING"
-COVERED = "bid STRING"
 
 ROLLUP = (
     "event_name STRING, channel STRING, date_hour BIGINT, total_count BIGINT, "
     "unique_user_count BIGINT, event_date DATE"
 )
 
+# What each refresh of the rollup has counted, by user; is_new where no refresh before had the user in the group.
+ROLLUP_USERS = (
+    "event_name STRING, channel STRING, date_hour BIGINT, user_id STRING, events BIGINT, is_new BOOLEAN, event_date DATE"
+)
+
 SKETCHES = "event_name STRING, channel STRING, event_date DATE, date_hour BIGINT, users BINARY"
 
 CONFIG = "key STRING, value STRING"

@@ -3,9 +3,18 @@ storage Spark reads.  Only names pass through the driver, never rows."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
+
 from pyspark.sql import SparkSession
 
 
+#: Storage whose renames overwrite, where a link is what fails if there is one.
+LINKED = ("file",)
+
+
 def _open(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     location = hadoop.Path(path)
@@ -32,6 +41,14 @@ def child_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(name for name in names if name.startswith(prefix))
 
 
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of the files in a folder."""
+    system, location = _open(spark, path)
+    if not system.exists(location):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(location) if s.isFile())
+
+
 def make(spark: SparkSession, path: str) -> None:
     system, location = _open(spark, path)
     system.mkdirs(location)
@@ -48,6 +65,37 @@ def write(spark: SparkSession, path: str, content: bytes, overwrite: bool = True
         stream.close()
 
 
+def publish(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Create a file with all its content at once; False if there is one already.
+
+    It is written beside and then given its name, by a rename that does not overwrite (HDFS has
+    it) or, on this machine's disks, where renames overwrite, by a link.
+    """
+    system, location = _open(spark, path)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    write(spark, temporary, content)
+    try:
+        if system.getScheme() in LINKED:
+            local = [spark._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath() for p in (temporary, path)]
+            try:
+                os.link(*local)
+            except FileExistsError:
+                return False
+            return True
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(location.toUri(), spark._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        try:
+            context.rename(hadoop.Path(temporary), location, options)
+        except Py4JJavaError:
+            if not exists(spark, path):
+                raise
+            return False
+        return True
+    finally:
+        remove(spark, temporary)
+
+
 def content(spark: SparkSession, path: str) -> bytes | None:
     """All of a small file; None if there is none."""
     system, location = _open(spark, path)

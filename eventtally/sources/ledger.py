@@ -1,144 +1,73 @@
-"""The event ledger: all accepted events, one folder per day and batch.
+"""The event ledger: all accepted events, in parts by day and batch.
 
-The ledger is also the record of seen keys, so one write makes a batch's
-events and its keys visible together.
+The ledger is also the record of seen keys, so one commit makes a batch's events and its keys
+visible together, on all of its days at once.
 """
 
 from __future__ import annotations
 
-import contextlib
 import datetime as dt
-import functools
-import time
-from collections.abc import Iterable, Iterator, Mapping
-
-from py4j.protocol import Py4JJavaError
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventtally.operators import dedup
-from eventtally.schema import LEDGER, LEDGER_COLUMNS
-from eventtally.sources import folders
-
-_DATE, _BATCH = "event_date=", "bid="
+from eventtally.schema import LEDGER
+from eventtally.sources import keyindex
+from eventtally.sources.commits import APPEND, MERGE, CommitTable, Part, Snapshot, in_ranges
 
+# Merged parts go by this and a name, which no batch's name has.
+_MERGED = "merged/"
 
 # First and last event second of each day.
 Spans = Mapping[dt.date, tuple[int, int]]
 _DAY_SECONDS = 86400
 
+#: Parts are in time order, for the statistics `seen` relies on; the Bloom filters serve point lookups.
+_ORDER = ("event_timestamp",)
+_FORMAT = {"parquet.bloom.filter.enabled#idempotency_key": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
-def _within(spans: Spans) -> Column:
-    """Whether an event's second lies in the days' spans.
-
-    Spans less than a day apart become one, so a backfill of many days is one
-    range, while a single late event does not stretch the others' range.
-    """
-    ranges: list[tuple[int, int]] = []
-    for low, high in sorted(spans.values()):
-        if ranges and low - ranges[-1][1] <= _DAY_SECONDS:
-            ranges[-1] = (ranges[-1][0], max(ranges[-1][1], high))
-        else:
-            ranges.append((low, high))
-    tests = [F.col("event_timestamp").between(low, high) for low, high in ranges]
-    return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-class Ledger:
-    """Parquet under `<root>/event_date=<day>/bid=<batch>`.
 
-    Day first: a lookup or a rollup lists only the days it needs, and dropping
-    a day is removing one folder.  Batch second: replaying a batch overwrites
-    exactly its own folders.
-    """
+class Ledger(CommitTable):
+    """A batch is one commit of a part a day.  Writers do not wait for each other: each looks its keys up
+    in a snapshot, and when it commits, in what others have committed since."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        super().__init__(spark, root, LEDGER, "event_timestamp")
+        self.index = keyindex.KeyIndex(spark, f"{root}/keys")
 
     def dates(self) -> list[dt.date]:
-        """Days that hold events, from folder names."""
-        names = folders.child_folders(self.spark, self.root, _DATE)
-        return [dt.date.fromisoformat(name[len(_DATE):]) for name in names]
-
-    @contextlib.contextmanager
-    def writing(self, owner: str, wait_seconds: float = 600) -> Iterator[None]:
-        """The ledger's one writer, for the length of a `with`.
-
-        The lookup of seen keys and the write that follows must not interleave
-        with another writer's.  Whoever comes second waits, and is refused in
-        the end.  The same owner may enter again, so a batch that was cut off
-        can be run again; `release` ends what will not come back.
-        """
-        path, began = f"{self.root}/_writer", time.time()
-        while True:
-            try:
-                folders.write(self.spark, path, owner.encode(), overwrite=False)
-                break
-            except Py4JJavaError:
-                holder = folders.content(self.spark, path)
-                if holder == owner.encode():
-                    break
-                if holder is not None and time.time() - began > wait_seconds:
-                    raise RuntimeError(
-                        f"'{holder.decode()}' writes to {self.root}; run it again, or release() the ledger if it will not return"
-                    ) from None
-            time.sleep(min(1.0, wait_seconds / 4))
-        try:
-            yield
-        finally:
-            self.release()
-
-    def release(self) -> None:
-        folders.remove(self.spark, f"{self.root}/_writer")
-
-    def read(self, dates: Iterable[dt.date] | None = None) -> DataFrame:
-        """All events, or those of some days without listing the others."""
-        present = self.dates()
-        if dates is not None:
-            wanted = set(dates)
-            present = [day for day in present if day in wanted]
-        if not present:
-            return self.spark.createDataFrame([], LEDGER)
-        reader = self.spark.read.schema(LEDGER)
-        if dates is None:
-            return reader.parquet(self.root)
-        paths = [f"{self.root}/{_DATE}{day.isoformat()}" for day in present]
-        return reader.option("basePath", self.root).parquet(*paths)
-
-    def read_batch(self, bid: str, dates: Iterable[dt.date]) -> DataFrame:
-        """What a batch stored on some days; only its own folders are listed."""
-        paths = [f"{self.root}/{_DATE}{day.isoformat()}/{_BATCH}{bid}" for day in dates]
-        paths = [path for path in paths if folders.exists(self.spark, path)]
-        if not paths:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).option("basePath", self.root).parquet(*paths)
-
-    def seen(self, spans: Spans, bid: str, with_separator: bool, since: Column | None = None) -> DataFrame:
-        """(idempotency_key, event_date, everywhere): keys other batches have
-        stored that may refuse keys of a batch, on their date or on any.
-
-        `spans` has the batch's first and last event second per day.  Equal
-        keys mean equal timestamps unless a field holds the separator.  So
-        only the batch's days are listed, and of their files only the row
-        groups whose statistics meet its times are read: for a live stream the
-        last minutes, not the whole day.
-
-        For batches with separators in fields, such keys of all days are
-        added, found by a flag whose statistics let the scan skip the rest.
-        `since` bounds how long a key is remembered across dates; on its own
-        date it is never stored again, however old.
+        """Days that hold events."""
+        return self.snapshot().days()
+
+    def seen(
+        self, spans: Spans, with_separator: bool, parts: Iterable[Part], since: Column | None = None,
+        keys: DataFrame | None = None,
+    ) -> DataFrame:
+        """(idempotency_key, event_date, everywhere): keys in `parts` that may refuse keys of a batch, on
+        their date or on any.
+
+        `spans` has the batch's first and last event second per day.  Equal keys mean equal timestamps
+        unless a field holds the separator.  So only parts of the batch's days whose times meet the
+        batch's are opened, and of their files only the row groups that do: for a live stream the last
+        minutes, not the whole day.
+
+        For batches with separators in fields, such keys of all days are added, from the parts that
+        the key index does not rule out for `keys`, the batch's keys with a separator.  `since` bounds how
+        long a key is remembered across dates; on its own date it is never stored again, however old.
         """
         remembered = F.lit(True) if since is None else F.col("received_at") >= since
+        parts = list(parts)
 
-        def keys(rows: DataFrame) -> DataFrame:
-            return rows.filter(F.col("bid") != bid).select(
-                "idempotency_key", "event_date", remembered.alias("everywhere")
-            )
+        def columns(rows: DataFrame) -> DataFrame:
+            return rows.select("idempotency_key", "event_date", remembered.alias("everywhere"))
 
-        known = keys(self.read(spans).filter(_within(spans)))
+        near = [p for p in parts if p.day in spans and p.low <= spans[p.day][1] and spans[p.day][0] <= p.high]
+        meets = in_ranges(F.col("event_timestamp"), [spans[p.day] for p in near], _DAY_SECONDS)
+        known = columns(self.load(near).filter(meets))
         if with_separator:
-            known = known.unionByName(keys(self.read().filter("key_has_separator")).filter("everywhere"))
+            likely = parts if keys is None else self.index.holding(parts, keys)
+            known = known.unionByName(columns(self.load(likely).filter("key_has_separator")).filter("everywhere"))
         return known
 
     def seen_table(self) -> DataFrame:
@@ -146,55 +75,44 @@ class Ledger:
         return self.read().select("idempotency_key", "event_date", "received_at")
 
     def exists(self, key: str) -> bool:
-        """Point lookup of a key; Bloom filters in the files skip row groups."""
-        hit = self.read().filter(F.col("idempotency_key") == key).select("idempotency_key")
-        return not hit.limit(1).isEmpty()
-
-    def write(self, rows: DataFrame, bid: str) -> None:
-        """Store one batch.  Rewriting a batch replaces its folders only.
-
-        REBALANCE cuts the output by day into files of the advisory size, and
-        splits a day that holds most of the batch over many tasks.  Rows are
-        in time order, for the statistics `seen` relies on; it is the order
-        the partitioned write needs anyway, one column longer.
-        """
-        (
-            rows.withColumn("bid", F.lit(bid))
-            .select(*LEDGER_COLUMNS)
-            .hint("rebalance", "event_date")
-            .sortWithinPartitions("event_date", "bid", "event_timestamp")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("parquet.bloom.filter.enabled#idempotency_key", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .partitionBy("event_date", "bid")
-            .parquet(self.root)
-        )
-
-    def merge_day(self, day: dt.date, bid: str) -> int:
-        """Gather a day's batches in one, `bid`; returns how many there were.
-
-        It enters as the ledger's writer, so it runs between the batches of a
-        stream, on the current day too.  The merged rows are written before
-        the old folders go, so nothing can be lost; if it is interrupted in
-        between, running it again heals the day, since of each key the row
-        that was stored first is kept.  A refresh that meets the change fails
-        and is tried again.
-        """
-        with self.writing(bid):
-            folder = f"{self.root}/{_DATE}{day.isoformat()}"
-            old = [name for name in folders.child_folders(self.spark, folder, _BATCH) if name != _BATCH + bid]
-            if not old:
-                return 0
-            self.write(dedup.first_stored(self.read([day])), bid)
-            for name in old:
-                folders.remove(self.spark, f"{folder}/{name}")
-            return len(old)
-
-    def drop_before(self, bound: dt.date) -> list[dt.date]:
-        """Remove whole days before `bound`; returns them."""
-        with self.writing("drop-days"):
-            gone = [day for day in self.dates() if day < bound]
-            for day in gone:
-                folders.remove(self.spark, f"{self.root}/{_DATE}{day.isoformat()}")
+        """Point lookup of a key, in the parts that the key index does not rule out."""
+        parts = self.index.holding(self.snapshot().parts.values(), keyindex.one(self.spark, key))
+        hit = self.load(parts).filter(F.col("idempotency_key") == key).select("idempotency_key")
+        return bool(parts) and not hit.limit(1).isEmpty()
+
+    def stage_batch(self, rows: DataFrame, bid: str) -> list[Part]:
+        """Write a batch's rows and their key index, not in force yet."""
+        parts = self.stage(rows.withColumn("bid", F.lit(bid)), bid, _ORDER, _FORMAT)
+        self.index.add(self.load(parts), parts)
+        return parts
+
+    def append(self, base: Snapshot, parts: list[Part], bid: str) -> Snapshot:
+        """Put a batch in force; `Overtaken` if others committed since `base`."""
+        return self.commit(base, APPEND, bid, parts)
+
+    def stored_by(self, bid: str, dates: Iterable[dt.date]) -> int:
+        """How many rows a batch stored on some days: those of its parts, or its rows in parts that were merged."""
+        now = self.snapshot()
+        own = now.of(dates, bid)
+        merged = [part for part in now.of(dates) if part.by.startswith(_MERGED)]
+        if own or not merged:
+            return sum(part.rows for part in own)
+        return self.load(merged).filter(F.col("bid") == bid).count()
+
+    def merge_day(self, day: dt.date, by: str, least: int = 2) -> int:
+        """Gather a day's parts in one, while readers and writers go on; returns how many there were."""
+        def chosen(base: Snapshot) -> list[Part]:
+            parts = base.of([day])
+            return parts if len(parts) >= least else []
+
+        def rewritten(old: list[Part]) -> list[Part]:
+            new = self.stage(self.load(old), _MERGED + by, _ORDER, _FORMAT)
+            self.index.add(self.load(new), new)
+            return new
+
+        return len(self.rearrange(MERGE, by, chosen, rewritten))
+
+    def vacuum(self, *args, **options) -> int:
+        gone = super().vacuum(*args, **options)
+        self.index.vacuum({name for name in self._data()})
         return gone

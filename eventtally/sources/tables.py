@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from eventtally.operators import upsert
 from eventtally.schema import (
-    ANSWERS, CONFIG, COUNTERS, DEFAULT_RETENTION_DAYS, QUARANTINE, REPLAYS, RETENTION_KEY, ROLLUP, SKETCHES,
+    ANSWERS, CONFIG, COUNTERS, DEFAULT_RETENTION_DAYS, QUARANTINE, REPLAYS, RETENTION_KEY, ROLLUP,
 )
 from eventtally.sources import folders
 from eventtally.sources.versioned import VersionedTable
@@ -103,11 +103,6 @@ def rollup(spark: SparkSession, root: str) -> VersionedTable:
     return VersionedTable(spark, root, ROLLUP)
 
 
-def sketches(spark: SparkSession, root: str) -> VersionedTable:
-    """Users by the hour, event name and channel, as mergeable sketches."""
-    return VersionedTable(spark, root, SKETCHES)
-
-
 class Config:
     """The key/value settings table."""
 

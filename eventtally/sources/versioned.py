@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Sequence
 
@@ -45,12 +46,22 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._path(version))
 
+    def note(self, version: int | None) -> dict | None:
+        """What was noted with a version; None if nothing was."""
+        found = None if version is None else folders.content(self.spark, self._note(version))
+        return None if found is None else json.loads(found)
+
+    def _note(self, version: int) -> str:
+        return f"{self.root}/_notes/{version:09d}"
+
     def next_version(self) -> int:
         numbers = self._numbers()
         return (numbers[-1] if numbers else 0) + 1
 
-    def replace(self, rows: DataFrame, partition_by: Sequence[str] = (), keep_hours: float = KEEP_HOURS) -> int:
-        """Write a new version.
+    def replace(
+        self, rows: DataFrame, partition_by: Sequence[str] = (), keep_hours: float = KEEP_HOURS, note: dict | None = None
+    ) -> int:
+        """Write a new version, with a note that goes when it goes.
 
         A version goes once a newer complete one has been there for
         `keep_hours`, however many there are: a reader that planned against it
@@ -58,11 +69,14 @@ class VersionedTable:
         complete; nobody reads them.
         """
         version = self.next_version()
+        if note is not None:
+            folders.write(self.spark, self._note(version), json.dumps(note).encode())
         rows.write.partitionBy(*partition_by).parquet(self._path(version))
         newer = None
         for number in reversed(self._numbers()):
             written = self._written(number)
             if number < version and (written is None or newer is not None and newer <= time.time() - keep_hours * 3600):
                 folders.remove(self.spark, self._path(number))
+                folders.remove(self.spark, self._note(number))
             newer = written if written is not None else newer
         return version
