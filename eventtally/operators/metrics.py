@@ -6,7 +6,7 @@ reference defines them; `uniques` has the true distinct counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventtally.functions import clock, text
@@ -96,14 +96,15 @@ def _array_sum(items: Column, member: str) -> Column:
     return F.aggregate(items, zero, lambda total, item: total + item[member])
 
 
-def _day_slots(rollup: DataFrame) -> DataFrame:
-    """One row per event name, channel (or all of them) and day, with the
-    day's hours, at most 24, as an array."""
+_SLOT = ("event_name", "all_channels", "slot_channel")
+
+
+def _hour_slots(rollup: DataFrame) -> DataFrame:
+    """One row per event name, channel (or all of them) and hour, with its day."""
     both = F.array(
         F.struct(F.lit(True).alias("all"), F.lit("").alias("channel")),
         F.struct(F.lit(False).alias("all"), F.col("channel").alias("channel")),
     )
-    day = ("event_name", "all_channels", "slot_channel", "slot_day")
     return (
         rollup.withColumn("slot", F.explode(both))
         .filter("slot.channel is not null")
@@ -113,8 +114,16 @@ def _day_slots(rollup: DataFrame) -> DataFrame:
             F.unix_date("event_date").cast("bigint").alias("slot_day"), F.col("date_hour"),
         )
         .agg(*_sums())
+    )
+
+
+def _day_slots(rollup: DataFrame) -> DataFrame:
+    """One row per event name, channel (or all of them) and day, with the
+    day's hours, at most 24, as an array."""
+    return (
+        _hour_slots(rollup)
         .withColumn("bucket", clock.iso_label(F.col("date_hour")))
-        .groupBy(*day)
+        .groupBy(*_SLOT, "slot_day")
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("date_hour", "bucket", "total_count", "unique_user_count"))
@@ -123,6 +132,84 @@ def _day_slots(rollup: DataFrame) -> DataFrame:
     )
 
 
+def running_days(rollup: DataFrame) -> DataFrame:
+    """What has come up before each day and in its hours, per event name and channel (or all of them).
+
+    A row for every day from the first with events to the rollup's last; on a day without events, `hours`
+    are those of the last day that has some, and what came before is what came before that one.  So the
+    sums up to any second are in the one row of its day.
+    """
+    days = _hour_slots(rollup).groupBy(*_SLOT, "slot_day").agg(
+        F.collect_list(F.struct("date_hour", "total_count", "unique_user_count")).alias("hours"), *_sums()
+    )
+    in_order = Window.partitionBy(*_SLOT).orderBy("slot_day")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    last = rollup.agg(F.max(F.unix_date("event_date")).cast("bigint")).scalar()
+    reach = F.coalesce(F.lead("slot_day").over(in_order) - 1, last)
+    return days.select(
+        *_SLOT, "hours", "slot_day", reach.alias("reach"),
+        F.coalesce(F.sum("total_count").over(before), zero).alias("before_total"),
+        F.coalesce(F.sum("unique_user_count").over(before), zero).alias("before_unique"),
+        F.coalesce(F.sum(F.size("hours")).over(before), zero).alias("before_hours"),
+        F.count("*").over(before).alias("before_days"),
+    ).withColumn("slot_day", F.explode(F.sequence("slot_day", "reach"))).drop("reach")
+
+
+def _up_to(edge: str, second: Column) -> dict[str, Column]:
+    """Sums over the hours that start before a second, from the row of its day."""
+    row = F.col(edge)
+    early = F.filter(row["hours"], lambda h: h["date_hour"] < second)
+    zero = F.lit(0).cast("bigint")
+    sums = {
+        "total": row["before_total"] + _array_sum(early, "total_count"),
+        "unique": row["before_unique"] + _array_sum(early, "unique_user_count"),
+        "hours": row["before_hours"] + F.size(early),
+        "days": row["before_days"] + F.when(F.size(early) > 0, 1).otherwise(0),
+    }
+    return {name: F.when(row.isNotNull(), value).otherwise(zero) for name, value in sums.items()}
+
+
+def total_requests(rollup: DataFrame, requests: DataFrame) -> DataFrame:
+    """Totals of a table of metrics requests, and how many buckets their breakdowns have.
+
+    A range is what came before its end less what came before its start, so a request meets two
+    rows of `running_days`, by equality, however long its range is.  Requests that break a rule
+    of `check_requests` are left out; one that matches nothing gets zeros.
+    """
+    valid = check_requests(requests).filter(F.size("violations") == 0)
+    wants_channel = text.visible(F.col("channel"))
+    last = rollup.agg(F.max(F.unix_date("event_date")).cast("bigint")).scalar()
+    asked = valid.select(
+        "request_id", "event_name", "from", "to", "channel", "group_by", (~wants_channel).alias("all_channels"),
+        F.when(wants_channel, F.col("channel")).otherwise(F.lit("")).alias("slot_channel"),
+        F.least(clock.epoch_day(F.col("from")), last).alias("from_day"), F.least(clock.epoch_day(F.col("to")), last).alias("to_day"),
+    )
+    days = running_days(rollup)
+    packed = F.struct("hours", "before_total", "before_unique", "before_hours", "before_days")
+    for edge in ("from", "to"):
+        rows = days.select(*_SLOT, F.col("slot_day").alias(f"{edge}_day"), packed.alias(f"at_{edge}"))
+        asked = asked.join(rows, [*_SLOT, f"{edge}_day"], "left")
+    low, high = _up_to("at_from", F.col("from")), _up_to("at_to", F.col("to"))
+    # A day that begins before the range and goes on in it is one bucket more.
+    hours = F.col("at_from")["hours"]
+    cut = F.exists(hours, lambda h: h["date_hour"] < F.col("from")) & F.exists(
+        hours, lambda h: (h["date_hour"] >= F.col("from")) & (h["date_hour"] < F.col("to"))
+    )
+    by_day = high["days"] - low["days"] + F.when(cut, 1).otherwise(0)
+    daily = F.lower(F.coalesce(F.col("group_by"), F.lit(""))) == "daily"
+    some = F.col("to") > F.col("from")
+
+    def over(value: Column) -> Column:
+        return F.when(some, value).otherwise(0).cast("bigint")
+
+    return asked.select(
+        "request_id", "event_name", "from", "to", "channel", "group_by",
+        over(high["total"] - low["total"]).alias("total_count"), over(high["unique"] - low["unique"]).alias("unique_user_count"),
+        over(F.when(daily, by_day).otherwise(high["hours"] - low["hours"])).alias("buckets"),
+    )
+
+
 def _laid_out(rollup: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests with a row per date they can match, at least one each."""
     day = F.unix_date("event_date").cast("bigint")

@@ -274,11 +274,8 @@ def metrics_document(spark, folder):
 
 
 def metrics_requests(spark, folder):
-    answers = metrics.answer_requests(_full_rollup(spark, folder), sample.requests(spark, folder))
-    return answers.select(
-        "request_id", "total_count", "unique_user_count",
-        F.size("breakdowns").cast("bigint").alias("buckets"),
-    )
+    answers = metrics.total_requests(_full_rollup(spark, folder), sample.requests(spark, folder))
+    return answers.select("request_id", "total_count", "unique_user_count", "buckets")
 
 
 def metrics_documents(spark, folder):

@@ -9,6 +9,7 @@ from eventtally.functions import clock
 from eventtally.operators import metrics, rollup, uniques
 from eventtally.plans.ingest import ingest_batch
 from eventtally.plans.refresh import expire_days, refresh
+from eventtally.schema import ROLLUP
 from eventtally.sources import folders
 from pyspark.sql import functions as F
 
@@ -248,3 +249,31 @@ def test_requests_find_first_and_last_day_together(spark, clicks):
     plan = metrics.answer_requests(table, asked)._jdf.queryExecution().optimizedPlan().toString()
     days = [line for line in plan.splitlines() if "min(" in line or "max(" in line]
     assert days and all("min(" in line and "max(" in line for line in days)
+
+
+def test_totals_by_running_sums_equal_whole_answers(spark):
+    rng = random.Random(4)
+    days = [0, 1, 2, 5, 6, 9]
+    rows = [
+        (name, channel, T0 + 86400 * d + 3600 * h - 43200, rng.randint(1, 9), rng.randint(1, 4), dt.date(2026, 2, 15) + dt.timedelta(d))
+        for name in ("a", "b") for channel in ("web", None, "app") for d in days for h in range(24)
+        if rng.random() < (0.3 if name == "a" else 0.02)
+    ]
+    rollup = spark.createDataFrame(rows, ROLLUP)
+    asked = []
+    for i in range(400):
+        low = T0 - 2 * 86400 + rng.randint(0, 13 * 86400)
+        high = low + rng.choice([-5, 0, 1, 1800, 3600, 7200, 86400, 200_000, 10**6])
+        if i % 3 == 0:
+            low, high = low - low % 3600, high - high % 3600
+        asked.append((i, rng.choice(["a", "b", "c"]), low, high, rng.choice([None, " ", "web", "app", "x"]), rng.choice(["daily", "hourly", None, "DAILY"])))
+    asked += [(900, None, 1, 2, None, None), (901, "a", None, 2, None, None), (902, "a", -(10**14), 10**14, None, "daily"), (903, "a", T0, 10**14, None, "x")]
+    requests = spark.createDataFrame(asked, "request_id INT, event_name STRING, `from` BIGINT, `to` BIGINT, channel STRING, group_by STRING")
+    columns = ("request_id", "total_count", "unique_user_count")
+    whole = metrics.answer_requests(rollup, requests).select(*columns, F.size("breakdowns").cast("bigint").alias("buckets"))
+    running = metrics.total_requests(rollup, requests).select(*columns, "buckets")
+    assert sorted(running.collect()) == sorted(whole.collect())
+    assert metrics.total_requests(rollup.limit(0), requests).agg(F.sum("total_count")).first()[0] == 0
+    # Two equality joins, nothing laid out over days on the requests' side.
+    plan = running._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "explode_outer" not in plan
