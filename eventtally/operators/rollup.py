@@ -81,6 +81,11 @@ def counted(user_rows: DataFrame) -> DataFrame:
     )
 
 
+def users_summed(user_rows: DataFrame) -> DataFrame:
+    """Rows of `marked_new` of several refreshes, one a user and group."""
+    return user_rows.groupBy(*GROUP, "user_id").agg(F.sum("events").alias("events"), F.bool_or("is_new").alias("is_new"))
+
+
 def summed(parts: DataFrame) -> DataFrame:
     """Rollup rows of equal groups, added up."""
     return parts.groupBy(*GROUP).agg(

@@ -38,6 +38,11 @@ def group_sketches(rows: DataFrame) -> DataFrame:
     return rows.groupBy("event_name", "channel", "event_date", "date_hour").agg(F.hll_sketch_agg("user_id").alias("users"))
 
 
+def united(sketches: DataFrame) -> DataFrame:
+    """Sketches of several refreshes, one a group."""
+    return sketches.groupBy("event_name", "channel", "event_date", "date_hour").agg(F.hll_union_agg("users").alias("users"))
+
+
 def sketched_users(sketches: DataFrame, since: int, until: int, *by: str) -> DataFrame:
     """Approximate distinct users over a range, from stored sketches."""
     return (

@@ -20,6 +20,7 @@ FROM_REQUIRED = "from timestamp is required"
 TO_REQUIRED = "to timestamp is required"
 
 MALFORMED = "malformed JSON"
+NOT_STORABLE = "cannot be stored"
 
 
 def _violation(broken: Column, field: str, message: str) -> Column:

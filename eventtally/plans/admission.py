@@ -6,13 +6,15 @@ Records read straight from the stream are not judged by these rules; requests ar
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventtally.operators import bulk, project, validate
 from eventtally.plans.ingest import Stores, ingest_batch
 from eventtally.schema import CORRUPT, EVENT_FIELDS, MAX_BULK_EVENTS
-from eventtally.sources import payloads, records
+from eventtally.sources import folders, payloads, records
 
 SINGLE, BULK = "single", "bulk"
 _EVENT = [field.strip().split(" ")[0] for field in EVENT_FIELDS.split(",")]
@@ -66,6 +68,17 @@ def published(judged: DataFrame) -> DataFrame:
 
 def admit_batch(stores: Stores, requests: DataFrame, bid: str, **options) -> dict:
     """Judge a batch of requests, store the answers and ingest what was
-    accepted; returns the batch's counters."""
-    stores.answers.write(answers(judge(requests)), bid)
-    return ingest_batch(stores, published(judge(requests)), bid, **options)
+    accepted; returns the batch's counters.
+
+    The verdicts are written once, and both the answers and the events are of
+    what is written, so they agree whatever the source gives when it is read again.
+    """
+    place = f"{stores.root}/_judged/{bid}-{uuid.uuid4().hex[:12]}"
+    judged = judge(requests)
+    try:
+        judged.write.parquet(place)
+        judged = stores.spark.read.schema(judged.schema).parquet(place)
+        stores.answers.write(answers(judged), bid)
+        return ingest_batch(stores, published(judged), bid, **options)
+    finally:
+        folders.remove(stores.spark, place)

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
+import time
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventtally.operators import dedup, project, validate
-from eventtally.schema import CORRUPT, ROLLUP_USERS, SKETCHES
+from eventtally.schema import CORRUPT, RETRY_SECONDS, ROLLUP_USERS, SKETCHES
 from eventtally.sources import folders, payloads, records as record_source, tables
 from eventtally.sources.commits import APPEND, CommitTable, Overtaken, Part
 from eventtally.sources.ledger import Ledger
 
+log = logging.getLogger(__name__)
+
 #: Above this many rows a batch's keys are not broadcast.  A key costs about
 #: 150 bytes in a hash table, so this is some 75 MB per executor.  The results
 #: are the same either way.
@@ -145,8 +150,84 @@ def _overlap(parts: list[Part], others: list[Part], with_separator: bool) -> lis
     ]
 
 
-def store_events(events: DataFrame, stores: Stores, bid: str, stats: dict, arrival, remember, order, broadcast_keys) -> None:
-    """Put the batch's new events in the ledger, whoever else writes to it.
+@dataclass(frozen=True)
+class Storing:
+    """How a batch is written: what is done to rows on their way, and with rows that cannot be.
+
+    A write that fails is tried again after each of `waits` seconds.  Then the batch is halved, by a hash of
+    the keys, until the keys that fail stand alone.  More than `most` of them, or as many as
+    `outage` before any other could be stored, are no fault of single rows, and the batch fails.
+    """
+
+    prepare: Callable[[DataFrame], DataFrame] | None = None
+    waits: tuple[float, ...] = RETRY_SECONDS
+    most: int = 1_000
+    outage: int = 20
+
+
+def _tried(ledger: Ledger, rows: DataFrame, bid: str, storing: Storing) -> list[Part]:
+    for wait in (*storing.waits, None):
+        try:
+            return ledger.stage_batch(storing.prepare(rows) if storing.prepare else rows, bid)
+        except Exception as error:
+            if wait is None:
+                raise
+            log.warning("batch %s could not be written (%s), again in %s s", bid, _cause(error), wait)
+            time.sleep(wait)
+    raise AssertionError
+
+
+def _cause(error: Exception) -> str:
+    """The first line of what an error says, as a reason."""
+    return " ".join((str(error).strip() or type(error).__name__).split("\n")[0].split())[:200]
+
+
+def _stage_what_can_be(ledger: Ledger, rows: DataFrame, bid: str, storing: Storing) -> tuple[list[Part], dict[str, str]]:
+    """The parts written, and the keys that could not be, with the reason."""
+    try:
+        return _tried(ledger, rows, bid, storing), {}
+    except Exception as error:
+        log.warning("batch %s is halved: %s", bid, _cause(error))
+        first = error
+    # The rows once more, without `prepare`, so that halves do not look keys up again.
+    place = f"{ledger.root}/_halved/{uuid.uuid4().hex}"
+    rows.withColumn("_hash", F.xxhash64("idempotency_key")).write.parquet(place)
+    staged = ledger.spark.read.parquet(place)
+    parts: list[Part] = []
+    refused: dict[str, str] = {}
+    once = replace(storing, waits=())
+    open_ = [(-(1 << 63), 1 << 63)]
+    try:
+        while open_:
+            low, high = open_.pop()
+            some = staged.filter(F.col("_hash").between(low, high - 1))
+            keys = [r["idempotency_key"] for r in some.select("idempotency_key").distinct().limit(2).collect()]
+            if not keys:
+                continue
+            try:
+                parts += _tried(ledger, some.drop("_hash"), bid, storing if len(keys) == 1 else once)
+                continue
+            except Exception as error:
+                if len(keys) == 1 or high - low == 1:
+                    refused |= dict.fromkeys(
+                        (r["idempotency_key"] for r in some.select("idempotency_key").distinct().collect()), _cause(error)
+                    )
+                    if len(refused) > storing.most or not parts and len(refused) >= storing.outage:
+                        ledger.discard(parts)
+                        raise first from None
+                    continue
+            middle = (low + high) // 2
+            open_ += [(middle, high), (low, middle)]
+    finally:
+        folders.remove(ledger.spark, place)
+    return parts, refused
+
+
+def store_events(
+    events: DataFrame, stores: Stores, bid: str, stats: dict, arrival, remember, order, broadcast_keys, storing: Storing
+) -> dict[str, str]:
+    """Put the batch's new events in the ledger, whoever else writes to it; returns the keys that could not be
+    stored, with the reason.
 
     The keys are looked up in a snapshot.  If others have committed when the batch is ready to, their
     parts alone are looked up too, what they hold is left out, and the batch tries again; so of
@@ -154,14 +235,13 @@ def store_events(events: DataFrame, stores: Stores, bid: str, stats: dict, arriv
     """
     ledger = stores.ledger
     base = ledger.snapshot()
-    if base.of(by=bid):
-        return  # Cut off after its commit, which is all or nothing.
+    # What this batch stored before it was cut off, all of a commit or nothing, is looked up like any other's.
     fresh = new_events(events, ledger, list(base.parts.values()), stats, remember, order, broadcast_keys)
-    parts = ledger.stage_batch(fresh.withColumn("received_at", arrival), bid)
+    parts, refused = _stage_what_can_be(ledger, fresh.withColumn("received_at", arrival), bid, storing)
     while True:
         try:
             ledger.append(base, parts, bid)
-            return
+            return refused
         except Overtaken as overtaken:
             base = overtaken.snapshot
             added = [part for commit in overtaken.commits if commit.kind == APPEND for part in commit.added]
@@ -171,14 +251,23 @@ def store_events(events: DataFrame, stores: Stores, bid: str, stats: dict, arriv
         others = _overlap(parts, added, stats["with_separator"] > 0)
         if not others:
             continue
-        mine = ledger.load(parts)
         left = {**stats, "deserialized": sum(part.rows for part in parts)}
-        rest = new_events(mine, ledger, others, left, remember, ("received_at",), broadcast_keys)
+        rest = new_events(ledger.load(parts), ledger, others, left, remember, ("received_at",), broadcast_keys)
         again = ledger.stage_batch(rest, bid)
         ledger.discard(parts)
         parts = again
 
 
+def _letters_of(refused: dict[str, str], records: DataFrame, *rules) -> DataFrame:
+    """Dead letters of all records with keys that could not be stored, from the batch's records."""
+    reasons = records.sparkSession.createDataFrame(list(refused.items()), "refused STRING, why STRING")
+    ok = classify(records, *rules).filter(F.col("status") == OK)
+    named = ok.join(F.broadcast(reasons), F.col("idempotency_key") == F.col("refused"))
+    return dead_letters(named.withColumns({
+        "status": F.lit(DEAD), "reason": F.concat(F.lit(validate.NOT_STORABLE + ": "), "why"),
+    }))
+
+
 # The 32 bytes of the digest, half of what its hex text would shuffle.
 _UNIQUE_KEYS = "count(DISTINCT CASE WHEN status = 'ok' THEN unhex(idempotency_key) END)"
 _COUNTS = {
@@ -222,6 +311,7 @@ def ingest_batch(
     last_date: str | None = None,
     remember_days: int | None = None,
     broadcast_keys: int = BROADCAST_KEYS,
+    storing: Storing = Storing(),
 ) -> dict:
     """Ingest one batch under the name `bid` and return its counters.
 
@@ -234,6 +324,7 @@ def ingest_batch(
     is refused on other dates, which matters for fields that hold the
     separator.  `broadcast_keys` bounds the keys that are broadcast.  Batches
     may run at the same time; of a key that several hold, the first commit wins.
+    Rows that cannot be stored become dead letters (`Storing`).
     """
     on_record = stores.counters.of_batch(bid).drop("days", "bid").first()
     if on_record:
@@ -253,12 +344,20 @@ def ingest_batch(
         classified = stores.spark.read.schema(classified.schema).parquet(staged)
         stats = _statistics(classified)
         inserted = 0
+        letters = dead_letters(classified)
         if stats["deserialized"]:
             events = classified.filter(F.col("status") == OK).drop("status", "reason", "key", "value")
-            store_events(events, stores, bid, stats, arrival, remember, order, broadcast_keys)
+            refused = store_events(events, stores, bid, stats, arrival, remember, order, broadcast_keys, storing)
             inserted = stores.ledger.stored_by(bid, stats["spans"])
+            if refused:
+                more = _letters_of(refused, records, coerce, first_date, last_date)
+                letters = letters.unionByName(more)
+                count = more.count()
+                stats["dead"] += count
+                stats["deserialized"] -= count
+                stats["unique_keys"] -= len(refused)
         if stats["dead"]:
-            stores.quarantine.write(dead_letters(classified).withColumn("received_at", arrival), bid)
+            stores.quarantine.write(letters.withColumn("received_at", arrival), bid)
     finally:
         folders.remove(stores.spark, staged)
     counted = {

@@ -291,8 +291,9 @@ SELECT event_id, CAST(event_date AS VARCHAR) AS event_date,
        {_label('event_timestamp')} AS instant FROM events_c""",
     "publish_messages": f"""WITH {_EVENTS}
 SELECT event_id, user_id AS key, {_MESSAGE} AS value FROM events_c""",
-    "publish_partitions": f"""WITH {_EVENTS}
-SELECT user_id AS key, count(*) AS sent, CAST(1 AS BIGINT) AS partitions FROM events_c GROUP BY user_id""",
+    "published_keys": f"""WITH {_EVENTS}
+SELECT user_id AS key, count(*) AS sent, min("offset") AS first_offset, max("offset") AS last_offset
+FROM events_c GROUP BY user_id""",
     "parse_records": f"""WITH {_RAW_EVENTS},
 told AS (SELECT *, reason IS NULL AND NOT skipped AS ok FROM raw)
 SELECT event_id, CASE WHEN skipped THEN 'skipped' WHEN ok THEN 'ok' ELSE 'dead' END AS status,
@@ -455,6 +456,49 @@ WHERE event_date >= DATE '2024-01-15' GROUP BY 1""",
 SELECT user_id AS key, CASE WHEN event_id % 997 = 0 THEN '{{' ELSE '' END || value AS value, "offset",
        CASE WHEN event_id % 997 = 0 THEN 'channel exceeds 100 characters' ELSE reason END AS reason
 FROM raw WHERE reason IS NOT NULL AND NOT (event_id % 997 = 0 AND event_id % 1019 <> 0)""",
+    "stream_remembered": f"""WITH {_RAW_ARRIVALS},
+told AS (
+  SELECT *, event_name = 'click' AND "offset" % 2 = 1 AS again,
+         event_timestamp + CASE WHEN "offset" % 2 = 1 THEN (1 + event_id % 14) * 86400 ELSE 0 END AS received
+  FROM raw WHERE reason IS NULL AND NOT skipped
+),
+firsts AS (
+  SELECT * FROM told WHERE NOT again
+  QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY "offset" DESC) = 1
+),
+seconds AS (
+  SELECT * FROM told WHERE again
+  QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY "offset" DESC) = 1
+)
+SELECT idempotency_key, event_name, "offset", received FROM firsts
+UNION ALL
+SELECT s.idempotency_key, s.event_name, s."offset", s.received FROM seconds s LEFT JOIN firsts f USING (idempotency_key)
+WHERE f.idempotency_key IS NULL OR s.received - f.received > 7 * 86400""",
+    "stream_exact_users": f"""WITH {_RAW_ARRIVALS}
+SELECT event_name, 'any' AS channel, event_timestamp // 3600 * 3600 AS date_hour,
+       count(DISTINCT idempotency_key) AS total_count, count(DISTINCT user_id) AS unique_user_count
+FROM raw WHERE reason IS NULL AND NOT skipped GROUP BY 1, 2, 3""",
+    "refresh_stream_rollup": f"WITH {_STORED}{_rollup('stored', _window('7'))}{_ROLLUP_OUT}",
+    "stored_sketches": f"""WITH {_STORED}
+SELECT CAST(event_date AS VARCHAR) AS event_date, event_name, count(DISTINCT user_id) AS true_unique_users,
+       CAST(0 AS BIGINT) AS bounds_off
+FROM (SELECT * FROM stored WHERE event_date >= (SELECT max(event_date) FROM events_c) - 7) GROUP BY 1, 2""",
+    "poison_letters": f"""WITH {_RAW_ARRIVALS}
+SELECT user_id AS key, value, "offset" FROM raw
+WHERE reason IS NULL AND NOT skipped AND event_timestamp = (SELECT max(event_timestamp) FROM raw WHERE reason IS NULL AND NOT skipped)""",
+    "poison_ledger": f"""WITH {_RAW_ARRIVALS}
+SELECT idempotency_key, event_name, channel, CAST(event_date AS VARCHAR) AS event_date FROM raw
+WHERE reason IS NULL AND NOT skipped AND event_timestamp <> (SELECT max(event_timestamp) FROM raw WHERE reason IS NULL AND NOT skipped)
+QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY "offset" DESC) = 1""",
+    "concurrent_ledger": f"""WITH {_STORED}
+SELECT idempotency_key, event_name, CAST(1 AS BIGINT) AS rows, (SELECT count(*) FROM stored) AS inserted FROM stored""",
+    "empty_batches": f"""WITH {_RAW_ARRIVALS}
+SELECT 'skipped' AS bid, count(*) AS received, count(*) AS skipped, CAST(0 AS BIGINT) AS dead, CAST(0 AS BIGINT) AS deserialized,
+       CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS stored FROM raw WHERE value IS NULL
+UNION ALL SELECT 'none', 0, 0, 0, 0, 0, 0""",
+    "stream_rate_limited": f"""WITH {_RAW_ARRIVALS}
+SELECT count(*) AS received, count(*) FILTER (skipped) AS skipped, count(*) FILTER (reason IS NOT NULL) AS dead
+FROM raw GROUP BY batch_id""",
     "stored_remembered": f"""WITH {_STORED}
 SELECT idempotency_key, CAST(1 AS BIGINT) AS rows, 'load-1' AS bid FROM stored GROUP BY 1""",
     "merged_ledger": _STORED_LEDGER,

@@ -7,6 +7,8 @@ and returns a DataFrame whose columns carry explicit names.
 from __future__ import annotations
 
 import datetime as dt
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +19,13 @@ from eventtally.operators import (
 )
 from eventtally.plans import sample
 from eventtally.plans.admission import admit_batch
-from eventtally.plans.ingest import Stores, classify, dead_letters, ingest_batch, replay_dead_letters
+from eventtally.plans.ingest import Storing, Stores, classify, dead_letters, ingest_batch, replay_dead_letters
 from eventtally.plans.refresh import expire_days, expire_letters, refresh
 from eventtally.session import new_workspace
 from eventtally.sources import folders, payloads, records
 from eventtally.streaming import windows
 from eventtally.streaming.ingest import start_ingest
+from eventtally.streaming.refresh import start_refresh
 
 KEY = "idempotency_key"
 # 2024-01-05 and 2024-01-20, UTC; the second pair lies inside an hour.
@@ -66,11 +69,14 @@ def publish_messages(spark, folder):
     return project.to_message(rows).select("event_id", "key", "value")
 
 
-def publish_partitions(spark, folder):
-    """All records of a user share one stream partition."""
+def published_keys(spark, folder):
+    """Records published as keyed messages and read back as the stream does: how many
+    a key has, and its first and last offset."""
+    place = new_workspace(spark, "published")
     sent = records.to_records(project.to_message(sample.events(spark, folder)), "offset")
-    return sent.groupBy("key").agg(
-        F.count("*").alias("sent"), F.count_distinct("partition").alias("partitions")
+    records.publish_files(sent, place)
+    return records.read_files(spark, place).groupBy("key").agg(
+        F.count("*").alias("sent"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset")
     )
 
 
@@ -540,6 +546,169 @@ def stream_first_arrivals(spark, folder):
     return _drain(spark, folder, "arrivals", build, "append")
 
 
+def _drained(query, place: str, spark) -> DataFrame:
+    query.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).format("parquet").option(
+        "path", f"{place}/out"
+    ).outputMode("append").start().awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+def stream_remembered(spark, folder):
+    """Keys remembered for seven days by the stream's own state.  Redeliveries come one to fourteen days late by the
+    clock of the records; those of another micro-batch pass again if it is more than seven."""
+    place = new_workspace(spark, "remembered")
+    sent = _deliveries(spark, folder)
+    again = sent.filter("offset % 2 = 1").join(
+        sample.events(spark, folder).filter("event_name = 'click'").select((F.col("offset") + 1).alias("offset")), "offset", "left_semi"
+    )
+    first = sent.join(again.select("offset"), "offset", "left_anti")
+    id_ = F.floor(F.col("offset") / 2)
+    late = F.when(F.col("offset") % 2 == 1, (1 + id_ % 14) * clock.DAY).otherwise(0)
+    with windows.keyed_state(spark):
+        for part in (first, again):
+            records.publish_files(part, f"{place}/in")
+            events = classify(records.stream_files(spark, f"{place}/in")).filter("status = 'ok'")
+            timed = events.select(KEY, "event_name", "offset", (F.col("event_timestamp") + late).alias("received"))
+            out = _drained(windows.remembered(timed, "received").writeStream, place, spark)
+    return out.select(KEY, "event_name", "offset", "received")
+
+
+def stream_exact_users(spark, folder):
+    """Events and distinct users by the hour, kept exactly by the stream; a closing record a year later lets
+    it give out its last hours."""
+    stores = _stream_run(spark, folder)
+    place = new_workspace(spark, "exact")
+    late = F.to_json(F.struct(
+        F.lit("closing").alias("event_name"), F.lit("user").alias("user_id"), (F.max("event_timestamp") + 366 * clock.DAY).alias("timestamp")
+    ))
+    closing = sample.events(spark, folder).agg(late.alias("value")).select(
+        F.lit("user").alias("key"), "value", F.lit(0).alias("partition"), F.lit(10**15).alias("offset")
+    )
+    inbox = f"{place}/in"
+    for some in (records.read_files(spark, f"{stores.root}/records"), closing):
+        records.publish_files(some, inbox)
+    found = {}
+    for name, build in (("users", windows.exact_users), ("totals", windows.exact_totals)):
+        events = classify(records.stream_files(spark, inbox)).filter("status = 'ok'")
+        # Copies of an event differ in their channel, and which of them counts is not fixed.
+        some = build(events.withColumn("channel", F.lit("any")), "60 days").writeStream
+        found[name] = _drained(some, f"{place}/{name}", spark).filter("event_name <> 'closing'")
+    return found["totals"].join(found["users"], ["event_name", "channel", "date_hour"])
+
+
+def _refresh_stream_run(spark, folder) -> Stores:
+    """The refresh stream itself, with batches that come while it runs."""
+    def run(stores: Stores) -> None:
+        newest = _newest(spark, folder)
+        query = start_refresh(stores, f"{stores.root}/checkpoints/refresh", lambda: newest, seconds=0.5)
+        try:
+            for number, batch in _staged(spark, folder, stores):
+                ingest_batch(stores, batch, f"load-{number:06d}")
+            until = time.time() + 300
+            while time.time() < until and query.isActive:
+                noted = stores.rollup.note(stores.rollup.current_version())
+                if noted and noted["ledger"] == stores.ledger.snapshot().version:
+                    return
+                time.sleep(0.5)
+            raise RuntimeError(f"the refresh stream did not come to the end: {query.exception()}")
+        finally:
+            query.stop()
+
+    return _once(spark, folder, "refreshing", run)
+
+
+def refresh_stream_rollup(spark, folder):
+    """The rollup that the refresh stream keeps, default window."""
+    return _date_text(_refresh_stream_run(spark, folder).rollup.read())
+
+
+def stored_sketches(spark, folder):
+    """The sketches that refreshes keep up, against the exact users of the ledger's days in the window: how many bounds
+    of error they are off."""
+    stores = _refresh_stream_run(spark, folder)
+    exact = stores.ledger.read(stores.sketches.snapshot().days()).groupBy("event_date", "event_name").agg(
+        F.count_distinct("user_id").alias("true_unique_users")
+    )
+    approx = stores.sketches.read().groupBy("event_date", "event_name").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("approx_unique_users")
+    )
+    error = F.abs(F.col("approx_unique_users") - F.col("true_unique_users"))
+    return _date_text(exact.join(approx, ["event_date", "event_name"])).select(
+        "event_date", "event_name", "true_unique_users",
+        F.floor(error / (F.col("true_unique_users") * uniques.ERROR_BOUND)).cast("bigint").alias("bounds_off"),
+    )
+
+
+def _poison_run(spark, folder) -> Stores:
+    """A stream whose storage refuses the events of the last second."""
+    newest = classify(_deliveries(spark, folder)).filter("status = 'ok'").agg(F.max("event_timestamp")).first()[0]
+
+    def refuse(rows: DataFrame) -> DataFrame:
+        bad = F.col("event_timestamp") == newest
+        return rows.withColumn("channel", F.when(bad, F.raise_error(F.lit("refused by the storage"))).otherwise(F.col("channel")))
+
+    def run(stores: Stores) -> None:
+        inbox = f"{stores.root}/records"
+        for _, batch in _staged(spark, folder, stores):
+            records.publish_files(batch, inbox)
+        start_ingest(
+            stores, records.stream_files(spark, inbox), f"{stores.root}/checkpoints/ingest", storing=Storing(refuse, waits=(0.1,))
+        ).awaitTermination()
+
+    return _once(spark, folder, "poison", run)
+
+
+def poison_letters(spark, folder):
+    """Events that could not be stored, as dead letters."""
+    return _poison_run(spark, folder).quarantine.read().filter("reason LIKE 'cannot%'").select("key", "value", "offset")
+
+
+def poison_ledger(spark, folder):
+    return _date_text(_poison_run(spark, folder).ledger.read()).select(KEY, "event_name", "channel", "event_date")
+
+
+def concurrent_ledger(spark, folder):
+    """Three writers at once, each with the deliveries of two days of three: a key that two of them have is stored
+    once, all of a batch's days show together, and counters add up."""
+    def run(stores: Stores) -> None:
+        sent = new_workspace(spark, "concurrent")
+        day = F.floor(F.get_json_object("value", "$.timestamp") / clock.DAY)
+        _deliveries(spark, folder).withColumn("third", F.coalesce(F.pmod(day, F.lit(3)), F.lit(0)).cast("int")).write.parquet(sent)
+
+        def write(number: int) -> None:
+            batch = spark.read.parquet(sent).filter(F.col("third") != number).drop("third", "batch_id")
+            ingest_batch(stores, batch, f"writer-{number}")
+
+        with ThreadPoolExecutor(3) as pool:
+            list(pool.map(write, range(3)))
+
+    stores = _once(spark, folder, "concurrent", run)
+    batches = stores.ledger.read().groupBy(KEY).agg(F.count("*").alias("rows"), F.first("event_name").alias("event_name"))
+    inserted = stores.counters.read().agg(F.sum("inserted").alias("inserted")).scalar()
+    return batches.select(KEY, "event_name", "rows", inserted.alias("inserted"))
+
+
+def empty_batches(spark, folder):
+    """A batch without records, and one of records without a body: counted, nothing stored."""
+    stores = Stores(spark, new_workspace(spark, "empty"))
+    sent = _deliveries(spark, folder).drop("batch_id")
+    ingest_batch(stores, sent.filter("false"), "none")
+    ingest_batch(stores, sent.filter("value IS NULL"), "skipped")
+    return stores.counters.read().select("bid", "received", "skipped", "dead", "deserialized", "inserted").withColumn(
+        "stored", F.lit(len(stores.ledger.dates())).cast("bigint")
+    )
+
+
+def stream_rate_limited(spark, folder):
+    """One file a micro-batch: as many batches as files, each with its file's records."""
+    stores = Stores(spark, new_workspace(spark, "limited"))
+    inbox = f"{stores.root}/records"
+    for _, batch in _staged(spark, folder, stores):
+        records.publish_files(batch.coalesce(1), inbox)
+    start_ingest(stores, records.stream_files(spark, inbox, 1), f"{stores.root}/checkpoint").awaitTermination()
+    return stores.counters.read().select("received", "skipped", "dead")
+
+
 def _mended(letters: DataFrame) -> DataFrame:
     cut = F.startswith("value", F.lit('"'))
     return letters.withColumn("value", F.when(cut, F.concat(F.lit("{"), "value")).otherwise(F.col("value")))
@@ -725,7 +894,7 @@ def end_to_end(spark, folder):
 
 
 QUERIES = (
-    idempotency_key, canonical_events, clock_parts, publish_messages, publish_partitions,
+    idempotency_key, canonical_events, clock_parts, publish_messages, published_keys,
     parse_records, quarantine_rows, partition_admission, validate_events, single_responses,
     bulk_admission, bulk_admitted_rows, bulk_payloads, bulk_explode,
     seen_keys, unseen_keys, insert_ignore, dedup_in_batch, dedup_ledger, batch_counters,
@@ -740,4 +909,6 @@ QUERIES = (
     stream_ledger, stream_counters, stream_quarantine, stream_rollup, stream_hourly_counts,
     stream_first_arrivals, dlt_replay, dlt_open, ledger_retention, key_exists, late_events,
     letters_expired, stored_remembered, merged_ledger, merged_counters, admission_answers, admitted_ledger, end_to_end,
+    stream_remembered, stream_exact_users, refresh_stream_rollup, stored_sketches, poison_letters, poison_ledger,
+    concurrent_ledger, empty_batches, stream_rate_limited,
 )

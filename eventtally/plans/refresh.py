@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from eventtally.schema import DEFAULT_RETENTION_DAYS, INBOX_RETENTION_DAYS, RETE
 from eventtally.sources.commits import APPEND, CommitTable, Overtaken, Part, Snapshot, in_ranges
 
 
+#: Parts of a day of counted users, or of sketches, that a refresh gathers in one.
+MERGE_PARTS = 24
+
+
 def today() -> dt.date:
     return dt.datetime.now(dt.timezone.utc).date()
 
@@ -83,8 +89,8 @@ def refresh(
     laid_out = rollups.summed(new).hint("rebalance", "event_date").sortWithinPartitions(
         "event_date", "event_name", "date_hour"
     )
-    now_users = _carried_on(users, users_then, kept, fresh)
-    now_sketches = _carried_on(sketches, sketches_then, kept, sketched)
+    now_users = _carried_on(users, users_then, kept, fresh, rollups.users_summed)
+    now_sketches = _carried_on(sketches, sketches_then, kept, sketched, uniques.united)
     note = {
         "ledger": ledger.version, "users": now_users, "sketches": now_sketches,
         "days": sorted(day.isoformat() for day in window),
@@ -100,16 +106,23 @@ def _meeting(parts: list[Part], others: list[Part], hours: list[tuple[int, int]]
     ]
 
 
-def _carried_on(table: CommitTable, then: Snapshot, kept: set[dt.date], fresh: list[Part]) -> int:
-    """Commit what a refresh adds to a table: the parts of kept days in a former state, and the fresh ones; returns
-    the version."""
-    stay = {part.folder for part in then.of(kept)}
+def _carried_on(
+    table: CommitTable, then: Snapshot, kept: set[dt.date], fresh: list[Part], summed: Callable[[DataFrame], DataFrame],
+) -> int:
+    """Commit what a refresh adds to a table: the parts of kept days in a former state, and the fresh ones; a day with
+    many parts is summed up in one.  Returns the version."""
+    parts = then.of(kept) + fresh
+    by_day = collections.Counter(part.day for part in parts)
+    many = {day for day, n in by_day.items() if n >= MERGE_PARTS}
+    if many:
+        merged = table.stage(summed(table.load(p for p in parts if p.day in many)), "refresh", ("date_hour",))
+        parts = [p for p in parts if p.day not in many] + merged
+    stay = {part.folder for part in parts}
     while True:
         now = table.snapshot()
         gone = [part for part in now.parts.values() if part.folder not in stay]
-        back = [part for part in then.of(kept) if part.folder not in now.parts]
         try:
-            return table.commit(now, APPEND, "refresh", fresh + back, gone).version
+            return table.commit(now, APPEND, "refresh", [p for p in parts if p.folder not in now.parts], gone).version
         except Overtaken:
             continue
 

@@ -73,3 +73,5 @@ RETENTION_KEY = "mv_retention_days"
 DEFAULT_RETENTION_DAYS = 7
 INBOX_RETENTION_DAYS = 7
 REFRESH_SECONDS = 60
+RETRY_SECONDS = (1.0, 2.0)
+UPKEEP_SECONDS = 3600

@@ -1,4 +1,4 @@
-"""The periodic rollup refresh."""
+"""The periodic jobs: rollup refresh and upkeep."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventtally.plans.ingest import Stores
 from eventtally.plans.refresh import refresh, today
-from eventtally.schema import REFRESH_SECONDS
+from eventtally.plans.upkeep import upkeep
+from eventtally.schema import REFRESH_SECONDS, UPKEEP_SECONDS
 
 log = logging.getLogger(__name__)
 
@@ -31,15 +32,24 @@ def start_refresh(
     failed refresh, which is logged and leaves the old version in force, is
     made up for by the next one.  For one refresh that raises, call `refresh`.
     """
+    return _every(stores, "rollup refresh", lambda: refresh(stores, as_of()), checkpoint, seconds)
+
+
+def start_upkeep(stores: Stores, checkpoint: str, seconds: float = UPKEEP_SECONDS, **options) -> StreamingQuery:
+    """`upkeep` at once and then every `seconds`."""
+    return _every(stores, "upkeep", lambda: upkeep(stores, **options), checkpoint, seconds)
+
+
+def _every(stores: Stores, what: str, work: Callable[[], object], checkpoint: str, seconds: float) -> StreamingQuery:
     def handle(_: DataFrame, number: int) -> None:
         try:
-            refresh(stores, as_of())
+            work()
         except Exception:
-            log.exception("rollup refresh %d failed; the old version stays", number)
+            log.exception("%s %d failed and is made up for by the next one", what, number)
 
     ticks = stores.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (
-        ticks.writeStream.queryName("rollup-refresh")
+        ticks.writeStream.queryName(what.replace(" ", "-"))
         .foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=f"{seconds} seconds")

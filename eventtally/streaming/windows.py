@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from eventtally.functions import clock
 from eventtally.schema import INBOX_RETENTION_DAYS
@@ -36,3 +42,99 @@ def first_arrivals(events: DataFrame, received_at: str, days: int = INBOX_RETENT
     return events.withWatermark(received_at, f"{days} days").dropDuplicatesWithinWatermark(
         ["idempotency_key"]
     )
+
+
+def exact_users(events: DataFrame, late_by: str) -> DataFrame:
+    """Exact distinct users by hour, event name and channel (event_name, channel, date_hour, unique_user_count).
+
+    Two stateful operators: the first lets a user pass once an hour and group, the second counts
+    who passes.  An hour is given out once no event of it may come any more, `late_by` after its last
+    one; the state of both is dropped then.  Needs append output.
+    """
+    once = _in_hours(events.filter("user_id IS NOT NULL"), late_by).dropDuplicates(["event_name", "channel", "window", "user_id"])
+    return once.groupBy("event_name", "channel", "window").agg(F.count("*").alias("unique_user_count")).select(*_hour(), "unique_user_count")
+
+
+def exact_totals(events: DataFrame, late_by: str) -> DataFrame:
+    """The same for events, each key counting once (event_name, channel, date_hour, total_count)."""
+    once = _in_hours(events, late_by).dropDuplicates(["idempotency_key", "window"])
+    return once.groupBy("event_name", "channel", "window").agg(F.count("*").alias("total_count")).select(*_hour(), "total_count")
+
+
+def _hour() -> tuple:
+    return "event_name", "channel", F.unix_seconds("window.start").alias("date_hour")
+
+
+def _in_hours(events: DataFrame, late_by: str) -> DataFrame:
+    timed = events.withColumn("at", clock.hour_as_timestamp(F.col("event_timestamp"))).withWatermark("at", late_by)
+    return timed.withColumn("window", F.window("at", "1 hour"))
+
+
+class _Remembered(StatefulProcessor):
+    """Lets a key's last row of a micro-batch pass, unless the key passed less than `seconds` ago."""
+
+    def __init__(self, received: str, order: list[str], seconds: int):
+        self.received, self.order, self.seconds = received, order, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # The state cleans itself up by processing time; twice the span, so that a stream that falls
+        # behind the clock of its records forgets none too early.
+        self.passed = handle.getValueState("passed", "at BIGINT", ttlDurationMs=2000 * self.seconds)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last = _last_rows(pd.concat([_last_rows(some, self.order) for some in rows]), self.order)
+        at = int(last[self.received].iloc[0])
+        if not self.passed.exists() or at - self.passed.get()[0] > self.seconds:
+            self.passed.update((at,))
+            yield last
+
+    def close(self) -> None:
+        pass
+
+
+def _last_rows(rows: pd.DataFrame, order: list[str], by: str | None = None) -> pd.DataFrame:
+    rows = rows.sort_values(order, kind="stable")
+    return rows.tail(1) if by is None else rows.drop_duplicates(by, keep="last")
+
+
+def remembered(
+    events: DataFrame, received: str, days: float = INBOX_RETENTION_DAYS, key: str = "idempotency_key",
+    order: Sequence[str] = ("offset",),
+) -> DataFrame:
+    """Keyed state in place of the ledger lookup: of a key the last arrival of a micro-batch passes, and then
+    none for `days`.
+
+    The clock is the column `received`, epoch seconds, so a replayed stream decides as the first one did.  A key
+    passes again if it comes more than `days` after it passed last; arrivals in between do not
+    prolong that.  Tasks send one row a key and Arrow batch to the state, so a hot key costs little.
+    Start it within `keyed_state`.
+    """
+    columns, sort = events.schema, list(order)
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield _last_rows(rows, sort, key)
+
+    state = _Remembered(received, sort, int(days * clock.DAY))
+    return events.mapInPandas(reduced, columns).groupBy(key).transformWithStateInPandas(
+        state, columns, outputMode="Append", timeMode="ProcessingTime"
+    )
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The settings a stream with such state is started with: a store with expiry, on disk rather than in memory, and
+    no micro-batches without data, of which state that expires by itself would ask for ever more."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

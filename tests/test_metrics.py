@@ -9,10 +9,14 @@ from eventtally.functions import clock
 from eventtally.operators import metrics, rollup, uniques
 from eventtally.plans.ingest import ingest_batch
 from eventtally.plans.refresh import expire_days, refresh
+from eventtally.plans import refresh as refresh_job
 from eventtally.schema import ROLLUP
+from eventtally.sources.commits import CommitTable
+from eventtally.sources.versioned import VersionedTable
 from eventtally.sources import folders
 from pyspark.sql import functions as F
 
+ROLLUP_COLUMNS = ("event_name", "channel", "date_hour", "total_count", "unique_user_count", "event_date")
 H = 3600
 ROWS = [  # event_name click: user, channel, epoch
     ("u1", "web", 1771157100), ("u1", "web", 1771159200), ("u1", "mobile", 1771159800),
@@ -277,3 +281,59 @@ def test_totals_by_running_sums_equal_whole_answers(spark):
     # Two equality joins, nothing laid out over days on the requests' side.
     plan = running._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2 and "explode_outer" not in plan
+
+
+def test_refresh_reads_what_is_new(spark, stores, monkeypatch):
+    as_of = dt.date(2026, 2, 16)
+    day = [event_json(user=f"u{i % 40}", ts=T0 - 40_000 + 300 * i, channel=[None, "web"][i % 2]) for i in range(250)]
+    ingest_batch(stores, records_frame(spark, day), "b-0")
+    refresh(stores, as_of)
+    opened = []
+    real = CommitTable.load
+
+    def load(self, parts):
+        parts = list(parts)
+        opened.append((self.root.rsplit("/", 1)[1], sorted(p.rows for p in parts), [p.by for p in parts]))
+        return real(self, parts)
+
+    monkeypatch.setattr(refresh_job, "MERGE_PARTS", 4)
+    for n in range(1, 7):
+        # A user known in the hour, one new in it, one in a new hour.
+        batch = [event_json(user="u0", ts=T0 - 40_000 + n), event_json(user=f"new{n}", ts=T0 - 40_000 + n), event_json(user="u1", ts=T0 + 43_000 + n)]
+        ingest_batch(stores, records_frame(spark, batch), f"b-{n}")
+        if n == 3:
+            stores.ledger.merge_day(dt.date(2026, 2, 15), "m")
+        with monkeypatch.context() as patch:
+            patch.setattr(CommitTable, "load", load)
+            opened.clear()
+            refresh(stores, as_of, broadcast_users=[0, 1000][n % 2])
+        from_ledger = [rows for table, rows, _ in opened if table == "ledger" and rows]
+        # Once the batch's three rows; when they were merged with the day's, the day.
+        assert from_ledger == [[253 + 3 * 2]] if n == 3 else all(sum(rows) == 3 for rows in from_ledger)
+        want = sorted(map(tuple, rollup.hourly_rollup(stores.ledger.read()).select(*ROLLUP_COLUMNS).collect()), key=str)
+        assert sorted(map(tuple, stores.rollup.read().select(*ROLLUP_COLUMNS).collect()), key=str) == want
+        exact = {(r[0], r[1]): r[2] for r in stores.ledger.read().groupBy("event_name", "channel").agg(F.count_distinct("user_id")).collect()}
+        sketched = {(r[0], r[1]): r[2] for r in uniques.sketched_users(stores.sketches.read(), 0, 2**33, "event_name", "channel").collect()}
+        assert sketched == exact  # so few that sketches are exact
+    assert len(stores.rollup_users.snapshot().parts) < 8 and len(stores.sketches.snapshot().parts) < 8
+    before = stores.rollup.current_version()
+    assert refresh(stores, as_of) == before
+
+
+def test_failed_refresh_leaves_nothing_counted_twice(spark, stores, monkeypatch):
+    as_of = dt.date(2026, 2, 16)
+    ingest_batch(stores, records_frame(spark, [event_json(user="a"), event_json(user="b", ts=T0 + 86400)]), "b-1")
+    refresh(stores, as_of)
+    ingest_batch(stores, records_frame(spark, [event_json(user="c"), event_json(user="a", ts=T0 + 1)]), "b-2")
+    with monkeypatch.context() as patch:
+        patch.setattr(VersionedTable, "replace", lambda *_, **__: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            refresh(stores, as_of)
+    refresh(stores, as_of)
+    assert sorted((r["date_hour"], r["total_count"], r["unique_user_count"]) for r in stores.rollup.read().collect()) == [(T0, 3, 2), (T0 + 86400, 1, 1)]
+    # The window moves on: its days' users go too, and come back when it moves back.
+    refresh(stores, dt.date(2026, 2, 23))
+    assert [p.day.day for p in stores.rollup_users.snapshot().parts.values()] == [16]
+    refresh(stores, as_of)
+    assert stores.rollup.read().agg(F.sum("total_count")).first()[0] == 4
+    assert not folders.exists(spark, f"{stores.root}/rollup-covered")

@@ -5,7 +5,8 @@ import pytest
 from rows import T0, event_json, records_frame
 
 from eventtally.functions import clock
-from eventtally.plans.ingest import Stores, classify, ingest_batch
+from eventtally.plans.ingest import Storing, Stores, classify, ingest_batch
+from eventtally.plans.upkeep import upkeep
 from eventtally.session import new_workspace, shared_folder
 from eventtally.sources import folders, records
 from eventtally.streaming import windows
@@ -158,3 +159,114 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_workspaces_of_an_application_lie_together(spark):
     first, second = (new_workspace(spark, "some") for _ in range(2))
     assert first != second and f"/{spark.sparkContext.applicationId}/some-" in first
+
+
+def drained(spark, build, tmp_path, name, inbox, **conf):
+    events = classify(records.stream_files(spark, inbox)).filter("status = 'ok'")
+    query = build(events).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / name / "out"))
+    query.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name / "cp")).start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / name / "out"))
+
+
+def test_key_returns_after_its_time_and_not_before(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    day = 86400
+    # The second at which each arrives is in its channel; days 0, 7, 7 and a second, 8, 14.
+    arrivals = [[0, 5], [7 * day + 5, 9], [7 * day + 6], [8 * day], [14 * day + 6], [14 * day + 7]]
+
+    def build(events):
+        return windows.remembered(events.withColumn("received", F.col("channel").cast("bigint")), "received")
+
+    with windows.keyed_state(spark):
+        for n, seconds in enumerate(arrivals):
+            deliver(spark, inbox, [event_json(channel=str(s)) for s in seconds], 10 * n)
+            got = drained(spark, build, tmp_path, "keyed", inbox)
+    # Of the first micro-batch the last arrival, at 5; at 7 days and 6 it is more than 7 days ago, and again at 14 and 7.
+    assert sorted(int(r["channel"]) for r in got.collect()) == [5, 7 * day + 6, 14 * day + 7]
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_exact_users_of_an_hour_come_once_it_is_over(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    users = [event_json(user=f"u{i % 3}", ts=T0 + i, channel=None) for i in range(30)]
+    deliver(spark, inbox, users + [event_json(user="u0", ts=T0 + 3600)], 0)
+    got = drained(spark, lambda e: windows.exact_users(e, "1 hour"), tmp_path, "users", inbox)
+    assert got.count() == 0
+    deliver(spark, inbox, [event_json(user="u9", ts=T0 + 20, channel=None), event_json(user="u1", ts=T0 + 3 * 3600)], 100)
+    got = drained(spark, lambda e: windows.exact_users(e, "1 hour"), tmp_path, "users", inbox)
+    assert [(r["channel"], r["date_hour"], r["unique_user_count"]) for r in got.filter(f"date_hour = {T0}").collect()] == [(None, T0, 4)]
+    # Too late by then.
+    deliver(spark, inbox, [event_json(user="u8", ts=T0 + 30, channel=None), event_json(user="u1", ts=T0 + 9 * 3600)], 200)
+    got = drained(spark, lambda e: windows.exact_users(e, "1 hour"), tmp_path, "users", inbox)
+    assert got.filter(f"date_hour = {T0}").agg(F.sum("unique_user_count")).first()[0] == 4
+    totals = drained(spark, lambda e: windows.exact_totals(e, "1 hour"), tmp_path, "totals", inbox)
+    assert {r["date_hour"]: r["n"] for r in totals.groupBy("date_hour").agg(F.sum("total_count").alias("n")).collect()}[T0] == 32
+
+
+def refusing(user, raising="refused"):
+    def prepare(rows):
+        return rows.withColumn("channel", F.when(F.col("user_id").startswith(user), F.raise_error(F.lit(raising))).otherwise(F.col("channel")))
+    return prepare
+
+
+def test_one_poison_row_costs_one_letter(spark, stores, tmp_path):
+    inbox = str(tmp_path / "in")
+    values = [event_json(user=f"user_{i}", ts=T0 + i) for i in range(999)] + [event_json(user="poison", campaign="bad")]
+    deliver(spark, inbox, values, 0)
+    run(stores, inbox, str(tmp_path / "cp"), storing=Storing(refusing("poison"), waits=(0.05, 0.1)))
+    (letter,) = stores.quarantine.read().collect()
+    assert '"bad"' in letter["value"] and letter["offset"] == 999 and letter["reason"].startswith("cannot be stored: ") and "refused" in letter["reason"]
+    counted = stores.counters.read().first()
+    assert (counted["received"], counted["dead"], counted["inserted"], counted["unique_keys"], counted["cross_batch_duplicates"]) == (1000, 1, 999, 999, 0)
+    assert len(folders.child_folders(spark, f"{stores.ledger.root}/data", "c=")) == len({p.folder.split("/")[1] for p in stores.ledger.snapshot().of()})
+    # The stream goes on.
+    deliver(spark, inbox, [event_json(user="next")], 2000)
+    run(stores, inbox, str(tmp_path / "cp"))
+    assert stores.ledger.read().count() == 1000
+    # A rerun after a cut between the commit and the counters finds the letter again.
+    assert folders.remove(spark, f"{stores.root}/counters/part=stream-000000000000")
+    ingest_batch(stores, records_frame(spark, values), "stream-000000000000", storing=Storing(refusing("poison"), waits=()))
+    assert stores.quarantine.read().count() == 1 and stores.counters.of_batch("stream-000000000000").first()["inserted"] == 999
+
+
+def test_outage_is_no_poison(spark, stores):
+    values = [event_json(user=f"user_{i}", ts=T0 + i) for i in range(30)]
+    with pytest.raises(Exception, match="disk full"):
+        ingest_batch(stores, records_frame(spark, values), "b-1", storing=Storing(refusing("user", "disk full"), waits=(0.01,), outage=4))
+    assert stores.quarantine.read().count() == stores.ledger.read().count() == stores.counters.read().count() == 0
+    tries = []
+    failing = [True, True]
+
+    def recovers(rows):
+        tries.append(1)
+        return rows.withColumn("channel", F.raise_error(F.lit("busy"))) if failing and failing.pop() else rows
+
+    assert ingest_batch(stores, records_frame(spark, values), "b-1", storing=Storing(recovers, waits=(0.01, 0.01)))["inserted"] == 30
+    assert len(tries) == 3
+
+
+def test_upkeep_merges_expires_and_clears(spark, stores, tmp_path):
+    at = dt.datetime(2026, 2, 16, tzinfo=dt.timezone.utc)
+    for n in range(4):
+        ingest_batch(stores, records_frame(spark, [event_json(ts=T0 + n), f"bad {n}"]), f"b-{n}", received_at=at + dt.timedelta(days=n))
+    refresh_stream.refresh(stores, dt.date(2026, 2, 16))
+    planned = stores.ledger.read(), stores.counters.read()
+    done = upkeep(stores, at + dt.timedelta(days=9), merge_parts=3)
+    assert done["letters"] == 2 and done["merged"] >= 8 and done["removed"] == 0
+    assert len(stores.ledger.snapshot().parts) == 1 and stores.ledger.read().count() == 4
+    assert [df.count() for df in planned] == [4, 4]
+    assert stores.counters.read().count() == 4 and stores.quarantine.read().count() == 2
+    for keep in (-1, -1):
+        upkeep(stores, at + dt.timedelta(days=9), merge_parts=1, keep_hours=keep)
+    assert stores.ledger.read().count() == 4 and stores.counters.read().count() == 4
+    assert len(folders.child_folders(spark, f"{stores.ledger.root}/data", "c=")) == 1
+    assert stores.counters.of_batch("b-2").first()["inserted"] == 1 and stores.counters.has_batches("b-")
+    query = refresh_stream.start_upkeep(stores, str(tmp_path / "upkeep"), seconds=0.5, now=at + dt.timedelta(days=30))
+    try:
+        for _ in range(60):
+            if stores.quarantine.read().count() == 0:
+                break
+            time.sleep(0.5)
+        assert stores.quarantine.read().count() == 0
+    finally:
+        query.stop()
