@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -166,33 +167,78 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Powers of a base and of its inverse, as many as a task has needed so far.
-_known_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd numbers that parts of a hash are scattered by.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end].
 
-def _powers(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _known_powers or len(_known_powers[base][0]) < count:
-        both = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            row = np.full(1 << max(10, (count - 1).bit_length()), factor, np.uint64)
-            row[0] = 1
-            both.append(np.multiply.accumulate(row))
-        _known_powers[base] = tuple(both)
-    return _known_powers[base]
+    Words are taken in eight bytes at a time by two chains that are scattered at every step, so no
+    sum over places can cancel out, as in a polynomial; their ends make the hash.
+    """
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # The eight bytes from each place on.
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    one = mixed(sizes.astype(np.uint64) * np.uint64(BASES[0]))
+    two = mixed(sizes.astype(np.uint64) * np.uint64(BASES[1]) + np.uint64(1))
+    open_, at = np.arange(len(starts)), 0
+    while len(open_):
+        left = sizes[open_] - at
+        taken = eight[starts[open_] + at]
+        short = left < 8
+        taken[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        one[open_] = mixed(one[open_] ^ taken)
+        two[open_] = mixed(two[open_] * np.uint64(BASES[0]) + taken)
+        open_, at = open_[left > 8], at + 8
+    return mixed(one * np.uint64(BASES[1]) + two)
 
 
 class Runs:
-    """64-bit hashes of runs of `values`; equal runs hash alike wherever they stand."""
+    """64-bit hashes of runs of `values`; equal runs hash alike wherever they stand.
 
-    def __init__(self, values: np.ndarray, base: int):
-        up, self.down = _powers(base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
+    A run of 2^k values is hashed from its two halves; one of another length from the two runs
+    of the largest such length that begin and end it, and its length.
+    """
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of values[start:end] for each pair."""
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+    def __init__(self, values: np.ndarray):
+        self.levels = [values.astype(np.uint64, copy=False)]
 
+    @staticmethod
+    def _joined(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return mixed(mixed(one) * np.uint64(BASES[0]) + other)
 
-#: Bases of two independent hashes; any odd numbers do.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            half, below = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(self._joined(below[: max(len(below) - half, 0)], below[half:]))
+        return self.levels[k]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of values[start:end] for each pair; no run is empty."""
+        sizes = ends - starts
+        levels = np.frexp(sizes)[1] - 1
+        found = np.zeros(len(sizes), np.uint64)
+        for k in np.unique(levels).tolist():
+            some = slice(None) if (levels == k).all() else levels == k
+            level = self._level(k)
+            both = self._joined(level[starts[some]], level[ends[some] - (1 << k)])
+            found[some] = mixed(both + sizes[some].astype(np.uint64) * np.uint64(BASES[1]))
+        return found
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each run of words first..last (which is not in it) its BLAKE2b digest, as two signed 64-bit numbers.
+
+    Words are data[start:end] and have no blank in them; a run is its words with a blank between each two.
+    """
+    sizes = ends - starts
+    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    plain = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    plain[place + np.repeat(begins, sizes)] = data[place + np.repeat(starts, sizes)]
+    view = memoryview(plain.tobytes())
+    until = begins[last - 1] + sizes[last - 1]
+    found = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begins[first].tolist(), until.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from eventtally.llm import arrays
 
 
+#: Words beyond this go one by one: the passes over all words take one for each merge that a word still has.
+LONG_BYTES = 2_048
+
+
 class Merges:
     """Which pairs of tokens merge, in which order, into what.
 
@@ -58,6 +64,9 @@ class Merges:
         pair in the order of merges; of places that overlap, the leftmost.
         """
         words = words.cast(pa.large_binary())
+        sizes = pc.binary_length(words).to_numpy()
+        if (sizes > LONG_BYTES).any():
+            return self._with_long(words, sizes > LONG_BYTES)
         offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
         data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         token = self.byte_ids[data]
@@ -95,6 +104,46 @@ class Merges:
         return token[by_word], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
 
 
+    def _with_long(self, words: pa.Array, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` where some words go one by one."""
+        others, at = self.encode(words.filter(pa.array(~long)))
+        parts = iter(np.split(others, at[1:-1]) if (~long).any() else [])
+        coded = [self.encode_long(word.as_py()) if is_long else next(parts) for word, is_long in zip(words, long.tolist(), strict=True)]
+        return np.concatenate(coded), np.cumsum([0, *map(len, coded)])
+
+    @functools.cached_property
+    def _pairs(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.order.tolist(), self.merged.tolist(), strict=True), strict=True))
+
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """The tokens of one word, from a heap of its pairs, so the work grows with n log n."""
+        token = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n, pairs = len(token), self._pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def offer(i: int) -> None:
+            found = pairs.get(token[i] << 32 | token[after[i]]) if after[i] < n else None
+            if found:
+                heapq.heappush(heap, (found[0], i, token[i], token[after[i]], found[1]))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, first, second, merged = heapq.heappop(heap)
+            j = after[i]
+            # Void if one of the two has been merged with something since.
+            if token[i] != first or j >= n or token[j] != second:
+                continue
+            token[i], token[j], after[i] = merged, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return np.array([t for t in token if t >= 0], np.int64)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The pieces of a rank file, each with its rank, which is its id."""
     with open(path, "rb") as lines:

@@ -77,11 +77,11 @@ def _letters(text: str) -> np.ndarray:
 
 
 def document_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of unit length for each text with a letter, zeros for the others; which have one."""
+    """A row of unit length for each text with a letter, zeros for the others; how many distinct n-grams each has."""
     letters = [_letters(t) if t else np.zeros(0, np.int64) for t in texts]
     has = np.array([len(x) > 0 for x in letters], bool)
     codes = [x[:-2] << 42 | x[1:-1] << 21 | x[2:] for x in letters if len(x)]
-    vectors = np.zeros((len(texts), WIDTH), np.float32)
+    vectors, distinct = np.zeros((len(texts), WIDTH), np.float32), np.zeros(len(texts), np.int64)
     if codes:
         grams, place = np.unique(np.concatenate(codes), return_inverse=True)
         row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -91,7 +91,8 @@ def document_vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             sums += counts[:, at : at + 8_192].astype(np.float32) @ _bound.of(grams[at : at + 8_192])
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         vectors[has] = sums / np.where(length > 0, length, 1)
-    return vectors, has
+        distinct[has] = (counts > 0).sum(axis=1)
+    return vectors, distinct
 
 
 def _picked(rows: DataFrame, fit_rows: int) -> DataFrame | None:
@@ -148,26 +149,31 @@ def learn(docs: DataFrame, text: str = "text", language: str = "lang", fit_rows:
 
 def identify(
     docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text",
-    columns: tuple[str, str] = ("lang_pred", "score"),
+    columns: tuple[str, ...] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """`docs` with the language and the cosine (0 to 1) of every text in two further columns."""
+    """`docs` with the language and the cosine (0 to 1) of every text in two further columns, and the
+    number of its distinct n-grams in a third if that has a name."""
     names, prototypes = model
+
     def predict(column: pa.Array) -> pa.Array:
-        languages, scores = [], [np.zeros(0)]
+        languages, scores, grams = [], [np.zeros(0)], [np.zeros(0, np.int64)]
         batch = pa.RecordBatch.from_arrays([column], ["text"])
         for piece in arrays.slices([batch], "text", SLICE_BYTES):
-            vectors, has = document_vectors(piece.column("text").to_pylist())
-            cosines = vectors @ prototypes.T if names else np.zeros((len(has), 1), np.float32)
-            known = has & bool(names)
+            vectors, distinct = document_vectors(piece.column("text").to_pylist())
+            cosines = vectors @ prototypes.T if names else np.zeros((len(distinct), 1), np.float32)
+            known = (distinct > 0) & bool(names)
             best = cosines.argmax(axis=1).tolist()
             languages += [names[b] if k else UNKNOWN for b, k in zip(best, known.tolist(), strict=True)]
             scores.append(np.where(known, np.clip(cosines.max(axis=1), 0, 1), 0).astype(np.float64))
-        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
+            grams.append(distinct)
+        return pa.StructArray.from_arrays(
+            [pa.array(languages, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(grams))], ["lang", "score", "grams"]
+        )
 
-    found = F.arrow_udf(predict, "struct<lang:string,score:double>", F.ArrowUDFType.SCALAR).asNondeterministic()  # a later filter must not run it once more
+    found = F.arrow_udf(predict, "struct<lang:string,score:double,grams:long>", F.ArrowUDFType.SCALAR).asNondeterministic()  # a later filter must not run it once more
     rows = docs.drop(*columns)
     return rows.withColumn("__found", found(F.col(text).cast("string"))).select(
-        *[F.col(f"`{c}`") for c in rows.columns], F.col("__found.lang").alias(columns[0]), F.col("__found.score").alias(columns[1])
+        *[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"__found.{f}").alias(c) for c, f in zip(columns, ("lang", "score", "grams"))]
     )
 
 

@@ -7,7 +7,8 @@ is dropped from every page of that host.
 Defined results: lines are compared without blanks around them; blank lines are
 kept and never counted; a line counts once a page; a null text stays null and
 counts as a page without lines; pages without a host form one group; a repeated
-row is a page of its own.  All other columns pass through unchanged.
+row is a page of its own.  All other columns pass through unchanged, but one that has the name
+of a count is replaced.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventtally.llm.tables import stage
+
 #: A line on more than this part of its host's pages is boilerplate ...
 BOILERPLATE_RATIO = 0.1
-#: ... if it is on at least so many of them: a ratio says nothing about few pages.
-LEAST_PAGES = 5
+#: ... if it is on at least so many of them.  One leaves it to the ratio alone.
+LEAST_PAGES = 1
+#: Up to so many lines of boilerplate go to where the pages lie; more meet them by a join on the host.
+BROADCAST_LINES = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -26,13 +31,17 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.sha2(F.trim(line), 256))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, least_pages: int) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, host: str, text: str, ratio: float, least_pages: int, distinct_pages: bool = False
+) -> DataFrame:
     """(host, keys): the boilerplate lines of each host that has any.
 
     The keys of a host are at most its mean lines a page over `ratio`, whatever
     its number of pages, so an array holds them.
     """
-    pages = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
+    pages = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    if distinct_pages:
+        pages = pages.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["host", "hash"]).drop("hash")
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
     counts = (
@@ -47,21 +56,28 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, least_page
 
 def drop_boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text",
-    ratio: float = BOILERPLATE_RATIO, least_pages: int = LEAST_PAGES,
-    counts: tuple[str, str] | None = None,
+    ratio: float = BOILERPLATE_RATIO, least_pages: int = LEAST_PAGES, distinct_pages: bool = False,
+    counts: tuple[str, str] | None = None, broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
-    """`pages` without their boilerplate lines; `counts` names two further columns: lines before, lines dropped."""
-    marks = boilerplate(pages, host, text, ratio, least_pages).select(
-        F.col("host").alias("__mark_host"), F.col("keys").alias("__mark_keys")
+    """`pages` without their boilerplate lines; `counts` names two further columns: lines before, lines dropped.
+
+    With `distinct_pages` equal texts of a host count as one page, so copies do not make each
+    other's lines boilerplate.
+    """
+    found = boilerplate(pages, host, text, ratio, least_pages, distinct_pages)
+    marks = stage(found.select(F.col("host").alias("__mark_host"), F.col("keys").alias("__mark_keys")), "boilerplate")
+    size = marks.agg(F.sum(F.size("__mark_keys"))).first()[0] or 0
+    rows = pages.drop(*(counts or ()))
+    joined = rows.join(
+        F.broadcast(marks) if size <= broadcast_lines else marks, F.col(f"`{host}`").eqNullSafe(F.col("__mark_host")), "left"
     )
-    joined = pages.join(marks, F.col(host).eqNullSafe(F.col("__mark_host")), "left")
-    lines = F.split(F.col(text), "\n")
+    lines = F.split(F.col(f"`{text}`"), "\n")
     kept = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("__mark_keys"), line_key(line)))
-    result = F.when(F.col("__mark_keys").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    columns = [result.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns]
+    result = F.when(F.col("__mark_keys").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    columns = [result.alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns]
     if counts:
         size = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        size = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(size)
-        dropped = F.when(F.col("__mark_keys").isNull() | F.col(text).isNull(), 0).otherwise(size - F.size(kept))
+        size = F.when(F.col(f"`{text}`").isNull(), F.lit(0).cast("long")).otherwise(size)
+        dropped = F.when(F.col("__mark_keys").isNull() | F.col(f"`{text}`").isNull(), 0).otherwise(size - F.size(kept))
         columns += [size.alias(counts[0]), dropped.cast("long").alias(counts[1])]
     return joined.select(columns)

@@ -55,12 +55,12 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all runs of words, text by text in order, and where each text's begin (and the end)."""
     data, offsets = arrays.text_bytes(texts)
     starts, ends, at = arrays.words(data, offsets)
-    words = arrays.Runs(data, arrays.BASES[0]).hashes(starts, ends)
+    words = arrays.Runs(arrays.word_hashes(data, starts, ends))
     counts = np.diff(at)
     sizes = np.where(counts >= RUN_WORDS, counts - RUN_WORDS + 1, np.minimum(counts, 1))
     first = np.repeat(at[:-1], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     last = np.minimum(first + RUN_WORDS, np.repeat(at[1:], sizes))
-    return arrays.Runs(words, arrays.BASES[1]).hashes(first, last), np.concatenate([[0], np.cumsum(sizes)])
+    return words.hashes(first, last), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def multisets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from eventtally.llm import (
-    byte_bpe, embedding_dedup, fill_in_middle, language_id, lexical_search, line_dedup, minhash, packing, secret_scan,
-    substring_dedup, topk, toxicity, url_filters,
+    byte_bpe, embedding_dedup, fill_in_middle, language_id, lexical_search, line_dedup, minhash, packing, pipeline as stages,
+    secret_scan, substring_dedup, topk, toxicity, url_filters,
 )
 from eventtally.llm.tables import table
 
@@ -150,7 +149,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {

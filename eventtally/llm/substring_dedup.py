@@ -10,12 +10,13 @@ windows have equal minimizers, so only paths with the same minimizer can share a
 2. Equal paths compact: one row a distinct path, with the first document it is in.
 3. A minimizer with one distinct path does not branch: the path's first document
    is that of all its windows.  Branching paths are cut open: their windows are
-   read again at their source coordinates and checked against the path's hash,
+   read again at their source coordinates and checked against the path's digest,
    and those that another path has in an earlier document are noted.
 4. Every occurrence of a path in a later document loses all of its words, one in
    the path's first document those that the noted windows cover.
 
-Windows and paths are told apart by two independent 64-bit hashes.
+Windows and paths are told apart by 128-bit BLAKE2b digests of their words, at their source coordinates too;
+the hash that picks minimizers only decides which paths meet.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`, compared as they are; a null text
 has none and stays null; a null id counts as larger than any; rows of the same id
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventtally.llm import arrays
@@ -42,18 +43,17 @@ _PLACE_BITS = 24
 
 
 class Words:
-    """The words of a slice of texts and the hashes of their runs."""
+    """The words of a slice of texts, the hashes of their runs, and digests of those that have to be told apart."""
 
     def __init__(self, texts: pa.Array):
         self.data, self.offsets = arrays.text_bytes(texts)
         self.starts, self.ends, self.at = arrays.words(self.data, self.offsets)
-        self.runs = []
-        for base, other in zip(arrays.BASES, arrays.BASES[::-1], strict=True):
-            words = arrays.Runs(self.data, base).hashes(self.starts, self.ends)
-            self.runs.append(arrays.Runs(words, other))
+        self.runs = arrays.Runs(arrays.word_hashes(self.data, self.starts, self.ends))
 
-    def hashes(self, first: np.ndarray, count: np.ndarray | int) -> list[np.ndarray]:
-        return [runs.hashes(first, first + count).view(np.int64) for runs in self.runs]
+    def digests(self, first: np.ndarray, count: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of the digests of `count` words from `first` on."""
+        both = arrays.digests(self.data, self.starts, self.ends, first, first + count)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
     def paths(self, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, first window (a word), windows and minimizer (a word) of every path."""
@@ -63,7 +63,7 @@ class Words:
             return (np.zeros(0, np.int64),) * 4
         text = np.repeat(np.arange(len(counts)), counts)
         windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + self.at[:-1][text]
-        run = self.runs[0].hashes(np.arange(n - anchor + 1), np.arange(anchor, n + 1))
+        run = self.runs.hashes(np.arange(n - anchor + 1), np.arange(anchor, n + 1))
         place = np.uint64((1 << max(_PLACE_BITS, n.bit_length())) - 1)
         least = (run & ~place) | np.arange(len(run), dtype=np.uint64)
         span, width = window - anchor + 1, 1
@@ -95,8 +95,8 @@ def _paths(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         for piece in arrays.slices(batches, "text"):
             words = Words(piece.column("text"))
             text, first, count, chosen = words.paths(window, anchor)
-            path, path2 = words.hashes(first, count + window - 1)
-            minimizer = words.hashes(chosen, anchor)[0]
+            path, path2 = words.digests(first, count + window - 1)
+            minimizer = words.runs.hashes(chosen, chosen + anchor).view(np.int64)
             columns = [
                 pa.array(minimizer), pa.array(path), pa.array(path2), piece.column("doc").take(pa.array(text)),
                 piece.column("tid").take(pa.array(text)), pa.array((first - words.at[text]).astype(np.int32)),
@@ -122,12 +122,12 @@ def _opened(paths: DataFrame, rows: DataFrame, window: int) -> DataFrame:
             start, count, path, path2 = (fields.field(i).to_numpy() for i in range(4))
             first = words.at[row] + start
             # The path found there must be the one asked for.
-            there = words.hashes(first, count + window - 1)
+            there = words.digests(first, count + window - 1)
             if not (np.array_equal(there[0], path) and np.array_equal(there[1], path2)):
                 raise ValueError("a path is not at its source coordinates")
             of = np.repeat(np.arange(len(row)), count)
             at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            one, two = words.hashes(first[of] + at, window)
+            one, two = words.digests(first[of] + at, window)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(path[of]), pa.array(path2[of]), pa.array(at.astype(np.int32)),
@@ -158,9 +158,12 @@ def repeated(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     branching = compact.groupBy("minimizer").agg(F.count(F.lit(1)).alias("paths")).where(F.col("paths") > 1)
     marked = compact.join(branching.select(F.col("minimizer").alias("of")), F.col("minimizer") == F.col("of"), "left_semi")
     # A window's first document is its path's, unless another path with the window has an earlier one.
-    same = Window.partitionBy("window", "window2")
-    earlier = _opened(marked, rows, window).select("path", "path2", "at", "doc", F.min("doc").over(same).alias("first"))
-    earlier = earlier.where(F.col("first") < F.col("doc")).groupBy("path", "path2").agg(F.collect_list("at").alias("earlier"))
+    opened = stage(_opened(marked, rows, window), "windows")
+    several = opened.groupBy("window", "window2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(
+        F.col("first") < F.col("last")
+    ).select(F.col("window").alias("of"), F.col("window2").alias("of2"), "first")
+    again = opened.join(several, (F.col("window") == F.col("of")) & (F.col("window2") == F.col("of2"))).where(F.col("first") < F.col("doc"))
+    earlier = again.groupBy("path", "path2").agg(F.collect_list("at").alias("earlier"))
     firsts = compact.join(earlier, ["path", "path2"], "left").select(
         F.col("path").alias("of"), F.col("path2").alias("of2"), F.col("doc").alias("first"), "earlier"
     )

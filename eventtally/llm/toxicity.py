@@ -13,7 +13,8 @@ runs over all rows.
 
 Defined results: a text that is null or has no word scores 0; without a labelled
 document of each kind every text does; a document labelled more than once counts
-with its largest label, null labels not at all; rows repeat as they are.
+with its largest label, null labels not at all; of equal texts one counts, with the largest label
+of any; rows repeat as they are.  Sentences end at ASCII's stops and line ends only, and only A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventtally.llm import arrays
 from eventtally.llm.tables import stage
 
-#: Labelled documents that the model is fitted on, at most; a hash of the id picks them.
+#: Labelled texts that the model is fitted on, at most, half of them for each label; a hash of the text picks them.
 FIT_ROWS = 20_000
 #: Features of the model, at most: those whose share of toxic documents stands out most.
 FEATURES = 4_096
@@ -68,13 +69,12 @@ class Bags:
 
     def features(self):
         """(words, hashes) for whole words and for each length of beginnings."""
-        runs = arrays.Runs(self.data, arrays.BASES[0])
         every = np.arange(len(self.starts))
-        yield every, runs.hashes(self.starts, self.ends)
+        yield every, arrays.word_hashes(self.data, self.starts, self.ends)
         for n in STEMS:
             long = every[self.ends - self.starts >= n]
             tag = arrays.mixed(np.array([n], np.uint64))
-            yield long, runs.hashes(self.starts[long], self.starts[long] + n) ^ tag
+            yield long, arrays.word_hashes(self.data, self.starts[long], self.starts[long] + n) ^ tag
 
     def hits(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word and place in `wanted` (sorted) of each feature found there."""
@@ -90,19 +90,33 @@ class Bags:
         return np.concatenate(words), np.concatenate(places)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, fit_rows: int) -> DataFrame:
-    """(text, toxic) of the labelled documents the model is fitted on; `fit_rows` ids are broadcast."""
+def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, fit_rows: int) -> tuple[DataFrame, list[float]]:
+    """(text, toxic) of the documents the model is fitted on, and what one of them stands for, by label.
+
+    Of the distinct labelled texts at most half of `fit_rows` for each label, the first by a hash; so rare
+    toxic ones are drawn as long as there are any, and copies and ids without a text take no place.
+    """
     known = (
         labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
-        .groupBy(F.col(id_column).alias("of")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("of"), "of").limit(fit_rows)
+        .groupBy(F.col(id_column).alias("of")).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
     )
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return stage(texts.join(F.broadcast(known), F.col("id") == F.col("of")).select("text", "toxic"), "toxicity-sample")
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    labelled = texts.select("id", "hash").join(known, F.col("id") == F.col("of")).groupBy("hash").agg(F.max("toxic").alias("toxic"), F.min("id").alias("of"))
+    labelled = stage(labelled, "toxicity-labels")
+    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    half = max(1, fit_rows // 2)
+    # Spark keeps the first of each task before they meet: `half` rows a label and task.
+    in_order = Window.partitionBy("toxic").orderBy(F.xxhash64("hash"), "hash")
+    picked = labelled.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= half)
+    picked = picked.select(F.col("hash").alias("wanted"), "of", "toxic")
+    found = texts.join(F.broadcast(picked), (F.col("hash") == F.col("wanted")) & (F.col("id") == F.col("of")))
+    weights = [max(1.0, counts.get(toxic, 0) / half) for toxic in (0, 1)]
+    return stage(found.select("text", "toxic", "hash").dropDuplicates(["hash"]).drop("hash"), "toxicity-sample"), weights
 
 
 def _select(sample: DataFrame, features: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes (sorted) and first weights of the features that stand out; the share of toxic documents."""
+    """Hashes (sorted) and first weights of the features that stand out; the share of toxic documents in the sample."""
     totals = sample.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     positive, n = float(totals["toxic"] or 0), float(totals["n"])
     if not 0 < positive < n:
@@ -145,8 +159,10 @@ def _select(sample: DataFrame, features: int) -> tuple[np.ndarray, np.ndarray, f
     return hashes[order], odds[order], share
 
 
-def _descend(toxic, sentences, hit_sentence, hit_feature, sentence_document, first, share) -> tuple[np.ndarray, float]:
-    """Weights and bias that make the labels likeliest; Adam over the whole sample."""
+def _descend(toxic, sentences, hit_sentence, hit_feature, sentence_document, first, share, stands_for) -> tuple[np.ndarray, float]:
+    """Weights and bias that make the labels likeliest, each document counting for as many as it stands for; Adam over
+    the whole sample."""
+    stands_for = stands_for / stands_for.mean()
     values = np.append(first, np.log(share / max(1.0, sentences.mean()) / 4))
     mean, square = np.zeros_like(values), np.zeros_like(values)
     hit_sentences = len(sentence_document)
@@ -154,7 +170,7 @@ def _descend(toxic, sentences, hit_sentence, hit_feature, sentence_document, fir
     for step in range(1, STEPS + 1):
         z = values[-1] + np.bincount(hit_sentence, values[:-1][hit_feature], hit_sentences)
         amount = np.bincount(sentence_document, np.logaddexp(0, z), len(toxic)) + plain * np.logaddexp(0, values[-1])
-        slope = np.where(toxic == 1, -1 / np.expm1(np.clip(amount, 1e-9, 500)), 1.0) / len(toxic)
+        slope = stands_for * np.where(toxic == 1, -1 / np.expm1(np.clip(amount, 1e-9, 500)), 1.0) / len(toxic)
         by_sentence = slope[sentence_document] / (1 + np.exp(-np.clip(z, -50, 50)))
         gradient = np.append(
             np.bincount(hit_feature, by_sentence[hit_sentence], len(first)) + PULL / len(toxic) * values[:-1],
@@ -170,7 +186,7 @@ def fit(
     fit_rows: int = FIT_ROWS, features: int = FEATURES,
 ) -> Model:
     """The model learned from `labels` of `docs`."""
-    sample = _sample(docs, labels, id_column, text, label, fit_rows)
+    sample, stands_for = _sample(docs, labels, id_column, text, label, fit_rows)
     wanted, first, share = _select(sample, features)
     if not len(wanted):
         return Model(wanted, first, -np.inf)
@@ -195,7 +211,8 @@ def fit(
     at = bags.column("at").combine_chunks().flatten().to_numpy().astype(np.int64)
     keys, hit_sentence = np.unique(document << 32 | at, return_inverse=True)
     weights, bias = _descend(
-        toxic, bags.column("sentences").to_numpy(), hit_sentence, hits.flatten().to_numpy(), keys >> 32, first, share
+        toxic, bags.column("sentences").to_numpy(), hit_sentence, hits.flatten().to_numpy(), keys >> 32, first, share,
+        np.array(stands_for)[toxic],
     )
     return Model(wanted, weights, bias)
 

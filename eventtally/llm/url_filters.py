@@ -35,17 +35,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys_of(url: Column) -> Column:
-    """(kind, value) of everything that could list the URL."""
+def keys_of(url: Column, domain_depth: Column, prefix_depth: Column) -> Column:
+    """(kind, value) of everything that could list the URL, if no listed domain has more labels and no listed
+    prefix more segments than these."""
     host = host_of(url)
     labels = F.split(host, r"\.")
+
+    def up_to(most: Column) -> Column:
+        return F.slice(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), 2, F.greatest(most, F.lit(1)))
+
     domains = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("value")),
+        up_to(F.least(F.size(labels), domain_depth)),
+        lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -i, i), ".").alias("value")),
     )
     parts = F.filter(F.split(path_of(url), "/"), lambda part: part != "")
     prefixes = F.transform(
-        F.slice(F.sequence(F.lit(0), F.size(parts)), 2, F.greatest(F.size(parts), F.lit(1))),
+        up_to(F.least(F.size(parts), prefix_depth)),
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("value")),
     )
     return F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("value"))), domains, prefixes)
@@ -70,7 +75,13 @@ def evaluate(captures: DataFrame, held: DataFrame, id_column: str = "id", url: s
     """(id, url, fetched_at, verdict, list, kind, value, listed_at, n_active) of every capture."""
     rows = captures.select(F.col(id_column).alias("id"), F.col(url).cast("string").alias("url"), F.col(at).alias("fetched_at"))
     known = F.coalesce(host_of(F.col("url")) != "", F.lit(False)) & F.col("fetched_at").isNotNull()
-    asked = rows.distinct().select("*", F.explode_outer(F.when(known, keys_of(F.col("url")))).alias("key"))
+    # A URL of thousands of segments is asked about no deeper than the lists go.
+    depth = held.agg(
+        F.coalesce(F.max(F.when(F.col("kind") == "domain", F.size(F.split("value", r"\.")))), F.lit(0)).alias("domain"),
+        F.coalesce(F.max(F.when(F.col("kind") == "prefix", F.size(F.split("value", "/")) - 1)), F.lit(0)).alias("prefix"),
+    ).first()
+    keys = keys_of(F.col("url"), F.lit(depth["domain"]), F.lit(depth["prefix"]))
+    asked = rows.distinct().select("*", F.explode_outer(F.when(known, keys)).alias("key"))
     lists = held.select(
         F.col("list"), F.col("kind").alias("of_kind"), F.col("value").alias("of_value"), "verdict", "valid_from", "valid_to"
     )

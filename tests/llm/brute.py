@@ -64,10 +64,11 @@ def without_repeats(rows: list[tuple[int, str | None]], window: int = 50) -> lis
     return found
 
 
-def without_boilerplate(rows, ratio: float, least: int) -> list[str | None]:
+def without_boilerplate(rows, ratio: float, least: int, distinct: bool = False) -> list[str | None]:
     """Texts of (host, text) rows without the lines that too many of their host's have."""
-    pages, on = Counter(h for h, _ in rows), Counter()
-    for host, text in rows:
+    counted = list(dict.fromkeys(rows)) if distinct else rows
+    pages, on = Counter(h for h, _ in counted), Counter()
+    for host, text in counted:
         on.update((host, line) for line in {x.strip(" ") for x in (text or "").split("\n")} - {""} if text is not None)
     bad = {key for key, n in on.items() if n >= least and n > pages[key[0]] * ratio}
     return [

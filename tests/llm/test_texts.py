@@ -1,11 +1,15 @@
+import hashlib
+import math
 import random
+import re
+import unicodedata
 
+import numpy as np
 import pytest
 from brute import groups, near_pairs, without_boilerplate, without_repeats
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from eventtally.llm import arrays, language_id, line_dedup, minhash, substring_dedup, toxicity
+from eventtally.llm import arrays, language_id, line_dedup, minhash, pipeline, substring_dedup, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -106,7 +110,7 @@ def test_minhash_one_id_on_two_texts(spark):
     nines = {key: got.pop(key) for key in rows[5:] if key in got}
     assert got == {(3, b): (3, True), (5, a): (5, True), (5, b): (3, False), (6, a + " more"): (5, False), (8, b + " more"): (3, False)}
     assert len(nines) == 3 and {g for g, _ in nines.values()} == {9} and sum(kept for _, kept in nines.values()) == 1
-    left = corpus_pipeline.one_of_each_group(spark, df, SMALL).collect()
+    left = pipeline.one_of_each_group(spark, df, SMALL).collect()
     assert sorted(tuple(r) for r in left if r.doc_id < 9) == [(3, b), (5, a)]
     assert [r.doc_id for r in left].count(9) == 1
 
@@ -255,3 +259,117 @@ def test_toxicity_without_labels(spark):
     for rows in ([], [(1, 0)], [(1, 1)], [(None, None)]):
         model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
         assert [r.score for r in toxicity.score(docs, model).collect()] == [0.0, 0.0]
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_whose_polynomial_hashes_agree_are_told_apart(spark):
+    # Polynomials in any odd base agree on these two modulo 2^64.
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}")], "doc_id long, text string")
+    cut = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeated(df).collect()}
+    assert cut == {1: 0, 2: 0}
+    short = spark.createDataFrame([(1, f"a b c {one}"), (2, f"a b c {other}")], "doc_id long, text string")
+    assert {r.kept for r in minhash.near_duplicates(short).collect()} == {True}
+    # The same as words of a run.
+    runs = [" ".join({"a": "x", "b": "y"}[c] for c in thue_morse(4096)), " ".join({"a": "y", "b": "x"}[c] for c in thue_morse(4096))]
+    windows = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.drop_repeated(windows).collect())
+    assert found == [(i, n, gone) for i, (n, gone, _) in enumerate(without_repeats(list(enumerate(runs))))]
+
+
+def test_hashes_of_words_and_runs():
+    rng = random.Random(9)
+    words = list({bytes(rng.choice([0, 1, 97, 255]) for _ in range(rng.randint(1, 40))) for _ in range(3000)})
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    sizes = np.array([len(w) for w in words])
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    found = arrays.word_hashes(data, starts, starts + sizes)
+    assert len(np.unique(found)) == len(words)
+    twice = arrays.word_hashes(np.concatenate([data[5:6], data]), starts + 1, starts + sizes + 1)
+    assert (twice == found).all()
+    values = np.array([rng.randrange(3) for _ in range(400)], np.uint64)
+    runs = arrays.Runs(values)
+    of = {}
+    for _ in range(6000):
+        a = rng.randrange(390)
+        b = rng.randint(a + 1, min(400, a + 70))
+        of.setdefault(tuple(values[a:b].tolist()), set()).add((a, b))
+    pairs = [(run, int(runs.hashes(np.array([a]), np.array([b]))[0])) for run, places in of.items() for a, b in places]
+    assert len({h for _, h in pairs}) == len(of) and len(set(pairs)) == len(of)
+    both = np.array([(a, b) for places in of.values() for a, b in places])
+    assert runs.hashes(both[:, 0], both[:, 1]).tolist() == [h for _, h in pairs]
+    digests = arrays.digests(data, starts, starts + sizes, np.array([0, 1, 0]), np.array([2, 2, 1]))
+    wanted = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in (words[:2], words[1:2], words[:1])]
+    assert [d.tobytes() for d in digests] == wanted
+
+
+def test_line_dedup_by_ratio_alone_and_without_broadcast(spark):
+    rows = [("s", f"own {i}\nshared") for i in range(12)] + [("one", "x\ny"), (None, "shared"), (None, "k")]
+    df = spark.createDataFrame([(i, h, t, 7) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string, n_lines int")
+    expected = without_boilerplate(rows, 0.1, 1)
+    for most in (0, 1000):
+        found = line_dedup.drop_boilerplate(df, counts=("n_lines", "n_dropped"), broadcast_lines=most)
+        assert found.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"]
+        assert [r.text for r in found.orderBy("doc_id").collect()] == expected
+    plan = line_dedup.drop_boilerplate(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_toxicity_of_rare_labels(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(invented(rng, 12))) for i in range(20_000)]
+    toxic = set(range(0, 20_000, 700))
+    rows = [(i, t + (". you utter scumbag fool" if i in toxic else "")) for i, t in rows] + [(50_000 + i, None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, fit_rows=600)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(scored[i] for i in toxic) >= 0.5 and sum(s >= 0.5 for i, s in scored.items() if i not in toxic) <= 20
+
+
+def plain_features(word: bytes):
+    one = lambda w: int(arrays.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    yield one(word)
+    for n in toxicity.STEMS:
+        if len(word) >= n:
+            yield one(word[:n]) ^ int(arrays.mixed(np.array([n], np.uint64))[0])
+
+
+def test_noisy_or_equals_plain_loops(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    assert weights
+    for r in toxicity.score(docs, model).collect():
+        clean, offending = 1.0, 0
+        lowered = (r.text or "").encode()
+        lowered = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in lowered)
+        for sentence in re.split(rb"(?<=[.!?\n])", lowered):
+            found = re.findall(rb"[a-z0-9\x80-\xff]+", sentence)
+            if found:
+                z = model.bias + sum(weights.get(f, 0.0) for w in found for f in plain_features(w))
+                p = 1 / (1 + math.exp(-max(-500, min(500, z))))
+                clean *= 1 - p
+                offending += p >= toxicity.OFFENDING
+        assert math.isclose(r.score, 1 - clean, rel_tol=1e-6, abs_tol=1e-9) and len(r.offending) == offending
+
+
+def test_cosines_equal_plain_loops(spark, docs):
+    names, prototypes = model = language_id.learn(docs)
+    rows = [r for r in language_id.identify(docs, model, columns=("lang_pred", "score", "grams")).collect() if r.text and len(r.text) < 1500][:40]
+    letter = {}
+    for r in rows:
+        points = re.sub(r" +", " ", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in f" {r.text.lower()} "))
+        total = np.zeros(language_id.WIDTH)
+        grams = [points[i : i + 3] for i in range(len(points) - 2)]
+        for gram in grams:
+            a, b, c = (letter.setdefault(x, language_id._letter(ord(x)).astype(int)) for x in gram)
+            total += np.roll(a, 2) * np.roll(b, 1) * c
+        cosines = prototypes @ total / (np.linalg.norm(total) or 1)
+        assert r.grams == len(set(grams)) and names[int(cosines.argmax())] == r.lang_pred
+        assert math.isclose(max(0, cosines.max()), r.score, abs_tol=1e-4)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -149,3 +150,22 @@ def test_digests_of_the_contract(spark, tmp_path):
     assert rows[1].decoded_sha256 == hashlib.sha256(b"a small text, with words").hexdigest()
     packed = queries.op5_packing(spark, str(tmp_path)).where("doc_id = 2").first()
     assert packed.ids_crc32 == zlib.crc32(b"\0" * 4) and packed.doc_tokens == 1
+
+
+def test_very_long_words(library, monkeypatch):
+    rng = random.Random(8)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = bpe.merges_of_ranks(RANKS), bpe.merges_of_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["".join(rng.choice(signs) for _ in range(n)) for n, signs in ((3_000, "abcdefghijklmnopqrstuvwxyz"), (4_000, "ab"), (2_500, "aaab"), (1_500, "日本é"), (5, "abc"))]
+    texts = [words[0], words[4], words[1], words[2] + " " + words[4], words[3]]
+    for merges, encode in ((own[0], library.encode_ordinary), (own[1], lambda t: tokenizer.encode(t, add_special_tokens=False).ids)):
+        tokens, at = bpe.Encoder(merges).encode(pa.array(texts))
+        assert [tokens[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "LONG_BYTES", 0)
+    tokens, at = bpe.Encoder(own[0]).encode(pa.array(ODD[1:]))
+    assert [tokens[at[i] : at[i + 1]].tolist() for i in range(len(ODD) - 1)] == [library.encode_ordinary(t) for t in ODD[1:]]
+    began = time.time()
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(600_000))
+    tokens, _ = bpe.Encoder(own[0]).encode(pa.array([long]))
+    ranks = {rank: piece for piece, rank in bpe.read_ranks(RANKS).items()}
+    assert b"".join(ranks[t] for t in tokens.tolist()).decode() == long and time.time() - began < 20

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -139,3 +140,17 @@ def test_url_filters_on_empty_tables(spark):
     captures = spark.createDataFrame([(1, "http://a.org/" + "x/" * 2000, 5)], "id long, url string, fetched_at long")
     assert [r.verdict for r in url_filters.evaluate(captures, url_filters.intervals(entries)).collect()] == ["none"]
     assert url_filters.evaluate(captures.limit(0), url_filters.intervals(entries)).count() == 0
+
+
+def test_very_long_urls(spark):
+    deep = "http://a.example/" + "/".join(f"s{i}" for i in range(40_000))
+    wide = "http://" + ".".join("x" for _ in range(20_000)) + ".a.example/p"
+    captures = spark.createDataFrame([(1, deep, 10), (2, wide, 10), (3, "http://b.a.example/s0/s1", 10)], "id long, url string, fetched_at long")
+    entries = spark.createDataFrame(
+        [("l", "prefix", "a.example/s0/s1", "allow", "add", 1), ("l", "domain", "a.example", "block", "add", 1), ("l", "prefix", "b.a.example/s0/s1/s2", "allow", "add", 1)],
+        "list string, kind string, value string, verdict string, action string, at long",
+    )
+    began = time.time()
+    found = {r.id: (r.verdict, r.value) for r in url_filters.evaluate(captures, url_filters.intervals(entries)).collect()}
+    assert found == {1: ("allow", "a.example/s0/s1"), 2: ("block", "a.example"), 3: ("block", "a.example")}
+    assert time.time() - began < 20
