@@ -30,7 +30,9 @@ from eventtally.llm import arrays
 from eventtally.llm.tables import stage
 
 #: Labelled texts that the model is fitted on, at most, half of them for each label; a hash of the text picks them.
-FIT_ROWS = 20_000
+FIT_ROWS = 4_000
+#: Longer texts, in characters, are not fitted on, so what the driver takes is bounded.
+FIT_CHARS = 50_000
 #: Features of the model, at most: those whose share of toxic documents stands out most.
 FEATURES = 4_096
 #: A feature is in so many sampled documents at least, and its share stands out by so many standard errors.
@@ -93,7 +95,7 @@ class Bags:
 def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, fit_rows: int) -> tuple[DataFrame, list[float]]:
     """(text, toxic) of the documents the model is fitted on, and what one of them stands for, by label.
 
-    Of the distinct labelled texts at most half of `fit_rows` for each label, the first by a hash; so rare
+    Of the distinct labelled texts that are no longer than FIT_CHARS at most half of `fit_rows` for each label, the first by a hash; so rare
     toxic ones are drawn as long as there are any, and copies and ids without a text take no place.
     """
     known = (
@@ -101,14 +103,17 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label
         .groupBy(F.col(id_column).alias("of")).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
     )
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    texts = texts.withColumn("hash", F.xxhash64("text"))
+    texts = texts.where(F.length("text") <= FIT_CHARS).withColumn("hash", F.xxhash64("text"))
     labelled = texts.select("id", "hash").join(known, F.col("id") == F.col("of")).groupBy("hash").agg(F.max("toxic").alias("toxic"), F.min("id").alias("of"))
     labelled = stage(labelled, "toxicity-labels")
     counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     half = max(1, fit_rows // 2)
-    # Spark keeps the first of each task before they meet: `half` rows a label and task.
-    in_order = Window.partitionBy("toxic").orderBy(F.xxhash64("hash"), "hash")
-    picked = labelled.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= half)
+    # The hash leaves some more than `half` of each label, so few rows meet in the task that takes the first.
+    order = F.xxhash64("hash")
+    rates = F.create_map(*[F.lit(x) for toxic in (0, 1) for x in (toxic, min(1.0, 1.5 * (half + 100) / max(1, counts.get(toxic, 0))))])
+    likely = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.element_at(rates, F.col("toxic"))
+    in_order = Window.partitionBy("toxic").orderBy(order, "hash")
+    picked = labelled.where(likely).withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= half)
     picked = picked.select(F.col("hash").alias("wanted"), "of", "toxic")
     found = texts.join(F.broadcast(picked), (F.col("hash") == F.col("wanted")) & (F.col("id") == F.col("of")))
     weights = [max(1.0, counts.get(toxic, 0) / half) for toxic in (0, 1)]
