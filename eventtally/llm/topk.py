@@ -107,14 +107,26 @@ def _block_scores(block: pa.Table, k: int) -> Iterator[pa.Table]:
         })
 
 
+def _sizes(vectors: DataFrame) -> tuple[int, int]:
+    """How many there are, and the largest weight, signs aside."""
+    # The least long has no positive counterpart; -(x + 1) has the same width as x.
+    most = F.array_max(F.transform("weights", lambda x: F.when(x < 0, -(x + 1)).otherwise(x)))
+    row = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(most).alias("most")).first()
+    return row["n"], row["most"] or 0
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, both given by `weights`.
 
     Every block of candidates meets every group of queries, which is the
     exhaustive search; rows go out once a group or block of the other side.
     """
-    blocks = -(-max(candidates.count(), 1) // BLOCK_ROWS)
-    groups = -(-max(queries.count(), 1) // QUERIES_A_GROUP)
+    (n_candidates, most), (n_queries, other) = _sizes(candidates), _sizes(queries)
+    blocks = -(-max(n_candidates, 1) // BLOCK_ROWS)
+    groups = -(-max(n_queries, 1) // QUERIES_A_GROUP)
+    # What travels are the smallest integers that hold all weights.
+    kind = next((name for name, size in (("tinyint", 7), ("smallint", 15), ("int", 31)) if max(most, other) < 1 << size), "bigint")
+    candidates, queries = (df.withColumn("weights", F.col("weights").cast(f"array<{kind}>")) for df in (candidates, queries))
     rows = candidates.select(
         F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "id", "weights", F.lit(False).alias("is_query"),
