@@ -265,7 +265,7 @@ def test_merge_goes_on_when_batches_come_in_between(spark, stores, monkeypatch):
     assert stores.ledger.read().count() == 3 and len(stores.ledger.snapshot().parts) == 1
 
 
-def test_key_index_spares_data_files(spark, stores):
+def test_key_index_spares_data_files(spark, stores, monkeypatch):
     for n in range(6):
         ingest_batch(stores, records_frame(spark, [event_json(user=f"u{n}-{i}", ts=T0 + 86400 * n + i) for i in range(500)]), f"b-{n}")
     ledger = stores.ledger
@@ -277,11 +277,9 @@ def test_key_index_spares_data_files(spark, stores):
         assert bid in [p.by for p in held] and len(held) <= 2 and ledger.exists(key)
     opened = []
     real = Ledger.load
-    Ledger.load = lambda self, some: opened.append(list(some)) or real(self, some)
-    try:
+    with monkeypatch.context() as patch:
+        patch.setattr(Ledger, "load", lambda self, some: opened.append(list(some)) or real(self, some))
         assert not ledger.exists("0" * 64)
-    finally:
-        Ledger.load = real
     assert opened == [[]]
     # A share of absent keys that pass for some part, of 6 x 2,000 trials: about 1 % by design.
     absent = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("idempotency_key"))
