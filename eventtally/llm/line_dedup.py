@@ -40,14 +40,15 @@ def boilerplate(
     its number of pages, so an array holds them.
     """
     pages = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
-    # Of a text only its digest travels.
-    digest = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")) if distinct_pages else F.lit(None)
-    pages = pages.withColumn("digest", digest)
-    many = F.count_distinct("digest") if distinct_pages else F.count(F.lit(1))
+    columns, many = ["host"], F.count(F.lit(1))
+    if distinct_pages:
+        # Of a text only its digest travels.
+        pages = pages.withColumn("digest", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")))
+        columns, many = ["host", "digest"], F.count_distinct("digest")
     totals = pages.groupBy("host").agg(many.alias("pages"))
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
     counts = (
-        pages.select("host", "digest", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key"))
+        pages.select(*columns, F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key"))
         .groupBy("host", "key").agg(many.alias("found"))
         .where(F.col("found") >= least_pages)
     )
