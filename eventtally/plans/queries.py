@@ -672,7 +672,7 @@ def concurrent_ledger(spark, folder):
     once, all of a batch's days show together, and counters add up."""
     def run(stores: Stores) -> None:
         sent = new_workspace(spark, "concurrent")
-        day = F.floor(F.get_json_object("value", "$.timestamp") / clock.DAY)
+        day = F.floor(F.expr("try_cast(get_json_object(value, '$.timestamp') AS BIGINT)") / clock.DAY)
         _deliveries(spark, folder).withColumn("third", F.coalesce(F.pmod(day, F.lit(3)), F.lit(0)).cast("int")).write.parquet(sent)
 
         def write(number: int) -> None:
