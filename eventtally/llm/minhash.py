@@ -9,7 +9,8 @@ weighted Jaccard similarity as probability (Ertl, "BagMinHash").  Processes are
 followed only as long as their next point may still come before a register's.
 
 Signatures are cut into bands, documents that share a band's value meet in a
-bucket, and the multisets of those that meet are compared exactly:
+bucket, and the whole multisets of those that meet are compared, a run standing as a 64-bit hash
+of its words (no polynomial, so no words cancel out):
 
 1. Documents with equal multisets are one class of copies, with a number and one
    representative (their smallest id and text hash).
