@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventtally.operators import dedup, project, validate
 from eventtally.schema import CORRUPT, RETRY_SECONDS, ROLLUP_USERS, SKETCHES
-from eventtally.sources import folders, payloads, records as record_source, tables
+from eventtally.sources import folders, keybuckets, payloads, records as record_source, tables
 from eventtally.sources.commits import APPEND, CommitTable, Overtaken, Part
 from eventtally.sources.ledger import Ledger
 
@@ -34,10 +34,13 @@ class Stores:
 
     spark: SparkSession
     root: str
+    #: How the keys of large parts of the ledger are laid out for the lookup of large batches.
+    key_buckets: int = keybuckets.BUCKETS
+    bucketed_rows: int = keybuckets.LEAST_ROWS
 
     @property
     def ledger(self) -> Ledger:
-        return Ledger(self.spark, f"{self.root}/ledger")
+        return Ledger(self.spark, f"{self.root}/ledger", self.key_buckets, self.bucketed_rows)
 
     @property
     def quarantine(self) -> tables.BatchTable:
@@ -122,9 +125,11 @@ def new_events(
     order: tuple[str, ...] = ("offset", "partition"), broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """The events that `parts` of the ledger do not hold, one row per key."""
+    small = stats["deserialized"] <= broadcast_keys
+    bucketed = [] if small else ledger.bucketed(stats["spans"], parts)
     keys = events.filter("key_has_separator") if stats["with_separator"] else None
-    seen = ledger.seen(stats["spans"], stats["with_separator"] > 0, parts, remember, keys)
-    if stats["deserialized"] <= broadcast_keys:
+    seen = ledger.seen(stats["spans"], stats["with_separator"] > 0, parts, remember, keys, bucketed)
+    if small:
         # The batch is known to be small: look its keys up where the ledger
         # lies, so that the ledger is never shuffled.  The hits are no more
         # than the batch's keys, as the ledger has one row per key and date.
@@ -134,6 +139,9 @@ def new_events(
     # Only keys are shuffled to find the new ones; payloads of the others stay
     # where they are, if the new keys turn out to be few.
     keys = events.select("idempotency_key", "event_date").distinct()
+    if bucketed:
+        # The batch's keys go to where those of the ledger's large parts lie; what is left meets the small parts.
+        keys = dedup.storable(keys, ledger.seen_in_buckets(stats["spans"], bucketed, remember))
     fresh = dedup.storable(keys, seen).select("idempotency_key", "event_date")
     return dedup.last_in_batch(events.join(fresh, ["idempotency_key", "event_date"], "left_semi"), order)
 

@@ -503,6 +503,8 @@ FROM raw GROUP BY batch_id""",
 SELECT idempotency_key, CAST(1 AS BIGINT) AS rows, 'load-1' AS bid FROM stored GROUP BY 1""",
     "merged_ledger": _STORED_LEDGER,
     "merged_counters": _STORED_COUNTERS,
+    "bucketed_ledger": _STORED_LEDGER,
+    "bucketed_counters": _STORED_COUNTERS,
     "admission_answers": f"""WITH {_DAMAGED},
 lists AS (
   SELECT 'list ' || request_id AS request_id, count(*) AS n,

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -792,6 +793,25 @@ def merged_counters(spark, folder):
     return _counter_view(_merged_run(spark, folder))
 
 
+def _bucketed_run(spark, folder) -> Stores:
+    """Every batch is looked up like a large one: without a shuffle of the ledger in days whose keys lie in buckets, by a
+    shuffled join in the others."""
+    def run(stores: Stores) -> None:
+        stores = replace(stores, key_buckets=8, bucketed_rows=20)
+        for number, batch in _staged(spark, folder, stores):
+            ingest_batch(stores, batch, f"load-{number:06d}", broadcast_keys=0)
+
+    return _once(spark, folder, "bucketed", run)
+
+
+def bucketed_ledger(spark, folder):
+    return _ledger_view(_bucketed_run(spark, folder))
+
+
+def bucketed_counters(spark, folder):
+    return _counter_view(_bucketed_run(spark, folder))
+
+
 def late_events(spark, folder):
     """Errors reach the ledger three days after the other events, purchases ten;
     the rollup of a ten-day window after the refresh that follows each."""
@@ -910,5 +930,5 @@ QUERIES = (
     stream_first_arrivals, dlt_replay, dlt_open, ledger_retention, key_exists, late_events,
     letters_expired, stored_remembered, merged_ledger, merged_counters, admission_answers, admitted_ledger, end_to_end,
     stream_remembered, stream_exact_users, refresh_stream_rollup, stored_sketches, poison_letters, poison_ledger,
-    concurrent_ledger, empty_batches, stream_rate_limited,
+    concurrent_ledger, empty_batches, stream_rate_limited, bucketed_ledger, bucketed_counters,
 )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventtally.schema import LEDGER
-from eventtally.sources import keyindex
+from eventtally.sources import keybuckets, keyindex
 from eventtally.sources.commits import APPEND, MERGE, CommitTable, Part, Snapshot, in_ranges
 
 # Merged parts go by this and a name, which no batch's name has.
@@ -32,9 +32,12 @@ class Ledger(CommitTable):
     """A batch is one commit of a part a day.  Writers do not wait for each other: each looks its keys up
     in a snapshot, and when it commits, in what others have committed since."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(
+        self, spark: SparkSession, root: str, buckets: int = keybuckets.BUCKETS, bucketed_rows: int = keybuckets.LEAST_ROWS
+    ):
         super().__init__(spark, root, LEDGER, "event_timestamp")
         self.index = keyindex.KeyIndex(spark, f"{root}/keys")
+        self.buckets = keybuckets.KeyBuckets(spark, f"{root}/keys-by-hash", buckets, bucketed_rows)
 
     def dates(self) -> list[dt.date]:
         """Days that hold events."""
@@ -42,10 +45,10 @@ class Ledger(CommitTable):
 
     def seen(
         self, spans: Spans, with_separator: bool, parts: Iterable[Part], since: Column | None = None,
-        keys: DataFrame | None = None,
+        keys: DataFrame | None = None, bucketed: Iterable[Part] = (),
     ) -> DataFrame:
         """(idempotency_key, event_date, everywhere): keys in `parts` that may refuse keys of a batch, on
-        their date or on any.
+        their date or on any.  The batch's days are left out of those `bucketed`, which `seen_in_buckets` looks up.
 
         `spans` has the batch's first and last event second per day.  Equal keys mean equal timestamps
         unless a field holds the separator.  So only parts of the batch's days whose times meet the
@@ -56,20 +59,23 @@ class Ledger(CommitTable):
         the key index does not rule out for `keys`, the batch's keys with a separator.  `since` bounds how
         long a key is remembered across dates; on its own date it is never stored again, however old.
         """
-        remembered = F.lit(True) if since is None else F.col("received_at") >= since
         parts = list(parts)
-
-        def columns(rows: DataFrame) -> DataFrame:
-            return rows.select("idempotency_key", "event_date", remembered.alias("everywhere"))
-
-        near = [p for p in parts if p.day in spans and p.low <= spans[p.day][1] and spans[p.day][0] <= p.high]
-        meets = in_ranges(F.col("event_timestamp"), [spans[p.day] for p in near], _DAY_SECONDS)
-        known = columns(self.load(near).filter(meets))
+        skipped = {part.folder for part in bucketed}
+        near = [part for part in _near(parts, spans) if part.folder not in skipped]
+        known = _seen_columns(_meeting(self.load(near), near, spans), since)
         if with_separator:
             likely = parts if keys is None else self.index.holding(parts, keys)
-            known = known.unionByName(columns(self.load(likely).filter("key_has_separator")).filter("everywhere"))
+            known = known.unionByName(_seen_columns(self.load(likely).filter("key_has_separator"), since).filter("everywhere"))
         return known
 
+    def bucketed(self, spans: Spans, parts: Iterable[Part]) -> list[Part]:
+        """The parts near a batch whose keys lie in buckets."""
+        return self.buckets.holding(_near(parts, spans))
+
+    def seen_in_buckets(self, spans: Spans, parts: list[Part], since: Column | None = None) -> DataFrame:
+        """The same as `seen` for `bucketed` parts, dealt by the hash of the key: a join on it does not shuffle them."""
+        return _seen_columns(_meeting(self.buckets.load(parts), parts, spans), since)
+
     def seen_table(self) -> DataFrame:
         """The seen keys with their receive time, a projection of the ledger."""
         return self.read().select("idempotency_key", "event_date", "received_at")
@@ -83,9 +89,14 @@ class Ledger(CommitTable):
     def stage_batch(self, rows: DataFrame, bid: str) -> list[Part]:
         """Write a batch's rows and their key index, not in force yet."""
         parts = self.stage(rows.withColumn("bid", F.lit(bid)), bid, _ORDER, _FORMAT)
-        self.index.add(self.load(parts), parts)
+        self._index(parts)
         return parts
 
+    def _index(self, parts: list[Part]) -> None:
+        rows = self.load(parts)
+        self.index.add(rows, parts)
+        self.buckets.add(rows, parts)
+
     def append(self, base: Snapshot, parts: list[Part], bid: str) -> Snapshot:
         """Put a batch in force; `Overtaken` if others committed since `base`."""
         return self.commit(base, APPEND, bid, parts)
@@ -107,7 +118,7 @@ class Ledger(CommitTable):
 
         def rewritten(old: list[Part]) -> list[Part]:
             new = self.stage(self.load(old), _MERGED + by, _ORDER, _FORMAT)
-            self.index.add(self.load(new), new)
+            self._index(new)
             return new
 
         return len(self.rearrange(MERGE, by, chosen, rewritten))
@@ -115,4 +126,19 @@ class Ledger(CommitTable):
     def vacuum(self, *args, **options) -> int:
         gone = super().vacuum(*args, **options)
         self.index.vacuum({name for name in self._data()})
+        self.buckets.vacuum(f"{self.root}/data")
         return gone
+
+
+def _near(parts: Iterable[Part], spans: Spans) -> list[Part]:
+    """Parts of a batch's days whose times meet the batch's."""
+    return [p for p in parts if p.day in spans and p.low <= spans[p.day][1] and spans[p.day][0] <= p.high]
+
+
+def _meeting(rows: DataFrame, near: list[Part], spans: Spans) -> DataFrame:
+    return rows.filter(in_ranges(F.col("event_timestamp"), [spans[p.day] for p in near], _DAY_SECONDS))
+
+
+def _seen_columns(rows: DataFrame, since: Column | None) -> DataFrame:
+    remembered = F.lit(True) if since is None else F.col("received_at") >= since
+    return rows.select("idempotency_key", "event_date", remembered.alias("everywhere"))

@@ -96,6 +96,66 @@ def test_shuffled_lookup_equals_broadcast_lookup(spark, stores, tmp_path):
     assert contents(stores) == contents(other)
 
 
+def test_large_batches_leave_bucketed_keys_where_they_are(spark, tmp_path):
+    """Batches that meet bucketed parts, parts without buckets, and both: as with the broadcast lookup."""
+    plain, laid_out = (ingest.Stores(spark, str(tmp_path / name), 4, rows) for name, rows in (("plain", 10**9), ("laid-out", 40)))
+    def batch(first, last, day, offset):
+        return [event_json(user=f"u{i}", ts=T0 + day * 86400 + i, channel=f"{offset}") for i in range(first, last)]
+    batches = [
+        batch(0, 60, 0, 0) + batch(0, 10, 1, 0), batch(30, 80, 0, 1) + batch(5, 70, 1, 1),
+        batch(0, 90, 0, 2) + batch(0, 90, 1, 2) + [event_json(user="a|b", ts=T0 + 5), event_json(name="product_view|a", user="b", ts=T0 + 5)],
+    ]
+    for n, values in enumerate(batches):
+        records = records_frame(spark, values)
+        want = ingest_batch(plain, records, f"b-{n}")
+        assert ingest_batch(laid_out, records, f"b-{n}", broadcast_keys=0) == want
+    assert contents(laid_out) == contents(plain)
+    ledger = laid_out.ledger
+    parts = list(ledger.snapshot().parts.values())
+    spans = {part.day: (T0 - 10**6, T0 + 10**6) for part in parts}
+    large = ledger.bucketed(spans, parts)
+    assert {part.folder for part in large} == {part.folder for part in parts if part.rows >= 40} and 0 < len(large) < len(parts)
+    # Another session's catalog does not know the table; the files are enough.
+    spark.sql(f"DROP TABLE {ledger.buckets.table}")
+    events = ledger.read().drop("received_at", "bid").withColumns({"offset": F.lit(0), "partition": F.lit(0)})
+    stats = {"spans": spans, "with_separator": 0, "deserialized": 10**9}
+    assert ingest.new_events(events, ledger, parts, stats).count() == 0
+    # The scan of the buckets goes into its join without an exchange, the batch's keys into as many partitions.
+    keys = events.select("idempotency_key", "event_date").distinct()
+    seen = ledger.seen_in_buckets(spans, large)
+    with_threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = dedup.storable(keys, seen)
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
+    side = text[text.index("LeftAnti"):].split("+- Sort")
+    scans = [part for part in side if ledger.buckets.table in part]
+    assert len(scans) == 1 and "Bucketed: true" in scans[0] and "Exchange" not in scans[0], text
+    assert "hashpartitioning(idempotency_key" in text and ", 4)" in text
+
+
+def test_merges_lay_keys_out_and_vacuum_clears_them(spark, tmp_path):
+    stores = ingest.Stores(spark, str(tmp_path / "deployment"), 2, 3)
+    for n in range(3):
+        ingest_batch(stores, records_frame(spark, [event_json(user=f"u{n}{i}", ts=T0 + n) for i in range(2)]), f"b-{n}")
+    ledger = stores.ledger
+    spans = {day: (0, 2 * T0) for day in ledger.dates()}
+    assert ledger.bucketed(spans, ledger.snapshot().parts.values()) == []
+    ledger.merge_day(ledger.dates()[0], "upkeep")
+    parts = list(ledger.snapshot().parts.values())
+    assert ledger.bucketed(spans, parts) == parts and ledger.buckets.load(parts).count() == 6
+    for n in (3, 4):
+        ingest_batch(stores, records_frame(spark, [event_json(user=f"u{n}{i}", ts=T0 + n) for i in range(4)]), f"b-{n}", broadcast_keys=0)
+    ledger.merge_day(ledger.dates()[0], "upkeep-2")
+    assert len(folders.child_folders(spark, ledger.buckets.root, "commit=")) == 4
+    ledger.vacuum(keep_hours=0)
+    assert len(folders.child_folders(spark, ledger.buckets.root, "commit=")) == 1
+    got = ingest_batch(stores, records_frame(spark, [event_json(user="u00", ts=T0), event_json(user="new", ts=T0)]), "b-5", broadcast_keys=0)
+    assert (got["inserted"], got["cross_batch_duplicates"]) == (1, 1)
+
+
 def test_separator_collision_across_dates(spark, stores):
     # Three splits of a|b|5|7|x, then two of a|b|864000|7|x on different dates.
     a = event_json(name="a", user="b", ts=5, campaign="7|x")
