@@ -11,8 +11,8 @@ own whose radii halve from level to level.
 Pairs of nodes are followed from the roots.  A pair goes as soon as its centres
 are farther apart than both radii and the threshold; it is counted whole if they
 are as much nearer.  What is left in the end are pairs of vectors, whose cosine is
-taken in double precision.  A task returns each vector's number of links and a
-forest that connects what is linked, never the pairs.
+taken in double precision.  A task holds two groups of leaves and follows the pairs between them; it returns each vector's
+number of links and a forest that connects what is linked, never the pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, neither do rows with a null id; vectors of
@@ -21,6 +21,8 @@ different lengths never link; rows with equal vectors link with each other.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,6 +38,8 @@ LEAF = 4_096
 CENTRES, CANDIDATES = 4, 64
 #: Far beyond rounding: what bounds decide must be this clear.
 CLEAR = 1e-6
+#: What the vectors of a group of leaves take as doubles; a task holds two groups.
+SIDE_BYTES = 16 << 20
 #: Rows of a matrix of cosines that are made at once.
 ROWS = 512
 
@@ -366,28 +370,46 @@ def links(points: DataFrame, cosine: float = COSINE) -> DataFrame:
     units, cells = _upper_levels(points, cosine)
     leaves = stage(_leaves(units, kind), "leaves")
     pairs = _node_pairs(cells, leaves, cosine)
-    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("leaf"))
+    # Leaves are dealt to groups and pairs of leaves to pairs of groups, so a leaf travels once a group, not once a partner.
+    size = leaves.agg(F.count(F.lit(1)).alias("leaves"), F.max(F.size("center")).alias("width")).first()
+    held = max(1, SIDE_BYTES // (8 * LEAF * (size["width"] or 1)))
+    parallel = leaves.sparkSession.sparkContext.defaultParallelism
+    groups = max(math.ceil(size["leaves"] / held), math.ceil(math.sqrt(2 * parallel)))
+    one, other = (F.pmod(F.xxhash64(side), F.lit(groups)) for side in "ab")
+    dealt = pairs.select(F.least(one, other).alias("row"), F.greatest(one, other).alias("column"), "a", "b")
+    wanted = dealt.select(
+        F.col("row").alias("to_row"), F.col("column").alias("to_column"), F.explode(F.array("a", "b")).alias("leaf")
+    ).distinct()
     blobs = leaves.select(F.col("node").alias("of"), "ids", "copies", "vectors", "tree")
-    both = sides.join(blobs, F.col("leaf") == F.col("of")).select("a", "b", "leaf", "ids", "copies", "vectors", "tree")
-
-    def traverse(group: pa.Table) -> pa.Table:
-        ids = [np.frombuffer(x, "<i8") for x in group.column("ids").to_pylist()]
-        copies = [np.frombuffer(x, "<i8") for x in group.column("copies").to_pylist()]
-        raw = [np.frombuffer(x, kind).astype(np.float64).reshape(len(i), -1) for x, i in zip(group.column("vectors").to_pylist(), ids, strict=True)]
-        trees = [Tree.unpacked(_unit(r), x) for r, x in zip(raw, group.column("tree").to_pylist(), strict=True)]
-        found = Traversal(raw, trees, copies, cosine)
-        found.run()
+    sent = wanted.join(blobs, F.col("leaf") == F.col("of")).drop("of")
+
+    def traverse(held: pa.Table, pairs: pa.Table) -> pa.Table:
+        place = {name: i for i, name in enumerate(held.column("leaf").to_pylist())}
+        ids = [np.frombuffer(x, "<i8") for x in held.column("ids").to_pylist()]
+        copies = [np.frombuffer(x, "<i8") for x in held.column("copies").to_pylist()]
+        raw = [np.frombuffer(x, kind).astype(np.float64).reshape(len(i), -1) for x, i in zip(held.column("vectors").to_pylist(), ids, strict=True)]
+        trees = [Tree.unpacked(_unit(r), x) for r, x in zip(raw, held.column("tree").to_pylist(), strict=True)]
+        spots = np.split(np.arange(sum(map(len, ids))), np.cumsum([len(i) for i in ids])[:-1])
         every = np.concatenate(ids)
-        counts = np.concatenate(found.counts)
+        counts, forest, kept = np.zeros(len(every), np.int64), Forest(len(every)), []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            own = [place[a]] if a == b else [place[a], place[b]]
+            found = Traversal([raw[i] for i in own], [trees[i] for i in own], [copies[i] for i in own], cosine)
+            found.run()
+            for i, linked in zip(own, found.counts, strict=True):
+                counts[spots[i]] += linked
+            both = np.concatenate([spots[i] for i in own])
+            links = both[np.array(found.links, np.int64).reshape(-1, 2)].tolist()
+            kept += [(i, j) for i, j in links if forest.join(i, j)]
         some = np.flatnonzero(counts)
-        pairs = np.array(found.links, np.int64).reshape(-1, 2)
+        joined = np.array(kept, np.int64).reshape(-1, 2)
         return pa.table({
-            "a": pa.array(np.concatenate([every[some], every[pairs[:, 0]]])),
-            "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(every[pairs[:, 1]])]),
-            "n": pa.array(np.concatenate([counts[some], np.zeros(len(pairs), np.int64)])),
+            "a": pa.array(np.concatenate([every[some], every[joined[:, 0]]])),
+            "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(every[joined[:, 1]])]),
+            "n": pa.array(np.concatenate([counts[some], np.zeros(len(joined), np.int64)])),
         })
 
-    return both.groupBy("a", "b").applyInArrow(traverse, "a long, b long, n long")
+    return sent.groupBy("to_row", "to_column").cogroup(dealt.groupBy("row", "column")).applyInArrow(traverse, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", cosine: float = COSINE) -> DataFrame:
