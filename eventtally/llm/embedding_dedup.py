@@ -40,6 +40,8 @@ CENTRES, CANDIDATES = 4, 64
 CLEAR = 1e-6
 #: What the vectors of a group of leaves take as doubles; a task holds two groups.
 SIDE_BYTES = 16 << 20
+#: Up to this size, by count, a table of cells is broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Rows of a matrix of cosines that are made at once.
 ROWS = 512
 
@@ -255,6 +257,17 @@ class Traversal:
             self._join(int(members[0]), j)
 
 
+def _sizes(units: DataFrame) -> DataFrame:
+    """(of, n, width): the vectors of each cell, written as several jobs use it."""
+    counted = units.groupBy(F.col("node").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
+    return stage(counted, "sizes")
+
+
+def _sent(cells: DataFrame, size: int) -> DataFrame:
+    """A table with a row a cell, broadcast if it is counted to be small, so that the vectors are not shuffled to meet it."""
+    return F.broadcast(cells) if size <= BROADCAST_BYTES else cells
+
+
 def _upper_levels(points: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     """The points with their leaf, and the cells: node, parent, center, radius."""
     units = points.withColumn("node", F.concat(F.lit("d"), F.size("vector").cast("string")))
@@ -262,10 +275,13 @@ def _upper_levels(points: DataFrame, cosine: float) -> tuple[DataFrame, DataFram
     reach = float(_distance(np.array(cosine)))
     level_radius = 2.0
     while level_radius > reach / 8:
-        sizes = units.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF).select(F.col("node").alias("of"))
-        if sizes.isEmpty():
+        sizes = _sizes(units).where(F.col("n") > LEAF)
+        many, width = sizes.agg(F.count(F.lit(1)), F.max("width")).first()
+        if not many:
             break
-        ranked = units.join(sizes, F.col("node") == F.col("of"), "left_semi").withColumn(
+        # A cell's row in what its vectors meet: its name, and its centres.
+        cell_bytes = many * (200 + 8 * CENTRES * width)
+        ranked = units.join(_sent(sizes, cell_bytes), F.col("node") == F.col("of"), "left_semi").withColumn(
             "rank", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id"), "id"))
         )
         seeds = ranked.where(F.col("rank") <= CANDIDATES).groupBy("node").agg(
@@ -296,7 +312,7 @@ def _upper_levels(points: DataFrame, cosine: float) -> tuple[DataFrame, DataFram
             return pa.StructArray.from_arrays([pa.array(child.astype(np.int32)), pa.array(gap)], ["child", "gap"])
 
         assign = F.arrow_udf(nearest, "struct<child:int,gap:double>", F.ArrowUDFType.SCALAR)
-        placed = units.join(centres, F.col("node") == F.col("of"), "left").withColumn(
+        placed = units.join(_sent(centres, cell_bytes), F.col("node") == F.col("of"), "left").withColumn(
             "to", assign(F.col("vector").cast("array<double>"), F.col("centres"))
         )
         moved = F.col("to.child") >= 0
@@ -315,8 +331,8 @@ def _upper_levels(points: DataFrame, cosine: float) -> tuple[DataFrame, DataFram
 
 def _leaves(units: DataFrame, kind: str) -> DataFrame:
     """One row a leaf: node, parent, center, radius, and its vectors with ids and copies."""
-    sizes = units.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("long").alias("blocks")).withColumnRenamed("node", "of")
-    blocks = units.join(sizes, F.col("node") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sizes = _sizes(units).select("of", F.ceil(F.col("n") / LEAF).cast("long").alias("blocks"))
+    blocks = units.join(_sent(sizes, 200 * sizes.count()), F.col("node") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     def leaf(group: pa.Table) -> pa.Table:
         unit = _unit(_matrix(group.column("vector")))

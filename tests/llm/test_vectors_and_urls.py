@@ -45,6 +45,7 @@ def test_embedding_dedup(spark, monkeypatch, leaf, side):
     """In one leaf, many leaves in few groups, and a leaf a group or so."""
     monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
     monkeypatch.setattr(embedding_dedup, "SIDE_BYTES", side)
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_BYTES", side)
     rows = vectors(240) + [(300 + i, [1.0] * 8) for i in range(60)] + [(400 + i, [float(i + 1)] * 8) for i in range(50)] + ODD
     df = spark.createDataFrame([(i, v, "x", i) for i, v in rows], "vec_id long, embedding array<double>, label string, node long")
     found = embedding_dedup.near_duplicates(df.repartition(3)).collect()
