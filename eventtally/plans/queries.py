@@ -558,11 +558,9 @@ def stream_remembered(spark, folder):
     """Keys remembered for seven days by the stream's own state.  Redeliveries come one to fourteen days late by the
     clock of the records; those of another micro-batch pass again if it is more than seven."""
     place = new_workspace(spark, "remembered")
-    sent = _deliveries(spark, folder)
-    again = sent.filter("offset % 2 = 1").join(
-        sample.events(spark, folder).filter("event_name = 'click'").select((F.col("offset") + 1).alias("offset")), "offset", "left_semi"
-    )
-    first = sent.join(again.select("offset"), "offset", "left_anti")
+    sent = sample.raw_records(spark, folder, sample.arrivals).withColumn("partition", records.topic_partition(F.col("key")))
+    is_again = (F.col("offset") % 2 == 1) & (F.col("event_name") == "click")
+    first, again = sent.filter(~is_again), sent.filter(is_again)
     id_ = F.floor(F.col("offset") / 2)
     late = F.when(F.col("offset") % 2 == 1, (1 + id_ % 14) * clock.DAY).otherwise(0)
     with windows.keyed_state(spark):

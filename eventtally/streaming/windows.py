@@ -70,43 +70,57 @@ def _in_hours(events: DataFrame, late_by: str) -> DataFrame:
     return timed.withColumn("window", F.window("at", "1 hour"))
 
 
+#: Groups that the state's keys are dealt to by their hash.  Python is entered once a group and micro-batch, not once a key.
+KEY_GROUPS = 4096
+
+
 class _Remembered(StatefulProcessor):
-    """Lets a key's last row of a micro-batch pass, unless the key passed less than `seconds` ago."""
+    """Lets a key's last row of a micro-batch pass, unless the key passed less than `seconds` ago; for all keys of a group."""
 
-    def __init__(self, received: str, order: list[str], seconds: int):
-        self.received, self.order, self.seconds = received, order, seconds
+    def __init__(self, key: str, received: str, order: list[str], seconds: int, columns: list[str]):
+        self.key, self.received, self.order, self.seconds, self.columns = key, received, order, seconds, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # The state cleans itself up by processing time; twice the span, so that a stream that falls
         # behind the clock of its records forgets none too early.
-        self.passed = handle.getValueState("passed", "at BIGINT", ttlDurationMs=2000 * self.seconds)
+        self.passed = handle.getMapState("passed", "key STRING", "at BIGINT", ttlDurationMs=2000 * self.seconds)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        last = _last_rows(pd.concat([_last_rows(some, self.order) for some in rows]), self.order)
-        at = int(last[self.received].iloc[0])
-        if not self.passed.exists() or at - self.passed.get()[0] > self.seconds:
-            self.passed.update((at,))
-            yield last
+        last = _last_rows(pd.concat([_last_rows(some, self.order, self.key) for some in rows]), self.order, self.key)
+        times = [int(at) for at in last[self.received]]
+        # Only the keys of the micro-batch are looked up, however many the group has.
+        known = self.passed.exists()
+        passes = []
+        for name, at in zip(last[self.key], times, strict=True):
+            before = self.passed.getValue((name,)) if known else None
+            passes.append(before is None or at - before[0] > self.seconds)
+            if passes[-1]:
+                self.passed.updateValue((name,), (at,))
+        if any(passes):
+            yield last.loc[passes, self.columns]
 
     def close(self) -> None:
         pass
 
 
-def _last_rows(rows: pd.DataFrame, order: list[str], by: str | None = None) -> pd.DataFrame:
-    rows = rows.sort_values(order, kind="stable")
-    return rows.tail(1) if by is None else rows.drop_duplicates(by, keep="last")
+_GROUP = "_group"
+
+
+def _last_rows(rows: pd.DataFrame, order: list[str], by: str) -> pd.DataFrame:
+    return rows.sort_values(order, kind="stable").drop_duplicates(by, keep="last")
 
 
 def remembered(
     events: DataFrame, received: str, days: float = INBOX_RETENTION_DAYS, key: str = "idempotency_key",
-    order: Sequence[str] = ("offset",),
+    order: Sequence[str] = ("offset",), groups: int = KEY_GROUPS,
 ) -> DataFrame:
     """Keyed state in place of the ledger lookup: of a key the last arrival of a micro-batch passes, and then
     none for `days`.
 
     The clock is the column `received`, epoch seconds, so a replayed stream decides as the first one did.  A key
     passes again if it comes more than `days` after it passed last; arrivals in between do not
-    prolong that.  Tasks send one row a key and Arrow batch to the state, so a hot key costs little.
+    prolong that.  Tasks send one row a key and Arrow batch to the state, so a hot key costs little.  The state is
+    a map from key to time, dealt to `groups` by the key's hash; a checkpoint is bound to their number.
     Start it within `keyed_state`.
     """
     columns, sort = events.schema, list(order)
@@ -115,8 +129,9 @@ def remembered(
         for rows in batches:
             yield _last_rows(rows, sort, key)
 
-    state = _Remembered(received, sort, int(days * clock.DAY))
-    return events.mapInPandas(reduced, columns).groupBy(key).transformWithStateInPandas(
+    state = _Remembered(key, received, sort, int(days * clock.DAY), columns.names)
+    dealt = events.mapInPandas(reduced, columns).withColumn(_GROUP, F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    return dealt.groupBy(_GROUP).transformWithStateInPandas(
         state, columns, outputMode="Append", timeMode="ProcessingTime"
     )
 

@@ -186,6 +186,28 @@ def test_key_returns_after_its_time_and_not_before(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
 
 
+def test_keys_of_a_group_are_remembered_apart(spark, tmp_path):
+    """Python is entered once a group, not once a key; each key decides for itself all the same."""
+    inbox, day, users = str(tmp_path / "in"), 86400, 120
+
+    def build(events):
+        return windows.remembered(events.withColumn("received", F.col("channel").cast("bigint")), "received", groups=3)
+
+    passed, want = {}, []
+    with windows.keyed_state(spark):
+        for n in range(3):
+            # User i arrives twice, on day 4n + i % 5 and a second later, in every micro-batch but one.
+            coming = [i for i in range(users) if i % 3 != n]
+            times = [(i, (4 * n + i % 5) * day + late) for late in (0, 1) for i in coming]
+            deliver(spark, inbox, [event_json(user=f"u{i}", channel=str(at)) for i, at in times], 1000 * n)
+            got = drained(spark, build, tmp_path, "grouped", inbox)
+            for i, at in times[len(coming):]:
+                if i not in passed or at - passed[i] > 7 * day:
+                    passed[i] = at
+                    want.append((f"u{i}", str(at)))
+    assert sorted((r["user_id"], r["channel"]) for r in got.collect()) == sorted(want) and users < len(want) < 2 * users
+
+
 def test_exact_users_of_an_hour_come_once_it_is_over(spark, tmp_path):
     inbox = str(tmp_path / "in")
     users = [event_json(user=f"u{i % 3}", ts=T0 + i, channel=None) for i in range(30)]
