@@ -7,6 +7,7 @@ import logging
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,9 @@ log = logging.getLogger(__name__)
 #: are the same either way.
 BROADCAST_KEYS = 500_000
 
+#: Trial writes at a time when a batch cannot be stored, and into how many pieces one that fails is cut.
+TRIALS, PIECES = 8, 4
+
 OK, DEAD, SKIPPED = "ok", "dead", "skipped"
 
 
@@ -136,12 +140,20 @@ def new_events(
         wanted = F.broadcast(events.select("idempotency_key").distinct())
         hits = seen.join(wanted, "idempotency_key", "left_semi").distinct()
         return dedup.last_in_batch(dedup.storable(events, F.broadcast(hits)), order)
+    in_buckets = ledger.seen_in_buckets(stats["spans"], bucketed, remember) if bucketed else None
+    if not stats["with_separator"]:
+        # Equal keys have equal dates, so the batch may be reduced before the lookup.  It is shuffled once, a row a key
+        # and task, with keys half as long, and meets the ledger's keys as it is dealt then; only buckets deal it anew.
+        fresh = dedup.last_in_batch(dedup.packed(events), order)
+        if bucketed:
+            fresh = dedup.packed(dedup.storable(dedup.unpacked(fresh), in_buckets))
+        return dedup.unpacked(dedup.storable(fresh, dedup.packed(seen)))
     # Only keys are shuffled to find the new ones; payloads of the others stay
     # where they are, if the new keys turn out to be few.
     keys = events.select("idempotency_key", "event_date").distinct()
     if bucketed:
         # The batch's keys go to where those of the ledger's large parts lie; what is left meets the small parts.
-        keys = dedup.storable(keys, ledger.seen_in_buckets(stats["spans"], bucketed, remember))
+        keys = dedup.storable(keys, in_buckets)
     fresh = dedup.storable(keys, seen).select("idempotency_key", "event_date")
     return dedup.last_in_batch(events.join(fresh, ["idempotency_key", "event_date"], "left_semi"), order)
 
@@ -162,8 +174,8 @@ def _overlap(parts: list[Part], others: list[Part], with_separator: bool) -> lis
 class Storing:
     """How a batch is written: what is done to rows on their way, and with rows that cannot be.
 
-    A write that fails is tried again after each of `waits` seconds.  Then the batch is halved, by a hash of
-    the keys, until the keys that fail stand alone.  More than `most` of them, or as many as
+    A write that fails is tried again after each of `waits` seconds.  Then pieces of the batch, by a hash of the keys,
+    are written for trial until the keys that fail stand alone, and the rest is stored at once.  More than `most` of them, or as many as
     `outage` before any other could be stored, are no fault of single rows, and the batch fails.
     """
 
@@ -195,40 +207,73 @@ def _stage_what_can_be(ledger: Ledger, rows: DataFrame, bid: str, storing: Stori
     try:
         return _tried(ledger, rows, bid, storing), {}
     except Exception as error:
-        log.warning("batch %s is halved: %s", bid, _cause(error))
+        log.warning("batch %s is written in pieces: %s", bid, _cause(error))
         first = error
-    # The rows once more, without `prepare`, so that halves do not look keys up again.
+    # The rows once more, without `prepare`, so that pieces do not look keys up again; a piece opens the slices it meets.
     place = f"{ledger.root}/_halved/{uuid.uuid4().hex}"
-    rows.withColumn("_hash", F.xxhash64("idempotency_key")).write.parquet(place)
-    staged = ledger.spark.read.parquet(place)
-    parts: list[Part] = []
-    refused: dict[str, str] = {}
-    once = replace(storing, waits=())
-    open_ = [(-(1 << 63), 1 << 63)]
+    hashed = rows.withColumn("_hash", F.xxhash64("idempotency_key")).withColumn("_slice", F.expr("_hash >> 56"))
     try:
-        while open_:
-            low, high = open_.pop()
-            some = staged.filter(F.col("_hash").between(low, high - 1))
-            keys = [r["idempotency_key"] for r in some.select("idempotency_key").distinct().limit(2).collect()]
-            if not keys:
-                continue
-            try:
-                parts += _tried(ledger, some.drop("_hash"), bid, storing if len(keys) == 1 else once)
-                continue
-            except Exception as error:
-                if len(keys) == 1 or high - low == 1:
-                    refused |= dict.fromkeys(
-                        (r["idempotency_key"] for r in some.select("idempotency_key").distinct().collect()), _cause(error)
-                    )
-                    if len(refused) > storing.most or not parts and len(refused) >= storing.outage:
-                        ledger.discard(parts)
-                        raise first from None
-                    continue
-            middle = (low + high) // 2
-            open_ += [(middle, high), (low, middle)]
+        hashed.hint("rebalance", "_slice").sortWithinPartitions("_slice", "_hash").write.partitionBy("_slice").parquet(f"{place}/rows")
+        staged = ledger.spark.read.parquet(f"{place}/rows")
+        refused = _refused(ledger, staged, f"{place}/tried", bid, storing, first)
+        names = ledger.spark.createDataFrame([(key,) for key in refused], "idempotency_key STRING")
+        rest = staged.drop("_hash", "_slice").join(F.broadcast(names), "idempotency_key", "left_anti")
+        return _tried(ledger, rest, bid, storing), refused
     finally:
         folders.remove(ledger.spark, place)
-    return parts, refused
+
+
+def _refused(
+    ledger: Ledger, staged: DataFrame, place: str, bid: str, storing: Storing, first: Exception
+) -> dict[str, str]:
+    """The keys that cannot be stored, with the reason; `first` is raised if there are too many.
+
+    Pieces of the hashes' range are written for trial, some at a time; one that fails is cut in PIECES, the newest first,
+    so that single keys are soon told from an outage.  Trials shuffle nothing, and nobody reads what they leave.
+    """
+    once = replace(storing, waits=())
+
+    def trial(some: DataFrame, how: Storing) -> tuple[bool, Exception | None]:
+        """Whether there were rows, and why they could not be written."""
+        for wait in (*how.waits, None):
+            try:
+                return ledger.try_out(how.prepare(some) if how.prepare else some, bid, f"{place}/{uuid.uuid4().hex}"), None
+            except Exception as error:
+                if wait is None:
+                    return True, error
+                time.sleep(wait)
+        raise AssertionError
+
+    def examined(bounds: tuple[int, int]) -> tuple[bool, dict[str, str] | None]:
+        """Whether some rows could be written, and the keys refused; None if the piece is to be cut."""
+        low, high = bounds
+        within = F.col("_slice").between(low >> 56, (high - 1) >> 56) & F.col("_hash").between(low, high - 1)
+        some = staged.filter(within).drop("_hash", "_slice")
+        had, error = trial(some, once)
+        if error is None:
+            return had, {}
+        keys = some.select("idempotency_key").distinct()
+        few = [row["idempotency_key"] for row in (keys if high - low == 1 else keys.limit(2)).collect()]
+        if len(few) > 1 and high - low > 1:
+            return False, None
+        had, error = trial(some, storing)
+        return (had, {}) if error is None else (False, dict.fromkeys(few, _cause(error)))
+
+    refused: dict[str, str] = {}
+    stored = False
+    open_ = [(-(1 << 63), 1 << 63)]
+    with ThreadPoolExecutor(TRIALS) as pool:
+        while open_:
+            wave, open_ = open_[-TRIALS:], open_[:-TRIALS]
+            for (low, high), (had, keys) in zip(wave, list(pool.map(examined, wave)), strict=True):
+                stored = stored or had
+                refused |= keys or {}
+                if keys is None:
+                    edges = sorted({low + (high - low) * i // PIECES for i in range(PIECES + 1)})
+                    open_ += list(zip(edges, edges[1:], strict=False))
+            if len(refused) > storing.most or not stored and len(refused) >= storing.outage:
+                raise first
+    return refused
 
 
 def store_events(
@@ -277,7 +322,7 @@ def _letters_of(refused: dict[str, str], records: DataFrame, *rules) -> DataFram
 
 
 # The 32 bytes of the digest, half of what its hex text would shuffle.
-_UNIQUE_KEYS = "count(DISTINCT CASE WHEN status = 'ok' THEN unhex(idempotency_key) END)"
+_UNIQUE_KEYS = "count(DISTINCT unhex(idempotency_key))"
 _COUNTS = {
     "received": "count(*)",
     "skipped": "count_if(status = 'skipped')",
@@ -290,19 +335,16 @@ _COUNTS = {
 def _statistics(classified: DataFrame) -> dict:
     """What the batch holds, and the time span of its events per day.
 
-    One job, a row per day.  Days add up, but for unique keys when events of
-    different days may share one; then the batch is counted as a whole.
+    A row a day comes back.  Distinct keys are counted apart, so that nothing but keys is shuffled for them.
     """
-    counts = [F.expr(text).alias(name) for name, text in _COUNTS.items()]
-    unique = F.expr(_UNIQUE_KEYS).alias("unique_keys")
     days = classified.groupBy("event_date").agg(
-        *counts, unique,
+        *[F.expr(text).alias(name) for name, text in _COUNTS.items()],
         F.expr("min(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("low"),
         F.expr("max(CASE WHEN status = 'ok' THEN event_timestamp END)").alias("high"),
     ).collect()
-    stats = {name: sum(day[name] for day in days) for name in (*_COUNTS, "unique_keys")}
-    if stats["with_separator"]:
-        stats |= classified.agg(unique).first().asDict()
+    stats = {name: sum(day[name] for day in days) for name in _COUNTS}
+    ok = classified.filter(F.col("status") == OK)
+    stats["unique_keys"] = ok.agg(F.expr(_UNIQUE_KEYS)).first()[0] if stats["deserialized"] else 0
     stats["spans"] = {
         day["event_date"]: (day["low"], day["high"]) for day in days if day["deserialized"]
     }
@@ -345,10 +387,10 @@ def ingest_batch(
     classified = classify(records, coerce, first_date, last_date)
     # Parsed once for the jobs below and kept in the shared folder, where no
     # lost executor can take it along; without the raw text of good records.
-    classified = classified.withColumn("value", F.when(F.col("status") == DEAD, F.col("value")))
+    classified = classified.withColumns({c: F.when(F.col("status") == DEAD, F.col(c)) for c in ("key", "value")})
     staged = f"{stores.root}/_staged/{bid}-{uuid.uuid4().hex[:12]}"
     try:
-        classified.write.parquet(staged)
+        classified.write.parquet(staged, compression="zstd")
         classified = stores.spark.read.schema(classified.schema).parquet(staged)
         stats = _statistics(classified)
         inserted = 0

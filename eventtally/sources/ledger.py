@@ -12,6 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventtally.operators import dedup
 from eventtally.schema import LEDGER
 from eventtally.sources import keybuckets, keyindex
 from eventtally.sources.commits import APPEND, MERGE, CommitTable, Part, Snapshot, in_ranges
@@ -86,12 +87,21 @@ class Ledger(CommitTable):
         hit = self.load(parts).filter(F.col("idempotency_key") == key).select("idempotency_key")
         return bool(parts) and not hit.limit(1).isEmpty()
 
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        return dedup.packed(rows)
+
+    def _unpacked(self, rows: DataFrame) -> DataFrame:
+        return dedup.unpacked(rows).select(*self.columns)
+
     def stage_batch(self, rows: DataFrame, bid: str) -> list[Part]:
         """Write a batch's rows and their key index, not in force yet."""
         parts = self.stage(rows.withColumn("bid", F.lit(bid)), bid, _ORDER, _FORMAT)
         self._index(parts)
         return parts
 
+    def try_out(self, rows: DataFrame, bid: str, path: str) -> bool:
+        return super().try_out(rows.withColumn("bid", F.lit(bid)), path, _ORDER, _FORMAT)
+
     def _index(self, parts: list[Part]) -> None:
         rows = self.load(parts)
         self.index.add(rows, parts)

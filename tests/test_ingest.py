@@ -136,6 +136,26 @@ def test_large_batches_leave_bucketed_keys_where_they_are(spark, tmp_path):
     assert "hashpartitioning(idempotency_key" in text and ", 4)" in text
 
 
+def test_a_large_batch_is_shuffled_once(spark, stores):
+    """A batch that is not broadcast meets the ledger as its reduction to a row a key has dealt it, keys as bytes."""
+    ingest_batch(stores, records_frame(spark, [event_json(ts=T0 + i) for i in range(50)]), "b-1")
+    ledger = stores.ledger
+    parts = list(ledger.snapshot().parts.values())
+    events = ledger.read().drop("received_at", "bid").withColumns({"offset": F.lit(0), "partition": F.lit(0)})
+    events = events.unionByName(events.withColumns({"user_id": F.lit("new"), "idempotency_key": F.sha2("idempotency_key", 256)}))
+    stats = {"spans": {part.day: (0, 2 * T0) for part in parts}, "with_separator": 0, "deserialized": 10**9}
+    with_threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = ingest.new_events(events, ledger, parts, stats)
+        text = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_threshold)
+    assert text.count("Exchange hashpartitioning") == 2, text
+    want = {r[0] for r in ledger.read().select(F.sha2("idempotency_key", 256)).collect()}
+    assert sorted(r["idempotency_key"] for r in fresh.collect()) == sorted(want)
+
+
 def test_merges_lay_keys_out_and_vacuum_clears_them(spark, tmp_path):
     stores = ingest.Stores(spark, str(tmp_path / "deployment"), 2, 3)
     for n in range(3):

@@ -251,6 +251,23 @@ def test_one_poison_row_costs_one_letter(spark, stores, tmp_path):
     assert stores.quarantine.read().count() == 1 and stores.counters.of_batch("stream-000000000000").first()["inserted"] == 999
 
 
+def test_many_poison_rows_leave_one_commit_of_the_rest(spark, stores):
+    """What can be stored is staged once, not in as many pieces as the search for the others takes."""
+    staged = []
+
+    def prepare(rows):
+        staged.append("halved" if "_halved" in str(rows.inputFiles()) else "whole")
+        return refusing("poison")(rows)
+
+    values = [event_json(user=f"{'poison' if i % 40 == 7 else 'user'}_{i}", ts=T0 + i) for i in range(400)]
+    counted = ingest_batch(stores, records_frame(spark, values), "b-1", storing=Storing(prepare, waits=()))
+    assert (counted["dead"], counted["inserted"], counted["unique_keys"]) == (10, 390, 390)
+    assert stores.quarantine.read().filter("value LIKE '%poison%'").count() == stores.quarantine.read().count() == 10
+    (part,) = stores.ledger.snapshot().of()
+    assert part.rows == 390 and staged[0] == "whole" and set(staged[1:]) == {"halved"}
+    assert folders.child_folders(spark, f"{stores.ledger.root}/_halved", "") == []
+
+
 def test_outage_is_no_poison(spark, stores):
     values = [event_json(user=f"user_{i}", ts=T0 + i) for i in range(30)]
     with pytest.raises(Exception, match="disk full"):
