@@ -28,6 +28,8 @@ BROADCAST_KEYS = 500_000
 
 #: Trial writes at a time when a batch cannot be stored, and into how many pieces one that fails is cut.
 TRIALS, PIECES = 8, 4
+#: A piece is asked whether it is a single key once it should have no more than so many.
+FEW_KEYS = 4
 
 OK, DEAD, SKIPPED = "ok", "dead", "skipped"
 
@@ -232,6 +234,7 @@ def _refused(
     so that single keys are soon told from an outage.  Trials shuffle nothing, and nobody reads what they leave.
     """
     once = replace(storing, waits=())
+    rows = staged.count()
 
     def trial(some: DataFrame, how: Storing) -> tuple[bool, Exception | None]:
         """Whether there were rows, and why they could not be written."""
@@ -252,6 +255,8 @@ def _refused(
         had, error = trial(some, once)
         if error is None:
             return had, {}
+        if rows * (high - low) >> 64 > FEW_KEYS:
+            return False, None
         keys = some.select("idempotency_key").distinct()
         few = [row["idempotency_key"] for row in (keys if high - low == 1 else keys.limit(2)).collect()]
         if len(few) > 1 and high - low > 1:
