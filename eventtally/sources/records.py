@@ -15,6 +15,9 @@ from eventtally.schema import (
 
 _COLUMNS = ("key", "value", "partition", "offset")
 
+#: Bytes of a row group of published files.  A task reads whole ones, so that of a large file many tasks parse a share.
+ROW_GROUP = 4 << 20
+
 
 def topic_partition(key: Column, partitions: int = TOPIC_PARTITIONS) -> Column:
     """Keyed partitioning: one user's records always share a partition."""
@@ -32,8 +35,8 @@ def to_records(messages: DataFrame, offset: str, partitions: int = TOPIC_PARTITI
 
 def publish_files(records: DataFrame, path: str) -> None:
     """Append records as Parquet files.  The stream partition is a column, so
-    a hot user needs no shuffle and burdens no single task."""
-    records.select(*_COLUMNS).write.mode("append").parquet(path)
+    a hot user needs no shuffle and burdens no single task, nor does a large file."""
+    records.select(*_COLUMNS).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -131,6 +131,17 @@ def test_users_share_a_partition(spark):
     assert got.agg(F.min("p"), F.max("p")).first() == (0, 5)
 
 
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    # Digests do not compress: some 13 MB in one file.
+    sent = spark.range(200_000).select(
+        F.lit("k").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value"), F.lit(0).alias("partition"), F.col("id").alias("offset")
+    )
+    records.publish_files(sent.coalesce(1), str(tmp_path))
+    read = records.read_files(spark, str(tmp_path))
+    assert len(read.inputFiles()) == 1 and read.count() == 200_000
+    assert read.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
 def test_raw_lines_are_a_source(spark, stores, tmp_path):
     (tmp_path / "lines").mkdir()
     (tmp_path / "lines" / "a.json").write_text("\n".join([event_json(channel="x"), event_json(channel="y"), "bad"]))
