@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from eventtally.functions import clock
+from eventtally.operators import dedup
 from eventtally.schema import INBOX_RETENTION_DAYS
+from eventtally.session import settings
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -38,10 +40,10 @@ def hourly_counts(events: DataFrame) -> DataFrame:
 
 def first_arrivals(events: DataFrame, received_at: str, days: int = INBOX_RETENTION_DAYS) -> DataFrame:
     """Keyed state that forgets a key `days` after its receive time.  A key's
-    first arrival wins here, also inside a micro-batch."""
-    return events.withWatermark(received_at, f"{days} days").dropDuplicatesWithinWatermark(
+    first arrival wins here, also inside a micro-batch.  The state has keys as bytes."""
+    return dedup.unpacked(dedup.packed(events).withWatermark(received_at, f"{days} days").dropDuplicatesWithinWatermark(
         ["idempotency_key"]
-    )
+    ))
 
 
 def exact_users(events: DataFrame, late_by: str) -> DataFrame:
@@ -56,8 +58,10 @@ def exact_users(events: DataFrame, late_by: str) -> DataFrame:
 
 
 def exact_totals(events: DataFrame, late_by: str) -> DataFrame:
-    """The same for events, each key counting once (event_name, channel, date_hour, total_count)."""
-    once = _in_hours(events, late_by).dropDuplicates(["idempotency_key", "window"])
+    """The same for events, each key counting once (event_name, channel, date_hour, total_count).
+
+    The state has keys as bytes."""
+    once = _in_hours(dedup.packed(events), late_by).dropDuplicates(["idempotency_key", "window"])
     return once.groupBy("event_name", "channel", "window").agg(F.count("*").alias("total_count")).select(*_hour(), "total_count")
 
 
@@ -145,11 +149,5 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
-    before = {name: spark.conf.get(name, None) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
-    try:
+    with settings(spark, wanted):
         yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -236,6 +236,24 @@ def test_exact_users_of_an_hour_come_once_it_is_over(spark, tmp_path):
     assert {r["date_hour"]: r["n"] for r in totals.groupBy("date_hour").agg(F.sum("total_count").alias("n")).collect()}[T0] == 32
 
 
+def test_streams_keep_keys_as_bytes(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    deliver(spark, inbox, [event_json(user=f"u{i % 9}", ts=T0 + i % 9) for i in range(30)], 0)
+
+    def arrivals(events):
+        return windows.first_arrivals(events.withColumn("at", clock.hour_as_timestamp(F.col("event_timestamp"))), "at")
+
+    got = drained(spark, arrivals, tmp_path, "arrivals", inbox)
+    sent = classify(records.read_files(spark, inbox)).select("idempotency_key").distinct()
+    assert sorted(got.select("idempotency_key").collect()) == sorted(sent.collect())
+    drained(spark, lambda e: windows.exact_totals(e, "1 hour"), tmp_path, "totals", inbox)
+    for name, operator in (("arrivals", 0), ("totals", 1)):
+        # Operators are numbered from the end of the plan.
+        state = spark.read.format("statestore").option("operatorId", operator).load(str(tmp_path / name / "cp"))
+        lengths = state.select(F.octet_length("key.idempotency_key").alias("n")).groupBy("n").count().collect()
+        assert [tuple(row) for row in lengths] == [(32, 9)]
+
+
 def refusing(user, raising="refused"):
     def prepare(rows):
         return rows.withColumn("channel", F.when(F.col("user_id").startswith(user), F.raise_error(F.lit(raising))).otherwise(F.col("channel")))
