@@ -386,9 +386,7 @@ def _staged(spark, folder, stores: Stores):
     """The deliveries written once, then batch by batch in order; a batch is a
     week of the data, so there are a handful."""
     stage = f"{stores.root}/deliveries"
-    # Not shuffled: each task writes a few files a batch, none so large that one task would have much of a batch.
-    sent = _deliveries(spark, folder)
-    sent.write.option("maxRecordsPerFile", 100_000).partitionBy("batch_id").parquet(stage, compression="zstd")
+    records.stage_batches(_deliveries(spark, folder), "batch_id", stage)
     for name in folders.child_folders(spark, stage, "batch_id="):
         number = int(name.removeprefix("batch_id="))
         yield number, records.read_files(spark, f"{stage}/{name}")

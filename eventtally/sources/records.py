@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from eventtally.schema import (
     DEAD_LETTER_SUFFIX, RECORD, TOPIC, TOPIC_PARTITIONS,
 )
+from eventtally.session import settings
 
 _COLUMNS = ("key", "value", "partition", "offset")
 
 #: Bytes of a row group of published files.  A task reads whole ones, so that of a large file many tasks parse a share.
 ROW_GROUP = 4 << 20
 
+#: Batches a task stages at a time; of more, the rest of its rows is sorted by batch first.
+OPEN_BATCHES = 32
+#: Records of a staged file.
+STAGED_RECORDS = 100_000
+
 
 def topic_partition(key: Column, partitions: int = TOPIC_PARTITIONS) -> Column:
     """Keyed partitioning: one user's records always share a partition."""
@@ -39,6 +45,14 @@ def publish_files(records: DataFrame, path: str) -> None:
     records.select(*_COLUMNS).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
+def stage_batches(records: DataFrame, batch: str, path: str) -> None:
+    """Write records as a folder a batch, neither shuffled nor sorted: a task keeps a file of each batch open, whose
+    buffer is a row group, and none gets so large that one task would have much of a batch."""
+    writer = records.write.option("maxRecordsPerFile", STAGED_RECORDS).option("parquet.block.size", ROW_GROUP)
+    with settings(records.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_BATCHES)}):
+        writer.partitionBy(batch).parquet(path, compression="zstd")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).parquet(path)
 

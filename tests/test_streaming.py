@@ -1,6 +1,7 @@
 import datetime as dt
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from rows import T0, event_json, records_frame
 
@@ -142,6 +143,26 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
     assert read.select(F.spark_partition_id().alias("task")).distinct().count() > 1
 
 
+def test_batches_are_staged_in_files_that_many_tasks_read(spark, tmp_path):
+    # Digests do not compress: some 13 MB in two batches, of a single task.
+    rows = spark.range(200_000, numPartitions=1).select(
+        F.lit(None).cast("string").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value"),
+        F.lit(0).alias("partition"), F.col("id").alias("offset"), (F.col("id") % 2).alias("batch_id"),
+    )
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    place = str(tmp_path / "staged")
+    records.stage_batches(rows, "batch_id", place)
+    assert spark.conf.get(name) == before
+    for batch in (0, 1):
+        files = sorted((tmp_path / "staged" / f"batch_id={batch}").glob("*.parquet"))
+        groups = [pq.ParquetFile(file).metadata for file in files]
+        assert sum(m.num_rows for m in groups) == 100_000
+        assert max(m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)) < 2 * records.ROW_GROUP
+        got = records.read_files(spark, f"{place}/batch_id={batch}")
+        assert got.agg(F.count_distinct("offset"), F.sum("offset")).first() == (100_000, sum(range(batch, 200_000, 2)))
+
+
 def test_raw_lines_are_a_source(spark, stores, tmp_path):
     (tmp_path / "lines").mkdir()
     (tmp_path / "lines" / "a.json").write_text("\n".join([event_json(channel="x"), event_json(channel="y"), "bad"]))
