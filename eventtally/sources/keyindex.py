@@ -26,6 +26,8 @@ BUCKET_BITS = 32_768
 NAMED_BUCKETS = 1_000
 #: Bits that a key sets, and bits that a filter has for each key: some 1 % of absent keys pass.
 HASHES, BITS_A_KEY = 7, 10
+#: Words of 64 bits that are united in a row; a power of two.
+WORDS = 8
 
 _SCHEMA = "buckets INT, bucket BIGINT, bits BINARY, event_date DATE"
 
@@ -41,12 +43,31 @@ def positions(key: Column) -> Column:
 
 
 def filters(rows: DataFrame, by: list[str], buckets: Column, key: str = "idempotency_key") -> DataFrame:
-    """(*by, buckets, bucket, bits): a filter for each group; `buckets` is constant in a group."""
+    """(*by, buckets, bucket, bits): a filter for each group; `buckets` is constant in a group.
+
+    The bits are those of `bitmap_construct_agg`, which would have a row a key and bit sorted.  Here they are united
+    as whole numbers, by hash, a line of WORDS words a row; a bucket has 64 lines.
+    """
     bit = F.pmod("position", buckets.cast("bigint") * BUCKET_BITS)
-    set_ = rows.withColumn("position", F.explode(positions(F.col(key)))).withColumn("bit", bit)
-    return set_.groupBy(*by, buckets.alias("buckets"), F.floor(F.col("bit") / BUCKET_BITS).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.col("bit") % BUCKET_BITS).alias("bits")
+    set_ = rows.withColumn("position", F.explode(positions(F.col(key)))).select(*by, buckets.alias("buckets"), bit.alias("bit"))
+    # The first byte of a word is its highest, as in the text of its digits; a byte's first bit is its lowest.
+    placed = set_.selectExpr(
+        *by, "buckets", f"bit div {BUCKET_BITS} AS bucket", f"cast(bit % {BUCKET_BITS} div {64 * WORDS} AS INT) AS line",
+        f"(bit >> 6) & {WORDS - 1} AS word", "shiftleft(1L, cast(56 - (bit & 56) + (bit & 7) AS INT)) AS one",
+    )
+    words = [f"w{i}" for i in range(WORDS)]
+    lines = placed.groupBy(*by, "buckets", "bucket", "line").agg(
+        *[F.expr(f"bit_or(if(word = {i}, one, 0L))").alias(name) for i, name in enumerate(words)]
+    )
+    gathered = lines.groupBy(*by, "buckets", "bucket").agg(F.array_sort(F.collect_list(F.struct("line", *words))).alias("lines"))
+    # Lines without a bit are missing.
+    empty, last = f"repeat('0', {16 * WORDS})", BUCKET_BITS // (64 * WORDS) - 1
+    digits = ", ".join(f"lpad(hex(e.{name}), 16, '0')" for name in words)
+    text = (
+        f"array_join(transform(lines, (e, i) -> concat(repeat({empty}, e.line - if(i = 0, -1, lines[i - 1].line) - 1), {digits})), '')"
     )
+    bits = F.expr(f"unhex(concat({text}, repeat({empty}, {last} - lines[size(lines) - 1].line)))")
+    return gathered.select(*by, "buckets", "bucket", bits.alias("bits"))
 
 
 def _is_set(bits: Column, bit: Column) -> Column:

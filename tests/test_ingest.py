@@ -375,6 +375,23 @@ def test_key_index_spares_data_files(spark, stores, monkeypatch):
     assert len(made) == 8 and sum(bin(int.from_bytes(r["bits"], "little")).count("1") for r in made) > 100_000
 
 
+def test_filters_are_bitmaps_built_without_a_sort(spark):
+    """Dense, sparse and single-key filters equal those of `bitmap_construct_agg`; no row a key and bit is sorted."""
+    rows = spark.range(6_000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("idempotency_key"),
+        F.expr("CASE WHEN id < 5000 THEN 0 WHEN id < 5999 THEN 1 END").alias("g"), F.expr("if(id < 5000, 2, 64)").alias("size"),
+    )
+    got = keyindex.filters(rows, ["g"], F.col("size"))
+    bit = F.pmod("position", F.col("size").cast("bigint") * keyindex.BUCKET_BITS)
+    set_ = rows.withColumn("position", F.explode(keyindex.positions(F.col("idempotency_key")))).withColumn("bit", bit)
+    want = set_.groupBy("g", "size", F.floor(F.col("bit") / keyindex.BUCKET_BITS).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.col("bit") % keyindex.BUCKET_BITS).alias("bits")
+    )
+    assert got.dtypes == [("g", "int"), ("buckets", "int"), ("bucket", "bigint"), ("bits", "binary")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("days", [41, 400])
 def test_lookup_reads_no_more_for_many_days(spark, stores, days):
     ingest_batch(stores, records_frame(spark, [event_json(ts=T0 + 86400 * d + h) for d in range(3) for h in (0, 40000)]), "b-1")
